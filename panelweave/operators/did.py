@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.panel import design_rows
 from panelweave.operators.regression import Fit, least_squares, with_fit
+from panelweave.session import stage
 
 PARAMETER_SCHEMA = "param string, idx int, value double"
 DENSE_REGIONS = 4_096
@@ -50,9 +51,10 @@ def fit_ols(panel: DataFrame, edges: DataFrame | None, covariates: Sequence[str]
 def fit_2sls(panel: DataFrame, edges: DataFrame, covariates: Sequence[str] = ()) -> tuple[Fit, DataFrame]:
     """Stage 1 projects the lag on [1, S(i,·)]; stage 2 uses the projection in place of the lag.
 
-    The instruments do not vary over time, so stage 1 depends on the mean lag per region only.
+    The instruments do not vary over time, so stage 1 depends on the mean lag per region only. The
+    lagged panel is written once, because both stages read it.
     """
-    lagged = spatial_lag(panel, edges)
+    lagged = stage(spatial_lag(panel, edges))
     fitted = project_on_weights(lagged, edges)
     rows = design_rows(lagged.drop("lag").join(fitted, "region"), covariates, "lag")
     return least_squares(rows, "y", regressors(panel, covariates, "lag")), rows
@@ -68,12 +70,12 @@ def project_on_weights(lagged: DataFrame, edges: DataFrame, dense_regions: int =
     means = lagged.where(F.col("lag").isNotNull()).groupBy("region").agg(
         F.avg("lag").alias("lag"), F.count(F.lit(1)).alias("_n")
     )
-    n = means.limit(dense_regions + 1).count()
+    known = means.limit(dense_regions + 1).toPandas().sort_values("region")
+    n = len(known)
     if n > dense_regions:
         raise ValueError(
             f"more than {dense_regions} regions: the first stage on [1, S] needs a dense solve; use method 'ols'"
         )
-    known = means.toPandas().sort_values("region")
     place = {region: at for at, region in enumerate(known["region"])}
     weights = edges.toPandas()
     weights = weights[weights["i"].isin(place) & weights["j"].isin(place)]

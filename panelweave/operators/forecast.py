@@ -19,11 +19,13 @@ from panelweave.functions.hashing import uniform
 from panelweave.functions.heads import head
 from panelweave.functions.scalars import total
 from panelweave.operators.ordered import is_calendar, over_neighbourhood, tail
-from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, weighted_cross_products
+from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, number, weighted_cross_products
 
 DEFAULT_LAGS = (1, 2, 3, 7)
 NU_GRID = (2.5, 3.0, 4.0, 5.0, 8.0, 15.0, 30.0)
 MAX_PASSES = 15
+START_ROWS = 20_000
+START_STEPS = 100
 
 
 @dataclass(frozen=True)
@@ -105,9 +107,9 @@ def fit(
         beta, intercept, sse = _solution(means, products)
         spread, nu = math.sqrt(max(sse, 0.0) / n), None
         if distribution == "laplace":
-            intercept, beta, spread = _absolute_fit(rows, names, means, intercept, beta)
+            intercept, beta, spread = _absolute_fit(rows, names, means, intercept, beta, n)
         elif distribution == "student_t":
-            intercept, beta, spread, nu = _student_fit(rows, names, means, intercept, beta, spread)
+            intercept, beta, spread, nu = _student_fit(rows, names, means, intercept, beta, spread, n)
     finally:
         if repeated:
             rows.unpersist()
@@ -126,42 +128,83 @@ def _solution(means: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, floa
     return beta, float(means[k] - beta @ means[:k]), float(sse)
 
 
-def _residual(names: Sequence[str], intercept: float, beta: np.ndarray) -> Column:
-    return F.col("x") - total([F.lit(float(intercept)), *(F.lit(float(b)) * F.col(c) for c, b in zip(names, beta))])
+def _residual(names: Sequence[str], intercept: float, beta: np.ndarray) -> str:
+    return "(x - " + " - ".join([number(intercept), *(f"{number(b)} * `{c}`" for c, b in zip(names, beta))]) + ")"
 
 
-def _absolute_fit(rows, names, centre, intercept, beta, floor: float = 1e-6):
-    """Location that minimises Σ|r|, and the mean |r| of the final location."""
-    for _ in range(MAX_PASSES):
-        weight = 1.0 / F.greatest(F.abs(_residual(names, intercept, beta)), F.lit(floor))
-        _, means, products = weighted_cross_products(rows, "x", names, weight, centre)
-        new, new_intercept, _ = _solution(means, products)
-        moved = max(np.abs(new - beta).max(), abs(new_intercept - intercept))
-        beta, intercept = new, new_intercept
-        if moved < 1e-7:
-            break
-    spread = rows.agg(F.avg(F.abs(_residual(names, intercept, beta)))).first()[0]
-    return intercept, beta, spread or floor
+def _start_rows(rows: DataFrame, names: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``START_ROWS`` rows picked by hash, as (design with intercept, x).
+
+    They only supply a starting point that saves passes; the passes themselves read every row and
+    decide on convergence.
+    """
+    share = min(1.0, START_ROWS / n)
+    picked = rows.where(F.pmod(F.xxhash64("region", "t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    found = picked.select("x", *names).limit(2 * START_ROWS).toPandas().to_numpy(float)
+    return np.column_stack([np.ones(len(found)), found[:, 1:]]), found[:, 0]
+
+
+def _weighted_solution(design: np.ndarray, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    root = np.sqrt(weight)
+    return np.linalg.lstsq(design * root[:, None], x * root, rcond=None)[0]
 
 
-def _student_fit(rows, names, centre, intercept, beta, spread):
-    """EM for location and spread; the degrees of freedom with the lowest loss on a fixed grid."""
-    n, nu = rows.count(), 5.0
-    spread = spread or 1e-6
+def _absolute_fit(rows, names, centre, intercept, beta, n, floor: float = 1e-6):
+    """Location that minimises Σ|r|, and its mean |r|. Stops when a pass gains less than a
+    millionth."""
+    design, x = _start_rows(rows, names, n)
+    start = np.array([intercept, *beta])
+    for _ in range(START_STEPS if len(x) > len(start) else 0):
+        start = _weighted_solution(design, x, 1.0 / np.maximum(np.abs(x - design @ start), floor))
+    intercept, beta, best = float(start[0]), start[1:], math.inf
     for _ in range(MAX_PASSES):
-        squared = F.pow(_residual(names, intercept, beta) / F.lit(spread), F.lit(2.0))
-        weight = (nu + 1.0) / (nu + squared)
-        _, means, products = weighted_cross_products(rows, "x", names, weight, centre)
+        residual = _residual(names, intercept, beta)
+        _, means, products, (reached,) = weighted_cross_products(
+            rows, "x", names, f"1D / greatest(abs({residual}), {number(floor)})", centre, [f"avg(abs({residual}))"]
+        )
+        settled = reached >= best * (1 - 1e-6)
+        if reached < best:
+            best, found = reached, (intercept, beta)
+        if settled:
+            break
+        beta, intercept, _ = _solution(means, products)
+    return *found, best or floor
+
+
+def _student_losses(mean_logs: Sequence[float]) -> list[float]:
+    """Mean loss, up to ln(spread), for each degree of freedom of the grid."""
+    return [
+        math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * mean_log
+        for g, mean_log in zip(NU_GRID, mean_logs)
+    ]
+
+
+def _student_fit(rows, names, centre, intercept, beta, spread, n):
+    """EM for location and spread; each pass also scores the grid of degrees of freedom and the
+    next one takes the best."""
+    nu, spread = 5.0, spread or 1e-6
+    design, x = _start_rows(rows, names, n)
+    start = np.array([intercept, *beta])
+    for _ in range(START_STEPS if len(x) > len(start) else 0):
+        squared = ((x - design @ start) / spread) ** 2
+        weight = (nu + 1) / (nu + squared)
+        nu = NU_GRID[int(np.argmin(_student_losses([np.log1p(squared / g).mean() for g in NU_GRID])))]
+        start = _weighted_solution(design, x, weight)
+        spread = math.sqrt((weight * (x - design @ start) ** 2).mean()) or 1e-6
+    intercept, beta = float(start[0]), start[1:]
+    for _ in range(MAX_PASSES):
+        squared = f"pow({_residual(names, intercept, beta)} / {number(spread)}, 2D)"
+        scores = [f"avg(ln(1D + {squared} / {number(g)}))" for g in NU_GRID]
+        _, means, products, logs = weighted_cross_products(
+            rows, "x", names, f"{number(nu + 1)} / ({number(nu)} + {squared})", centre, scores
+        )
         new, new_intercept, sse = _solution(means, products)
         new_spread = math.sqrt(max(sse, 0.0) / n) or 1e-6
+        chosen = NU_GRID[int(np.argmin(_student_losses(logs)))]
         moved = max(np.abs(new - beta).max(), abs(new_intercept - intercept), abs(new_spread - spread))
-        beta, intercept, spread = new, new_intercept, new_spread
-        residual = _residual(names, intercept, beta)
-        losses = rows.agg(
-            *(F.avg(head("student_t", nu=g).nll(residual, 0.0, spread)).alias(str(k)) for k, g in enumerate(NU_GRID))
-        ).first()
-        nu = NU_GRID[int(np.argmin([losses[str(k)] for k in range(len(NU_GRID))]))]
-        if moved < 1e-6:
+        settled = moved < 1e-4 and chosen == nu
+        beta, intercept, spread, nu = new, new_intercept, new_spread, chosen
+        if settled:
             break
     return intercept, beta, spread, nu
 

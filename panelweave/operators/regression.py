@@ -63,21 +63,26 @@ def cross_products(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[int, np.nd
     return n, np.array([row[f"m{k}"] for k in range(len(names))]), products
 
 
+def number(x: float) -> str:
+    """A double as SQL text."""
+    return f"({float(x)!r}D)"
+
+
 def weighted_cross_products(
-    df: DataFrame, y: str, xs: Sequence[str], weight: Column, centre: np.ndarray
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weighted twin of ``cross_products``; sums are taken around a given ``centre`` near the means."""
+    rows: DataFrame, y: str, xs: Sequence[str], weight: str, centre: np.ndarray, extra: Sequence[str] = ()
+) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+    """Weighted twin of ``cross_products`` for complete ``rows``; sums are taken around a ``centre``
+    near the means. ``weight`` and the ``extra`` aggregates are SQL text: a pass has dozens of
+    expressions, and one text each is much cheaper to hand over than a tree of calls.
+    """
     names = [*xs, y]
-    shifted = [F.col(c) - F.lit(float(m)) for c, m in zip(names, centre)]
+    shifted = [f"(`{c}` - {number(m)})" for c, m in zip(names, centre)]
     pairs = list(combinations_with_replacement(range(len(names)), 2))
+    weighted = [f"sum(_w * {x}) AS m{k}" for k, x in enumerate(shifted)]
+    weighted += [f"sum(_w * {shifted[a]} * {shifted[b]}) AS s{a}_{b}" for a, b in pairs]
     row = (
-        complete_rows(df, names)
-        .withColumn("_w", weight)
-        .agg(
-            F.sum("_w").alias("n"),
-            *(F.sum(F.col("_w") * x).alias(f"m{k}") for k, x in enumerate(shifted)),
-            *(F.sum(F.col("_w") * shifted[a] * shifted[b]).alias(f"s{a}_{b}") for a, b in pairs),
-        )
+        rows.selectExpr("*", f"{weight} AS _w")
+        .agg(F.expr("sum(_w) AS n"), *map(F.expr, weighted), *(F.expr(f"{e} AS e{k}") for k, e in enumerate(extra)))
         .first()
     )
     n = row["n"]
@@ -85,7 +90,7 @@ def weighted_cross_products(
     products = np.zeros((len(names), len(names)))
     for a, b in pairs:
         products[a, b] = products[b, a] = row[f"s{a}_{b}"] - n * offset[a] * offset[b]
-    return n, centre + offset, products
+    return n, centre + offset, products, [row[f"e{k}"] for k in range(len(extra))]
 
 
 def minimum_norm(gram: np.ndarray, moment: np.ndarray, tolerance: float = 1e-11) -> tuple[np.ndarray, np.ndarray, int]:

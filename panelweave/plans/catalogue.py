@@ -58,7 +58,7 @@ def plain(c: str) -> Column:
 @query
 def panel_long(spark, d):
     panel = panels.between_dates(fx.nation_panel(spark, d), "1995-06-01", "2000-12-01")
-    return shown(panel, ["y", "c1", "c2"], 4)
+    return shown(panel, ["y", "c1", "c2"], 7)
 
 
 @query
@@ -119,13 +119,13 @@ def wide_country_source(spark, d):
     measures = ["new_cases", "reproduction_rate", "stringency_index"]
     wide = daily.groupBy("date").pivot("location", SEGMENTS).agg(*(F.max(m).alias(m) for m in measures))
     panel = wide_country_panel(wide, [*SEGMENTS, "NOWHERE"], "1996-01-01", "1999-12-31")
-    return shown(panel, ["y", "reproduction_rate", "stringency_index"])
+    return shown(panel, ["y", "reproduction_rate", "stringency_index"], 7)
 
 
 @query
 def long_country_source(spark, d):
     panel = long_country_panel(fx.segment_table(spark, d), SEGMENTS[:3], "1996-01-01", "1999-12-31")
-    return shown(panel, ["y", "reproduction_rate", "stringency_index"])
+    return shown(panel, ["y", "reproduction_rate", "stringency_index"], 7)
 
 
 @query

@@ -36,7 +36,7 @@ def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     urgent = F.col("o_orderpriority").startswith("1").cast("int")
     per_customer = orders.groupBy("o_custkey", month("o_orderdate").alias("t")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price"), F.sum(urgent).alias("urgent")
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice")).alias("price"), F.sum(urgent).alias("urgent")
     )
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("region"))
     return (
@@ -57,7 +57,7 @@ def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table by market segment and order day, named like the public-health source."""
     orders = table(spark, sf_dir, "orders")
     per_customer = orders.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price")
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice")).alias("price")
     )
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("location"))
     return (
@@ -68,7 +68,7 @@ def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             "location",
             "date",
             F.col("n").cast("double").alias("new_cases"),
-            (F.col("price") / F.col("n") / 1000.0).alias("reproduction_rate"),
+            (F.col("price") / F.col("n")).alias("reproduction_rate"),
             (F.col("n") * 2.0).alias("stringency_index"),
         )
     )
