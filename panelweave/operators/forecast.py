@@ -171,42 +171,39 @@ def _absolute_fit(rows, names, centre, intercept, beta, n, floor: float = 1e-6):
     return *found, best or floor
 
 
-def _student_losses(mean_logs: Sequence[float]) -> list[float]:
-    """Mean loss, up to ln(spread), for each degree of freedom of the grid."""
-    return [
-        math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * mean_log
-        for g, mean_log in zip(NU_GRID, mean_logs)
-    ]
-
-
 def _student_fit(rows, names, centre, intercept, beta, spread, n):
-    """EM for location and spread; each pass also scores the grid of degrees of freedom and the
-    next one takes the best."""
-    nu, spread = 5.0, spread or 1e-6
+    """EM for location and spread. Each degree of freedom of a fixed grid gets a starting fit;
+    the one with the lowest loss over all rows is then polished over all rows."""
     design, x = _start_rows(rows, names, n)
-    start = np.array([intercept, *beta])
-    for _ in range(START_STEPS if len(x) > len(start) else 0):
-        squared = ((x - design @ start) / spread) ** 2
-        weight = (nu + 1) / (nu + squared)
-        nu = NU_GRID[int(np.argmin(_student_losses([np.log1p(squared / g).mean() for g in NU_GRID])))]
-        start = _weighted_solution(design, x, weight)
-        spread = math.sqrt((weight * (x - design @ start) ** 2).mean()) or 1e-6
-    intercept, beta = float(start[0]), start[1:]
+    starts = {}
+    for nu in NU_GRID:
+        start, width = np.array([intercept, *beta]), spread or 1e-6
+        for _ in range(START_STEPS if len(x) > len(start) else 0):
+            weight = (nu + 1) / (nu + ((x - design @ start) / width) ** 2)
+            start = _weighted_solution(design, x, weight)
+            width = math.sqrt((weight * (x - design @ start) ** 2).mean()) or 1e-6
+        starts[nu] = start, width
+
+    def squared(start, width) -> str:
+        return f"pow({_residual(names, start[0], start[1:])} / {number(width)}, 2D)"
+
+    logs = rows.agg(*(F.expr(f"avg(ln(1D + {squared(*s)} / {number(g)})) AS l{k}") for k, (g, s) in enumerate(starts.items()))).first()
+    losses = [
+        math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + math.log(starts[g][1]) + (g + 1) / 2 * logs[f"l{k}"]
+        for k, g in enumerate(NU_GRID)
+    ]
+    nu = NU_GRID[int(np.argmin(losses))]
+    start, width = starts[nu]
     for _ in range(MAX_PASSES):
-        squared = f"pow({_residual(names, intercept, beta)} / {number(spread)}, 2D)"
-        scores = [f"avg(ln(1D + {squared} / {number(g)}))" for g in NU_GRID]
-        _, means, products, logs = weighted_cross_products(
-            rows, "x", names, f"{number(nu + 1)} / ({number(nu)} + {squared})", centre, scores
-        )
-        new, new_intercept, sse = _solution(means, products)
-        new_spread = math.sqrt(max(sse, 0.0) / n) or 1e-6
-        chosen = NU_GRID[int(np.argmin(_student_losses(logs)))]
-        moved = max(np.abs(new - beta).max(), abs(new_intercept - intercept), abs(new_spread - spread))
-        settled = moved < 1e-4 and chosen == nu
-        beta, intercept, spread, nu = new, new_intercept, new_spread, chosen
-        if settled:
+        weight = f"{number(nu + 1)} / ({number(nu)} + {squared(start, width)})"
+        _, means, products, _ = weighted_cross_products(rows, "x", names, weight, centre)
+        beta, intercept, sse = _solution(means, products)
+        new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / n) or 1e-6
+        moved = max(np.abs(new - start).max(), abs(new_width - width))
+        start, width = new, new_width
+        if moved < 1e-5:
             break
-    return intercept, beta, spread, nu
+    return float(start[0]), start[1:], width, nu
 
 
 def loss(df: DataFrame, model: Autoregression, scales: DataFrame, column: str = "y", freq: str = "D") -> DataFrame:

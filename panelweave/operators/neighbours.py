@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelweave.functions.scalars import total
 from panelweave.operators.tiling import product, tile_sides, tiles_for
+from panelweave.session import stage
 
 CELL_POINTS = 2_048
 ONE_CELL_POINTS = 512
 MAX_LEVEL = 30
+# absorbs rounding at the borders of boxes; it only adds candidates
+SLACK = 1.000001
 
 Coords = Sequence[str] | str
 
@@ -111,9 +114,10 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     """Exact search over cells that halve until they hold few points.
 
     A leaf is a cell of at most ``full`` ≥ k+2 points whose parent holds more, so the parent's
-    diagonal bounds the distance to the k-th neighbour of each point in the leaf. The
-    leaves that this ball can reach give the candidates. Points that share one location are
-    searched through its k+1 smallest keys only, so copies never multiply.
+    diagonal bounds the distance to the k-th neighbour; the leaves next to it under the same
+    parent usually give a much closer bound. The leaves within that bound of a point hold its
+    candidates. Points that share one location are searched through its k+1 smallest keys
+    only, so copies never multiply.
     """
     dims, axes = len(coords), range(len(coords))
     named = _named(points, "i", coords, "p")
@@ -132,17 +136,30 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
 
     copy = F.row_number().over(Window.partitionBy(*place).orderBy("i"))
     located = named.withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
+    point = ["i", *place]
+    held = [F.col("i").alias("j"), *(F.col(f"p{n}").alias(f"q{n}") for n in axes)]
     if small:
-        leaved = located.withColumn("leaf", F.struct(F.lit(0).alias("level"), *(F.lit(0).cast("bigint").alias(f"c{n}") for n in axes)))
-        hops = leaved.select(F.col("leaf").alias("from_leaf")).distinct().withColumn("to_leaf", F.col("from_leaf"))
+        others = located.select(*held, F.lit(0).alias("_root"))
+        candidates = located.select(*point, F.lit(0).alias("_root")).join(others, "_root")
     else:
-        leaved = _assign_leaves(located, low, extent, depth, full, dims)
-        hops = _reachable_leaves(leaved.select("leaf").distinct(), extent, dims)
-    held = leaved.select(F.col("i").alias("j"), *(F.col(f"p{n}").alias(f"q{n}") for n in axes), F.col("leaf").alias("to_leaf"))
-    seekers = leaved.select("i", *place, F.col("leaf").alias("from_leaf"))
-    candidates = seekers.join(hops, "from_leaf").join(held, "to_leaf").where("i <> j")
+        # read by four branches below: written once
+        leaved = stage(_with_bound(_assign_leaves(located, low, extent, depth, full, dims), k, extent, dims))
+        leaves = leaved.groupBy("leaf").agg(F.max("bound").alias("reach"))
+        hops = _reachable_leaves(leaves, extent, dims)
+        gaps = []
+        for n in axes:
+            start = low[n] + F.col("to_leaf")[f"c{n}"] * _side(F.col("to_leaf"), extent)
+            gaps.append(F.greatest(F.lit(0.0), start - F.col(f"p{n}"), F.col(f"p{n}") - start - _side(F.col("to_leaf"), extent)))
+        visits = (
+            leaved.select(*point, "bound", F.col("leaf").alias("from_leaf"))
+            .join(hops, "from_leaf")
+            .where(F.sqrt(total([g * g for g in gaps])) <= F.col("bound") * SLACK)
+        )
+        candidates = visits.select(*point, "bound", "to_leaf").join(
+            leaved.select(*held, F.col("leaf").alias("to_leaf")), "to_leaf"
+        ).where(F.sqrt(_squared(dims)) <= F.col("bound") * SLACK)
     searched = _closest(
-        candidates.select("i", "j", _squared(dims).alias("_d2")).withColumn("d", F.sqrt("_d2")), k
+        candidates.where("i <> j").select("i", "j", _squared(dims).alias("_d2")).withColumn("d", F.sqrt("_d2")), k
     )
     # the k smallest keys at the same place are the neighbours of every later copy
     spread = 32
@@ -208,13 +225,43 @@ def _ancestor(index: Column | str, depth: int | Column, level: Column) -> Column
     return F.floor(index / F.pow(F.lit(2.0), depth - level)).cast("bigint")
 
 
+def _side(leaf: Column, extent: float) -> Column:
+    """Width of a leaf."""
+    return F.lit(extent) / F.pow(F.lit(2.0), leaf["level"])
+
+
+def _with_bound(leaved: DataFrame, k: int, extent: float, dims: int) -> DataFrame:
+    """``bound`` of each point: no smaller than the distance to its k-th neighbour.
+
+    Leaves under one parent hold at most 2^dims·full points together; among these the k-th
+    distance is taken where they suffice.
+    """
+    axes, level = range(dims), F.col("leaf")["level"]
+    parent = F.struct(
+        (level - 1).alias("level"), *(_ancestor(F.col("leaf")[f"c{n}"], level, level - 1).alias(f"c{n}") for n in axes)
+    )
+    place = [f"p{n}" for n in axes]
+    families = leaved.groupBy(parent.alias("_parent")).agg(
+        F.collect_list(F.struct("i", *place, "leaf")).alias("_family")
+    )
+
+    def apart(a: Column, b: Column) -> Column:
+        return total([(a[c] - b[c]) * (a[c] - b[c]) for c in place])
+
+    members = families.select("_family", F.inline("_family"))
+    squares = F.array_sort(F.transform("_family", lambda m: apart(F.struct(*place), m)))
+    near = F.when(F.size("_family").between(k + 1, 512), F.sqrt(F.try_element_at(squares, F.lit(k + 1))))
+    diagonal = 2.0 * math.sqrt(dims) * _side(F.col("leaf"), extent)
+    return members.select("i", *place, "leaf", F.coalesce(F.least(near, diagonal), diagonal).alias("bound"))
+
+
 def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
-    """Pairs (from_leaf, to_leaf) whose boxes are no farther apart than the parent diagonal of
-    ``from_leaf``.
+    """Pairs (from_leaf, to_leaf) whose boxes are at most ``reach`` of ``from_leaf`` apart, which is
+    no more than its parent's diagonal.
 
     With cells four times as wide as the leaf, the ball stays inside the 3^dims cells around it.
-    Finer leaves meet there through their ancestor at that level, coarser ones
-    through an ancestor of those cells.
+    Finer leaves meet there through their ancestor at that level, coarser ones through an
+    ancestor of those cells.
     """
     axes = range(dims)
     level = F.col("leaf")["level"]
@@ -229,13 +276,14 @@ def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
     )
     key = ["key_level", *(f"k{n}" for n in axes)]
     finer_side = around.select(
-        F.col("leaf").alias("from_leaf"), F.col("base").alias("key_level"), *(F.col(f"b{n}").alias(f"k{n}") for n in axes)
+        F.col("leaf").alias("from_leaf"), "reach", F.col("base").alias("key_level"), *(F.col(f"b{n}").alias(f"k{n}") for n in axes)
     )
     coarser_side = (
         around.where("base > 0")
         .withColumn("key_level", F.explode(F.sequence(F.lit(0), F.col("base") - 1)))
         .select(
             F.col("leaf").alias("from_leaf"),
+            "reach",
             "key_level",
             *(_ancestor(f"b{n}", F.col("base"), F.col("key_level")).alias(f"k{n}") for n in axes),
         )
@@ -249,20 +297,14 @@ def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
     own = leaves.select(
         F.col("leaf").alias("to_leaf"), level.alias("key_level"), *(F.col("leaf")[f"c{n}"].alias(f"k{n}") for n in axes)
     )
-    met = finer_side.join(with_ancestors, key).unionByName(coarser_side.join(own, key)).select("from_leaf", "to_leaf")
-
-    def side(leaf: Column) -> Column:
-        return F.lit(extent) / F.pow(F.lit(2.0), leaf["level"])
-
+    met = finer_side.join(with_ancestors, key).unionByName(coarser_side.join(own, key))
     a, b = F.col("from_leaf"), F.col("to_leaf")
     gaps = []
     for n in axes:
-        a_low, b_low = a[f"c{n}"] * side(a), b[f"c{n}"] * side(b)
-        gap = F.greatest(F.lit(0.0), b_low - a_low - side(a), a_low - b_low - side(b))
+        a_low, b_low = a[f"c{n}"] * _side(a, extent), b[f"c{n}"] * _side(b, extent)
+        gap = F.greatest(F.lit(0.0), b_low - a_low - _side(a, extent), a_low - b_low - _side(b, extent))
         gaps.append(gap * gap)
-    reach = 2.0 * math.sqrt(dims) * side(a)
-    # a hair of slack absorbs rounding of the box borders; it only adds candidates
-    return met.where((a["level"] == 0) | (F.sqrt(total(gaps)) <= reach * 1.000001))
+    return met.where((a["level"] == 0) | (F.sqrt(total(gaps)) <= F.col("reach") * SLACK)).select("from_leaf", "to_leaf")
 
 
 def _tile_pairs(

@@ -16,6 +16,7 @@ from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
 from panelweave.plans import fixtures as fx
 from panelweave.plans.model import ModelConfig, PanelProcessor, SpatialCausalForecaster
+from panelweave.session import stage
 from panelweave.sources.readers import long_country_panel, wide_country_panel
 from panelweave.sources.synthetic import synthetic_values
 
@@ -73,12 +74,12 @@ def panel_wide_unpivot(spark, d):
 
 @query
 def panel_densify(spark, d):
-    return shown(panels.densify(fx.user_panel(spark, d)), ["y", "c1"])
+    return shown(fx.dense(fx.user_panel(spark, d)), ["y", "c1"])
 
 
 @query
 def panel_densify_hourly(spark, d):
-    return shown(panels.densify(fx.type_panel(spark, d), "h"), ["y"])
+    return shown(fx.dense(fx.type_panel(spark, d), "h"), ["y"])
 
 
 @query
@@ -131,7 +132,7 @@ def long_country_source(spark, d):
 @query
 def synthetic_panel(spark, d):
     """Synthetic values for the regions and dates of the user panel."""
-    panel = fx.user_panel(spark, d)
+    panel = stage(fx.user_panel(spark, d))
     dates = panels.calendar_of(panel)
     first = dates.agg(F.min("t").alias("first")).scalar()
     cells = panels.densify(panel).select("region", "t", F.date_diff("t", first).alias("step"))
@@ -143,39 +144,39 @@ def synthetic_panel(spark, d):
 
 @query
 def interpolate_linear(spark, d):
-    return shown(missing.interpolate_linear(panels.densify(fx.user_panel(spark, d)), ["y", "c1"]), ["y", "c1"])
+    return shown(missing.interpolate_linear(fx.dense(fx.user_panel(spark, d)), ["y", "c1"]), ["y", "c1"])
 
 
 @query
 def interpolate_hourly(spark, d):
     """The same over few long series: windows stay inside calendar blocks."""
-    dense = panels.densify(fx.type_panel(spark, d), "h")
+    dense = fx.dense(fx.type_panel(spark, d), "h")
     return shown(missing.interpolate_linear(dense, ["y"], "h", block_steps=168), ["y"])
 
 
 @query
 def ffill(spark, d):
-    return shown(missing.forward_fill(panels.densify(fx.user_panel(spark, d)), ["y", "c1"]), ["y", "c1"])
+    return shown(missing.forward_fill(fx.dense(fx.user_panel(spark, d)), ["y", "c1"]), ["y", "c1"])
 
 
 @query
 def dropna(spark, d):
-    return shown(missing.drop_incomplete(panels.densify(fx.user_panel(spark, d))), ["y", "c1"])
+    return shown(missing.drop_incomplete(fx.dense(fx.user_panel(spark, d))), ["y", "c1"])
 
 
 @query
 def zero_fill(spark, d):
-    return shown(missing.zero_fill(panels.densify(fx.user_panel(spark, d))), ["y", "c1"])
+    return shown(missing.zero_fill(fx.dense(fx.user_panel(spark, d))), ["y", "c1"])
 
 
 @query
 def ph_fill_rule(spark, d):
-    return shown(missing.public_health_fill(panels.densify(fx.user_panel(spark, d)), ["c1"]), ["y", "c1"])
+    return shown(missing.public_health_fill(fx.dense(fx.user_panel(spark, d)), ["c1"]), ["y", "c1"])
 
 
 @query
 def observed_mask(spark, d):
-    masked = missing.observed_mask(panels.densify(fx.user_panel(spark, d)))
+    masked = missing.observed_mask(fx.dense(fx.user_panel(spark, d)))
     return shown(masked, ["y"], keys=("region", "t", "observed"))
 
 
@@ -210,18 +211,18 @@ def separate_covariate_scale(spark, d):
 @query
 def inverse_roundtrip(spark, d):
     processor = PanelProcessor(covariates=["c1"], handle_missing="fill")
-    scaled = processor.finish(panels.densify(fx.user_panel(spark, d)))
+    scaled = processor.finish(fx.dense(fx.user_panel(spark, d)))
     return shown(processor.inverse_covariates(processor.inverse_targets(scaled)), ["y", "c1"])
 
 
 @query
 def window_mean_scale(spark, d):
-    return shown(scaling.window_mean_scale(panels.densify(fx.user_panel(spark, d)), 7), ["scale"])
+    return shown(scaling.window_mean_scale(fx.dense(fx.user_panel(spark, d)), 7), ["scale"])
 
 
 @query
 def window_mean_scale_hourly(spark, d):
-    dense = panels.densify(fx.type_panel(spark, d), "h")
+    dense = fx.dense(fx.type_panel(spark, d), "h")
     return shown(scaling.window_mean_scale(dense, 24, freq="h", block_steps=168), ["scale"])
 
 
@@ -340,7 +341,8 @@ def w_normalised(spark, d):
 
 
 def _near_edges(spark, d):
-    return weights.spatial_weights(fx.customer_points(spark, d), "binary", coords=["x", "y"], threshold=fx.NEAR)
+    """The checks read the edges several times: written once."""
+    return stage(weights.spatial_weights(fx.customer_points(spark, d), "binary", coords=["x", "y"], threshold=fx.NEAR))
 
 
 @query
@@ -372,7 +374,7 @@ def lag(spark, d):
 @query
 def lag_isolated(spark, d):
     """Half of the suppliers have no neighbour; gaps of a neighbour make a lag unknown."""
-    dense = panels.densify(fx.user_panel(spark, d))
+    dense = fx.dense(fx.user_panel(spark, d))
     key = F.col("region")
     links = panels.regions_of(dense).where(key % 2 == 0).select(key.alias("i"), (key + 1).alias("j"), F.lit(1.0).alias("w"))
     known = links.join(panels.regions_of(dense).withColumnRenamed("region", "j"), "j", "left_semi")
@@ -429,7 +431,7 @@ def did_r_squared(spark, d):
 
 
 def _nation_fit(spark, d):
-    rows, edges = fx.nation_rows(spark, d), fx.nation_edges(spark, d)
+    rows, edges = stage(fx.nation_rows(spark, d)), fx.nation_edges(spark, d)
     fit, _ = did.fit_ols(rows, edges)
     return rows, edges, fit
 
@@ -471,34 +473,34 @@ def _windows_out(df: DataFrame, date: str | None) -> DataFrame:
 
 @query
 def train_windows(spark, d):
-    return _windows_out(windows.training_windows(panels.densify(fx.user_panel(spark, d)), 7, 3), "forecast_start")
+    return _windows_out(windows.training_windows(fx.dense(fx.user_panel(spark, d)), 7, 3), "forecast_start")
 
 
 @query
 def train_windows_sampled(spark, d):
-    picked = windows.training_windows(panels.densify(fx.user_panel(spark, d)), 7, 3, seed=SEED)
+    picked = windows.training_windows(fx.dense(fx.user_panel(spark, d)), 7, 3, seed=SEED)
     return picked.select("region", F.col("forecast_start").cast("string").alias("forecast_start"), packed("future"))
 
 
 @query
 def train_windows_hourly(spark, d):
-    cut = windows.training_windows(panels.densify(fx.type_panel(spark, d), "h"), 4, 2, "h", block_steps=168)
+    cut = windows.training_windows(fx.dense(fx.type_panel(spark, d), "h"), 4, 2, "h", block_steps=168)
     return cut.select("region", F.col("forecast_start").cast("string").alias("forecast_start"), packed("past"), packed("future"))
 
 
 @query
 def predict_window(spark, d):
-    return _windows_out(windows.prediction_window(panels.densify(fx.user_panel(spark, d)), 7, 3), "last_known")
+    return _windows_out(windows.prediction_window(fx.dense(fx.user_panel(spark, d)), 7, 3), "last_known")
 
 
 @query
 def predict_window_holdout(spark, d):
-    return _windows_out(windows.prediction_window(panels.densify(fx.user_panel(spark, d)), 7, 3, True), "last_known")
+    return _windows_out(windows.prediction_window(fx.dense(fx.user_panel(spark, d)), 7, 3, True), "last_known")
 
 
 @query
 def aligned_windows(spark, d):
-    cut = windows.training_windows(panels.densify(fx.user_panel(spark, d)), 7, 3)
+    cut = windows.training_windows(fx.dense(fx.user_panel(spark, d)), 7, 3)
     aligned = windows.aligned_training(cut, 7, 3)
     return aligned.select(
         "region", F.col("forecast_start").cast("string").alias("forecast_start"), packed("inputs"), plain("inputs_observed"), packed("targets")
@@ -539,7 +541,7 @@ def head_quantiles(spark, d):
 
 
 def _ar(spark, d, distribution="gaussian", lags=(1,)):
-    panel = fx.filled(fx.supplier_panel(spark, d))
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
     return panel, forecast.fit(panel, CONTEXT, distribution, lags, freq="M")
 
 
@@ -595,7 +597,7 @@ def forecast_paths_student(spark, d):
 
 
 def _ensemble(spark, d):
-    panel = fx.filled(fx.supplier_panel(spark, d))
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
     return panel, *fx.ensemble(panel)
 
 
@@ -730,7 +732,7 @@ def report(spark, d):
 
 def _model(spark, d, distribution="laplace"):
     config = ModelConfig(AHEAD, CONTEXT, "M", distribution, num_sample_paths=SAMPLES, causal_method="ols", seed=SEED)
-    panel = fx.filled(fx.supplier_panel(spark, d))
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
     train, test = panels.temporal_split(panel, AHEAD / 80, "M")
     model = SpatialCausalForecaster(config, fx.supplier_edges(spark, d), fx.supplier_points(spark, d), fx.POST_START)
     return model.fit(train), train, test

@@ -8,6 +8,7 @@ from panelweave.operators import panel as panels, weights
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.missing import zero_fill
 from panelweave.operators.ordered import over_neighbourhood, tail
+from panelweave.session import stage
 from panelweave.sources.readers import read_table
 
 POST_START = "1998-05-01"
@@ -98,8 +99,14 @@ def type_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense(panel: DataFrame, freq: str = "D") -> DataFrame:
+    """The dense grid reads its panel three times (regions, dates, values), so the aggregate over
+    the raw table is written once first."""
+    return panels.densify(stage(panel), freq)
+
+
 def filled(panel: DataFrame, freq: str = "M") -> DataFrame:
-    return zero_fill(panels.densify(panel, freq))
+    return zero_fill(dense(panel, freq))
 
 
 def on_strip(key: Column) -> tuple[Column, Column]:
