@@ -19,7 +19,7 @@ from panelweave.functions.hashing import uniform
 from panelweave.functions.heads import head
 from panelweave.functions.scalars import total
 from panelweave.operators.ordered import is_calendar, over_neighbourhood, tail
-from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, number, weighted_cross_products
+from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, number, summed_products
 
 DEFAULT_LAGS = (1, 2, 3, 7)
 NU_GRID = (2.5, 3.0, 4.0, 5.0, 8.0, 15.0, 30.0)
@@ -107,7 +107,7 @@ def fit(
         beta, intercept, sse = _solution(means, products)
         spread, nu = math.sqrt(max(sse, 0.0) / n), None
         if distribution == "laplace":
-            intercept, beta, spread = _absolute_fit(rows, names, means, intercept, beta, n)
+            intercept, beta, spread = _absolute_fit(rows, names, means, products, intercept, beta, n)
         elif distribution == "student_t":
             intercept, beta, spread, nu = _student_fit(rows, names, means, intercept, beta, spread, n)
     finally:
@@ -149,26 +149,48 @@ def _weighted_solution(design: np.ndarray, x: np.ndarray, weight: np.ndarray) ->
     return np.linalg.lstsq(design * root[:, None], x * root, rcond=None)[0]
 
 
-def _absolute_fit(rows, names, centre, intercept, beta, n, floor: float = 1e-6):
-    """Location that minimises Σ|r|, and its mean |r|. Stops when a pass gains less than a
-    millionth."""
+def _absolute_fit(rows, names, centre, products, intercept, beta, n):
+    """Location that minimises Σ|r|, and its mean |r|.
+
+    Each pass sums the signs of the residuals against the regressors and counts residuals near
+    zero. Their density there gives the curvature of Σ|r|, so the step is a Newton step on the
+    cross products already known; a step that does not help is halved.
+    """
+    k = len(names)
+    _, inverse, _ = minimum_norm(products[:k, :k], products[:k, k])
     design, x = _start_rows(rows, names, n)
     start = np.array([intercept, *beta])
     for _ in range(START_STEPS if len(x) > len(start) else 0):
-        start = _weighted_solution(design, x, 1.0 / np.maximum(np.abs(x - design @ start), floor))
-    intercept, beta, best = float(start[0]), start[1:], math.inf
+        start = _weighted_solution(design, x, 1.0 / np.maximum(np.abs(x - design @ start), 1e-6))
+    best, found, step = math.inf, start, np.zeros(k + 1)
     for _ in range(MAX_PASSES):
-        residual = _residual(names, intercept, beta)
-        _, means, products, (reached,) = weighted_cross_products(
-            rows, "x", names, f"1D / greatest(abs({residual}), {number(floor)})", centre, [f"avg(abs({residual}))"]
+        trial = found + step
+        residual = _residual(names, trial[0], trial[1:])
+        width = (best if best < math.inf else math.sqrt(max(products[k, k], 0.0) / n)) * 0.2 or 1e-6
+        row = (
+            rows.selectExpr(*(f"`{c}`" for c in names), f"{residual} AS _r")
+            .agg(
+                F.expr("avg(abs(_r)) AS reached"),
+                F.expr(f"count_if(abs(_r) < {number(width)}) AS near"),
+                F.expr("sum(signum(_r)) AS g"),
+                *(F.expr(f"sum(signum(_r) * (`{c}` - {number(m)})) AS g{j}") for j, (c, m) in enumerate(zip(names, centre))),
+            )
+            .first()
         )
-        settled = reached >= best * (1 - 1e-6)
-        if reached < best:
-            best, found = reached, (intercept, beta)
-        if settled:
+        if row["reached"] >= best:
+            if np.abs(step).max() < 1e-7:
+                break
+            step = step / 2
+            continue
+        gained = best - row["reached"]
+        best, found = row["reached"], trial
+        if gained < 1e-7 * best:
             break
-        beta, intercept, _ = _solution(means, products)
-    return *found, best or floor
+        density = max(row["near"], 1) / (2 * width * n)
+        slopes = inverse @ np.array([row[f"g{j}"] for j in range(k)]) / (2 * density)
+        level = row["g"] / n / (2 * density)
+        step = np.array([level - slopes @ centre[:k], *slopes])
+    return float(found[0]), found[1:], best or 1e-6
 
 
 def _student_fit(rows, names, centre, intercept, beta, spread, n):
@@ -196,7 +218,7 @@ def _student_fit(rows, names, centre, intercept, beta, spread, n):
     start, width = starts[nu]
     for _ in range(MAX_PASSES):
         weight = f"{number(nu + 1)} / ({number(nu)} + {squared(start, width)})"
-        _, means, products, _ = weighted_cross_products(rows, "x", names, weight, centre)
+        _, means, products = summed_products(rows, [*names, "x"], centre, weight)
         beta, intercept, sse = _solution(means, products)
         new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / n) or 1e-6
         moved = max(np.abs(new - start).max(), abs(new_width - width))

@@ -239,13 +239,13 @@ class SpatialCausalForecaster:
         return self.forecaster.model is not None
 
     def fit(self, panel: DataFrame, fit_causal: bool = True) -> SpatialCausalForecaster:
-        """The adjusted series is written once; the forecaster's passes read that table instead of
-        repeating the joins."""
+        """The panel and the adjusted series are written once each; guards and passes read those
+        tables instead of repeating the joins."""
+        panel = stage(panel)
         panels.require_unique(panel)
         if self.regions is not None:
             panels.require_regions(panel, self.regions)
         if fit_causal:
-            panel = stage(panel)
             self.causal.fit(panel)
             self.causal_fitted = True
             self.forecaster.fit(stage(self.causal.adjust(panel)), "z")
