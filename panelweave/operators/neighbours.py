@@ -139,8 +139,7 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     point = ["i", *place]
     held = [F.col("i").alias("j"), *(F.col(f"p{n}").alias(f"q{n}") for n in axes)]
     if small:
-        others = located.select(*held, F.lit(0).alias("_root"))
-        candidates = located.select(*point, F.lit(0).alias("_root")).join(others, "_root")
+        candidates = product(located.select(*point), located.select(*held), ["i"], ["j"], 1, 1)
     else:
         # read by four branches below: written once
         leaved = stage(_with_bound(_assign_leaves(located, low, extent, depth, full, dims), k, extent, dims))
