@@ -19,7 +19,7 @@ from panelweave.session import stage
 
 CELL_POINTS = 2_048
 ONE_CELL_POINTS = 512
-MAX_LEVEL = 30
+MAX_LEVEL = 50
 # absorbs rounding at the borders of boxes; it only adds candidates
 SLACK = 1.000001
 
@@ -132,7 +132,6 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     extent = max(box[f"high{n}"] - box[f"low{n}"] for n in axes) or 1.0
     full = max(2 * (k + 1), 8)
     small = box["n"] <= max(ONE_CELL_POINTS, full)
-    depth = 0 if small else min(MAX_LEVEL, math.ceil(math.log2(box["n"] / full) / dims) + 10)
 
     copy = F.row_number().over(Window.partitionBy(*place).orderBy("i"))
     located = named.withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
@@ -141,6 +140,7 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     if small:
         candidates = product(located.select(*point), located.select(*held), ["i"], ["j"], 1, 1)
     else:
+        depth = _depth(located, low, extent, math.ceil(math.log2(box["n"] / full) / dims) + 6, full, dims)
         # read by four branches below: written once
         leaved = stage(_with_bound(_assign_leaves(located, low, extent, depth, full, dims), k, extent, dims))
         leaves = leaved.groupBy("leaf").agg(F.max("bound").alias("reach"))
@@ -179,12 +179,26 @@ def _cell(n: int, low: float, extent: float, level: Column) -> Column:
     return F.least(index, per_side.cast("bigint") - 1)
 
 
+def _fine_cells(located: DataFrame, low: list[float], extent: float, depth: int, dims: int) -> DataFrame:
+    return located.withColumns({f"_f{n}": _cell(n, low[n], extent, F.lit(float(depth))) for n in range(dims)})
+
+
+def _depth(located: DataFrame, low: list[float], extent: float, depth: int, full: int, dims: int) -> int:
+    """A depth at which no cell is crowded, so that far-off points cannot squeeze the others into
+    one leaf. One combined count per attempt; the first one nearly always holds."""
+    while depth < MAX_LEVEL:
+        cells = _fine_cells(located, low, extent, depth, dims).groupBy(*(f"_f{n}" for n in range(dims)))
+        if not cells.count().where(F.col("count") > full).take(1):
+            break
+        depth += 8
+    return min(depth, MAX_LEVEL)
+
+
 def _assign_leaves(located: DataFrame, low: list[float], extent: float, depth: int, full: int, dims: int) -> DataFrame:
     """Leaf of each point = number of its cells, from the root down, that hold more than ``full``."""
     axes, salts = range(dims), 16
     cell = [f"c{n}" for n in axes]
-    finest = located.withColumns({f"_f{n}": _cell(n, low[n], extent, F.lit(float(depth))) for n in axes})
-
+    finest = _fine_cells(located, low, extent, depth, dims)
     fine_counts = finest.groupBy(*(f"_f{n}" for n in axes)).agg(F.count(F.lit(1)).alias("_n"))
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
     split = (

@@ -67,11 +67,25 @@ def test_2sls_matches_dense_projection(spark, deficient):
     np.testing.assert_allclose(got, b, atol=1e-6)
 
 
-def test_2sls_refuses_to_approximate(spark):
-    df, edges, dimension, _ = world(spark)
+@pytest.mark.parametrize("deficient", [False, True])
+def test_distributed_projection_equals_the_dense_one(spark, deficient):
+    df, edges, _, (s, *_rest) = world(spark, n=6, steps=8)
+    if deficient:
+        edges = edges.where("i < 3")
+    lagged = did.spatial_lag(df, edges)
+    dense = by_key(did.project_on_weights(lagged, edges), "region")
+    spread = by_key(did.project_on_weights(lagged, edges, dense_regions=2), "region")
+    assert dense.keys() == spread.keys()
+    for region in dense:
+        assert spread[region]["lag"] == pytest.approx(dense[region]["lag"], abs=1e-7)
+
+
+def test_no_convergence_is_an_error(spark):
+    df, edges, _, _ = world(spark, n=6, steps=8)
     lagged = did.spatial_lag(df, edges)
-    with pytest.raises(ValueError, match="dense solve"):
-        did.project_on_weights(lagged, edges, dense_regions=5)
+    means = lagged.groupBy("region").agg(F.avg("lag").alias("lag"), F.count(F.lit(1)).alias("_n"))
+    with pytest.raises(ValueError, match="converge"):
+        did._project_iteratively(means, edges, passes=1)
 
 
 def test_collinear_designs_have_the_shortest_answer(spark):

@@ -18,6 +18,7 @@ CLOUDS = {
     "lattice": np.array([(a, b) for a in range(26) for b in range(26)], float),
     "space": RNG.random((600, 3)),
     "line": RNG.random((600, 1)),
+    "far outliers": np.vstack([RNG.normal(0, 1e-7, (600, 2)), [[1e4, 1e4], [-1e4, 5.0], [3.0, 3.0]]]),
     "few": RNG.random((4, 2)),
 }
 
