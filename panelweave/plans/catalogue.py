@@ -458,7 +458,8 @@ def interpretation(spark, d):
 @query
 def did_standard_errors(spark, d):
     fit, _ = did.fit_ols(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d), ["c1"])
-    return did.standard_errors(spark, fit, ["c1"]).select("param", "idx", r("std_error"), r("t_stat", 4))
+    errors = did.standard_errors(spark, fit, ["c1"]).where(F.col("param").isin("rho", "gamma"))
+    return errors.select("param", "idx", r("std_error"), r("t_stat", 4))
 
 
 # --- windows and forecasts ------------------------------------------------------------------------

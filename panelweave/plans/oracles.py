@@ -620,6 +620,14 @@ def oracle_sql() -> dict[str, str]:
               WHEN value > 0 THEN 'Positive effect - higher values increase cases' ELSE 'Negative effect - higher values decrease cases' END AS meaning
             FROM pa WHERE param IN ('delta', 'rho', 'gamma')""",
         ),
+        "did_standard_errors": steps(
+            *SUPPLIER_LAG,
+            *did("sl", "lag", "c1"),
+            """se2 AS (SELECT xx, xc, cc, rho, gamma, (SELECT sum(power(yt - rho * xt - gamma * ct, 2)) / (count(*) - 6) FROM fw) AS v FROM fs, fb)""",
+            f"""SELECT param, CAST(idx AS INTEGER) AS idx, {r('e', 6, 'std_error')}, {r('b / e', 4, 't_stat')} FROM (
+            SELECT 'rho' AS param, 0 AS idx, rho AS b, sqrt(v * cc / (xx * cc - xc * xc)) AS e FROM se2 UNION ALL
+            SELECT 'gamma', 0, gamma, sqrt(v * xx / (xx * cc - xc * xc)) FROM se2)""",
+        ),
         "train_windows": steps(*USER_DENSE, *training("ud", _P, _A), f"SELECT region, CAST(t AS VARCHAR) AS forecast_start, {window_columns} FROM tk"),
         "train_windows_sampled": steps(
             *USER_DENSE,
