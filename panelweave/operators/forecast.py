@@ -20,12 +20,14 @@ from panelweave.functions.heads import head
 from panelweave.functions.scalars import total
 from panelweave.operators.ordered import is_calendar, over_neighbourhood, tail
 from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, number, summed_products
+from panelweave.session import wide_partitions
 
 DEFAULT_LAGS = (1, 2, 3, 7)
 NU_GRID = (2.5, 3.0, 4.0, 5.0, 8.0, 15.0, 30.0)
 MAX_PASSES = 15
 START_ROWS = 20_000
 START_STEPS = 100
+PART_SAMPLES = 16
 
 
 @dataclass(frozen=True)
@@ -246,6 +248,11 @@ def advance(t: Column, steps: Column, freq: str) -> Column:
     return F.timestamp_add(unit, steps, t)
 
 
+def _part_samples(num_samples: int) -> Column:
+    first = F.col("_part") * PART_SAMPLES + 1
+    return F.sequence(first, F.least(first + PART_SAMPLES - 1, F.lit(num_samples)))
+
+
 def sample_paths(
     df: DataFrame,
     model: Autoregression,
@@ -260,8 +267,9 @@ def sample_paths(
 ) -> DataFrame:
     """Forecast rows (region, step, t, sample_id, value): every draw feeds the next step.
 
-    Each region sends its last values once; the paths unfold inside one expression per
-    (region, sample), with no further shuffle. Unobserved past values count as 0.
+    Each region sends its last values once per part of ``PART_SAMPLES`` samples; these few rows
+    are spread over all cores, because the draws cost far more than the rows. The paths then
+    unfold inside one expression per (region, sample). Unobserved past values count as 0.
     """
     if model.covariates:
         raise ValueError("future covariates are unknown; fit without covariates to draw paths")
@@ -281,7 +289,9 @@ def sample_paths(
         .agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).alias("v")))).alias("_cells"))
         .withColumn("scale", scale)
         .select("region", F.element_at("_cells", -1)["t"].alias("_last"), "scale", padded.alias("_past"))
-        .withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(num_samples))))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((num_samples - 1) // PART_SAMPLES))))
+        .repartition(wide_partitions(df.sparkSession), "region", "_part")
+        .withColumn("sample_id", F.explode(_part_samples(num_samples)))
     )
 
     def draw(path: Column, step: Column) -> Column:

@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 BINS = 4_096
-FEW_ROWS = 1_000_000
+FEW_ROWS = 50_000
 
 
 def exact_median(df: DataFrame, column: str, few_rows: int = FEW_ROWS) -> float | None:
-    """Mean of the two middle values."""
+    """Mean of the two middle values.
+
+    Counts equal-width bins, keeps the bin that holds the lower middle value, and repeats. Each
+    pass aggregates to at most ``BINS`` rows; once few rows remain, or a single value does, the
+    bin is read exactly.
+    """
+    x = F.col(column)
     span = df.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
-    n = span["n"]
+    n, low, high = span["n"], span["low"], span["high"]
     if not n:
         return None
-    picked = [_value_at(df, column, rank, n, span["low"], span["high"], few_rows) for rank in {(n - 1) // 2, n // 2}]
-    return sum(picked) / len(picked)
-
-
-def _value_at(df: DataFrame, column: str, rank: int, n: int, low: float, high: float, few_rows: int) -> float:
-    """Value with ``rank`` smaller-or-equal predecessors: count equal-width bins, keep the bin of the
-    rank, repeat. Each pass aggregates to at most ``BINS`` rows; when few rows remain, or one
-    value does, the bin is read exactly."""
-    x = F.col(column)
-    while low < high:
-        inside = df.where((x >= low) & (x <= high))
-        if n <= few_rows:
-            share = F.lit(rank / (n - 1)) if n > 1 else F.lit(0.0)
-            return inside.agg(F.percentile(x, share)).first()[0]
+    rank, pair = (n - 1) // 2, n % 2 == 0
+    while low < high and n > few_rows:
         width = (high - low) / BINS
         number = F.least(F.floor((x - low) / width), F.lit(BINS - 1))
-        bins = inside.groupBy(number.alias("b")).agg(
+        bins = df.where(x.between(low, high)).groupBy(number.alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")
         )
         for row in sorted(bins.collect(), key=lambda r: r["b"]):
@@ -38,4 +32,15 @@ def _value_at(df: DataFrame, column: str, rank: int, n: int, low: float, high: f
                 low, high, n = row["low"], row["high"], row["n"]
                 break
             rank -= row["n"]
-    return low
+    if low < high:
+        values = df.where(x.between(low, high)).agg(F.sort_array(F.collect_list(x)).alias("v")).select(
+            F.col("v")[rank].alias("here"), F.try_element_at("v", F.lit(rank + 2)).alias("after")
+        ).first()
+        here, after = values["here"], values["after"]
+    else:
+        here, after = low, low if rank + 1 < n else None
+    if not pair:
+        return here
+    if after is None:
+        after = df.where(x > high).agg(F.min(x)).first()[0]
+    return (here + after) / 2

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelweave.session import wide_partitions
+
 TILE_ROWS = 256
 
 
@@ -21,7 +23,7 @@ def tiles_for(rows: int) -> int:
 def tile_sides(
     left: DataFrame, right: DataFrame, left_key: Sequence[str], right_key: Sequence[str], left_tiles: int, right_tiles: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with their tile pair (``_a``, ``_b``); the left side is spread over the pairs."""
+    """Both sides with their tile pair (``_a``, ``_b``), spread over the pairs."""
     a = left.withColumn("_a", F.pmod(F.xxhash64(*left_key), F.lit(left_tiles)).cast("int")).withColumn(
         "_b", F.explode(F.sequence(F.lit(0), F.lit(right_tiles - 1)))
     )
@@ -29,7 +31,8 @@ def tile_sides(
         "_a", F.explode(F.sequence(F.lit(0), F.lit(left_tiles - 1)))
     )
     if left_tiles * right_tiles > 1:
-        a = a.repartition("_a", "_b")
+        n = wide_partitions(left.sparkSession)
+        a, b = a.repartition(n, "_a", "_b"), b.repartition(n, "_a", "_b")
     return a, b
 
 

@@ -200,4 +200,4 @@ def ensemble(panel: DataFrame, freq: str = "M") -> tuple[DataFrame, DataFrame]:
     forecasts = last.select("region", "t", F.posexplode("_members").alias("_at", "value")).select(
         "region", "t", (F.col("_at") + 1).alias("sample_id"), "value"
     )
-    return forecasts, last.select("region", "t", "y")
+    return forecasts, tail(panel.select("region", "t", "y"), ["region"], HORIZON)

@@ -39,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def wide_partitions(spark: SparkSession) -> int:
+    """As many partitions as the session has cores or shuffles into, whichever is more: for few
+    rows that cause much work, which adaptive execution would put into one task by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
