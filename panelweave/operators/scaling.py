@@ -62,15 +62,17 @@ def invert_scaler(df: DataFrame, columns: Sequence[str], scaler: DataFrame | Non
 
 
 def scale(
-    df: DataFrame, method: str, covariates: Sequence[str] = (), pooled: bool = True
+    df: DataFrame, method: str, covariates: Sequence[str] = (), pooled: bool = True, source: DataFrame | None = None
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Scaled panel and its scalers by name: ``y``, and ``covariates`` (one for all) or each name.
 
-    ``none`` and unknown names change nothing and keep no scaler.
+    ``none`` and unknown names change nothing and keep no scaler. The constants come from
+    ``source`` when given: any table with the same values that is cheaper to read.
     """
+    source = df if source is None else source
     if method not in METHODS:
         return df, {}
-    scalers = {"y": scaler_of(df, ["y"], method)}
+    scalers = {}
     groups = {"y": ["y"]}
     if covariates and pooled:
         groups["covariates"] = list(covariates)
@@ -78,7 +80,7 @@ def scale(
         groups.update({c: [c] for c in covariates})
     scaled = df
     for name, columns in groups.items():
-        scalers[name] = scaler_of(df, columns, method)
+        scalers[name] = scaler_of(source, columns, method)
         scaled = apply_scaler(scaled, columns, scalers[name])
     return scaled, scalers
 

@@ -12,6 +12,7 @@ from panelweave.functions.heads import head
 from panelweave.operators import did, forecast, metrics, panel as panels, scaling
 from panelweave.operators.missing import repair
 from panelweave.operators.regression import Fit, r_squared
+from panelweave.operators.weights import require_endpoints
 from panelweave.session import stage
 from panelweave.sources.readers import generic_panel, read_table
 from panelweave.sources.store import load_tables, save_tables
@@ -44,10 +45,16 @@ class PanelProcessor:
         return self.finish(generic_panel(table, self.targets, self.covariates, self.region, self.date, self.freq))
 
     def finish(self, panel: DataFrame) -> DataFrame:
-        """Repair gaps, densify and scale canonical panel rows. One lazy plan."""
-        repaired = repair(panel, self.handle_missing, self.freq)
+        """Repair gaps, densify and scale canonical panel rows.
+
+        The repaired panel is written once: the grid reads it three times, and it also gives the
+        scalers, since cells absent from it hold no value.
+        """
+        repaired = stage(repair(panel, self.handle_missing, self.freq))
         dense = panels.densify(repaired, self.freq)
-        self.panel, self.scalers = scaling.scale(dense, self.scaling_method, self.covariates, self.pooled)
+        self.panel, self.scalers = scaling.scale(
+            dense, self.scaling_method, self.covariates, self.pooled, repaired
+        )
         return self.panel
 
     def inverse_targets(self, df: DataFrame, columns: Sequence[str] = ("y",)) -> DataFrame:
@@ -245,6 +252,7 @@ class SpatialCausalForecaster:
         panels.require_unique(panel)
         if self.regions is not None:
             panels.require_regions(panel, self.regions)
+            require_endpoints(self.edges, self.regions)
         if fit_causal:
             self.causal.fit(panel)
             self.causal_fitted = True
