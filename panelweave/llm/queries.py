@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, decontamination, language
+from panelweave.llm import bpe, decontamination, language, lines, simhash
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -14,10 +14,18 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash(spark, d):
+    return simhash.report(table(spark, d, "documents"))
+
+
 def op5_byte_pairs(spark, d):
     return bpe.report(table(spark, d, "documents"), vocabulary_path())
 
 
+def op6_line_dedup(spark, d):
+    return lines.report(table(spark, d, "documents"))
+
+
 def op9_decontamination(spark, d):
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -26,11 +34,21 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_pairs, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op6_line_dedup": """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ls[i:i + 2], chr(10)) AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM docs)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+left_over AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(CAST(len(ls) AS BIGINT), 0) AS n_lines, coalesce(CAST(len(ls) AS BIGINT), 0) - coalesce(n, 0) AS n_removed,
+  CASE WHEN ls IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)""",
     "op9_decontamination": f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_9.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL),
 sized AS (SELECT item, ws, least(10, len(ws)) AS k FROM items WHERE len(ws) > 0),
