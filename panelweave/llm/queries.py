@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, decontamination, language, lines, simhash
+from panelweave.llm import bpe, decontamination, language, lines, simhash, substrings
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op3_simhash(spark, d):
     return simhash.report(table(spark, d, "documents"))
 
 
+def op4_substring_dedup(spark, d):
+    return substrings.report(table(spark, d, "documents")).drop("repeats")
+
+
 def op5_byte_pairs(spark, d):
     return bpe.report(table(spark, d, "documents"), vocabulary_path())
 
@@ -34,11 +38,20 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)),
+later AS (SELECT doc_id, i FROM windows JOIN (SELECT w, min(doc_id) AS least FROM windows GROUP BY w) USING (w) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM later),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)""",
     "op6_line_dedup": """
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(ls[i:i + 2], chr(10)) AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM docs)),
