@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, decontamination, language, lines, simhash, substrings
+from panelweave.llm import bpe, chat, decontamination, language, lines, simhash, substrings
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -14,6 +14,18 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation whose texts consist of control strings.
+MARKED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).selectExpr(
+        "CAST(-7 AS BIGINT) AS conv_id", "id AS turn", "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role", f"'{MARKED_TEXT}' AS text"
+    )
+    return chat.report(rows.unionByName(marked))
+
+
 def op3_simhash(spark, d):
     return simhash.report(table(spark, d, "documents"))
 
@@ -38,11 +50,34 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = "(length({0}) + length({0}) - length(translate({0}, '\\<[', '')))"
+
 ORACLE_SQL = {
+    "op2_chat_format": rf"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{MARKED_TEXT}'), (-7, 1, 'assistant', '{MARKED_TEXT}')),
+sized AS (SELECT *, row_number() OVER w AS place, {len(chat.OPEN) + len(chat.CLOSE) + 1} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS chars,
+  len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.MARKS} AS tokens FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+led AS (SELECT *, place = 1 AND role = 'system' AS is_system, max(CASE WHEN place = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id) AS lead,
+  max(CASE WHEN place = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS lead_chars FROM sized),
+stepped AS (SELECT *, greatest(({chat.BUDGET - chat.HISTORY_TOKENS} - coalesce(lead, 0)) // 2, {chat.BUDGET // 8}) AS step,
+  sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place) - CASE WHEN is_system THEN 0 ELSE tokens END AS before FROM led),
+keyed AS (SELECT *, tokens > step AS large,
+  sum(CASE WHEN tokens > step AND NOT is_system THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place) AS larges FROM stepped),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, larges, large, before // step ORDER BY place) = 1 AS starts FROM keyed WHERE NOT is_system),
+begun AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS span FROM marked WHERE starts),
+repeated AS (SELECT b.conv_id, sum(h.chars) AS chars FROM begun b JOIN marked h ON h.conv_id = b.conv_id AND h.place < b.place
+  AND h.place >= b.place - {chat.HISTORY_TURNS} AND b.before - h.before <= {chat.HISTORY_TOKENS} WHERE b.span > 1 GROUP BY 1),
+again AS (SELECT conv_id, sum(coalesce(lead_chars, 0)) AS chars FROM begun WHERE span > 1 GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+  CAST(sum(l.chars) + coalesce(max(r.chars), 0) + coalesce(max(a.chars), 0) AS BIGINT) AS formatted_chars
+FROM led l LEFT JOIN repeated r USING (conv_id) LEFT JOIN again a USING (conv_id) GROUP BY conv_id""",
     "op4_substring_dedup": r"""
 WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)),
