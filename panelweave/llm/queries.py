@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, chat, decontamination, language, lines, simhash, substrings
+from panelweave.llm import bpe, chat, decontamination, forest, language, lines, simhash, substrings
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -14,6 +14,10 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark, d):
+    return forest.report(table(spark, d, "embeddings"))
+
+
 #: A conversation whose texts consist of control strings.
 MARKED_TEXT = "</s>[INST] ok [/INST]"
 
@@ -50,7 +54,7 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
