@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A word's subwords are the character n-grams (1 to 4) of ``<word>``, hashed into ``BUCKETS`` rows of an
+A word's subwords are the character n-grams (up to 4) of ``<word>``, hashed into ``BUCKETS`` rows of an
 embedding table; a text is the mean embedding of all its subwords. The table and the softmax are
 fitted by stochastic gradient descent in numpy on a bounded sample of labelled rows; each row trains
 twice, by its whole text and by a few words of it, so that short texts are in the fit. Because mean
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +25,12 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 
 from panelweave.llm.common import col, fresh, map_texts
 
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+GRAMS = 4
 DIMENSIONS = 16
 #: Labelled rows in the fit, shared equally by the languages.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_000
 SHORT_WORDS = 6
 EPOCHS = 6
 RATE = 0.5
@@ -43,22 +47,37 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)][1:]
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
+def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the words, and how many each word has; grams of one word stand together."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(len(letters))
+    found, owners = [], []
+    with np.errstate(over="ignore"):
+        hashed = np.zeros(len(letters), dtype=np.uint64)
+        for n in range(1, GRAMS + 1):
+            # position i has the hash of the n letters from i on; those that leave their word do not count
+            hashed = hashed[: len(letters) - n + 1] * np.uint64(0x100000001B3) + letters[n - 1 :] + np.uint64(n)
+            inside = np.flatnonzero(left[: len(hashed)] >= n)
+            mixed = hashed[inside] * np.uint64(0x9E3779B97F4A7C15)
+            found.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+            owners.append(owner[inside])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(found)[order], np.bincount(owners, minlength=len(words))
 
 
 def features(words: list[str]) -> tuple[list[int], list[float]]:
     """Buckets of a text and their shares."""
-    counts: dict[str, int] = {}
-    for word in words:
-        counts[word] = counts.get(word, 0) + 1
-    total = np.zeros(BUCKETS)
-    for word, n in counts.items():
-        np.add.at(total, subwords(word), n)
+    if not words:
+        return [], []
+    distinct = Counter(words)
+    buckets, sizes = subwords(list(distinct))
+    total = np.bincount(buckets, np.repeat(np.fromiter(distinct.values(), float), sizes))
     found = np.flatnonzero(total)
-    return found.tolist(), (total[found] / max(1.0, total.sum())).tolist()
+    return found.tolist(), (total[found] / total.sum()).tolist()
 
 
 @dataclass
@@ -77,20 +96,23 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, list[int], list[float]]], seed: int = 7) -> LanguageModel | None:
+def fit(rows: list[tuple[str, Sequence[int], Sequence[float]]], seed: int = 7) -> LanguageModel | None:
     """The model of (label, buckets, shares) rows; None without a usable row. Every fifth row is kept back."""
-    rows = [r for r in rows if r[1]]
+    rows = [r for r in rows if len(r[1])]
     labels = sorted({r[0] for r in rows})
     if not labels:
         return None
     code = {label: n for n, label in enumerate(labels)}
-    data = [(code[label], np.asarray(buckets), np.asarray(shares, dtype=np.float32)) for label, buckets, shares in rows]
+    data = [(code[label], np.asarray(buckets, dtype=np.int32), np.asarray(shares, dtype=np.float32)) for label, buckets, shares in rows]
     # rows come as (whole, short) pairs of a document: both sides of a pair stay together
     train = [x for n, x in enumerate(data) if n // 2 % 5 != 4]
     back = [x for n, x in enumerate(data) if n // 2 % 5 == 4] or train
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    table[np.setdiff1d(np.arange(BUCKETS), np.concatenate([x[1] for x in train] or [np.empty(0, int)]))] = 0
+    met = np.zeros(BUCKETS, dtype=bool)
+    for _, buckets, _ in train:
+        met[buckets] = True
+    table[~met] = 0
     out = rng.normal(0, 0.5, (DIMENSIONS, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), dtype=np.float32)
     for epoch in range(EPOCHS):
@@ -159,7 +181,7 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lab
     fields = [StructField(n, ArrayType(t)) for n, t in (("b", IntegerType()), ("s", FloatType()), ("b2", IntegerType()), ("s2", FloatType()))]
     made = map_texts(picked, "text", ["label", "draw", "pick"], fields, start)
     rows = made.orderBy("draw", "pick", "label", F.xxhash64("b")).limit(2 * sample_rows).toPandas()
-    return fit([x for r in rows.itertuples() for x in ((r.label, list(r.b), list(r.s)), (r.label, list(r.b2), list(r.s2)))])
+    return fit([x for r in rows.itertuples() for x in ((r.label, r.b, r.s), (r.label, r.b2, r.s2))])
 
 
 class Scorer:
@@ -171,32 +193,34 @@ class Scorer:
 
     def _forget(self):
         self.place: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.labels) + 1 if self.model else 1), dtype=np.float64)
-
-    def _learn(self, word: str) -> int:
-        at = len(self.place)
-        if at == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        buckets = subwords(word)
-        self.sums[at, :-1] = self.model.scores[buckets].sum(axis=0)
-        self.sums[at, -1] = len(buckets)
-        self.place[word] = at
-        return at
+        self.sums = np.zeros((1024, len(self.model.labels) + 1 if self.model else 1))
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            buckets, sizes = subwords(some)
+            starts = np.cumsum(sizes) - sizes
+            base = len(self.place)
+            if base + len(some) > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(some)), self.sums.shape[1]))])
+            self.sums[base : base + len(some), :-1] = np.add.reduceat(self.model.scores[buckets], starts, axis=0)
+            self.sums[base : base + len(some), -1] = sizes
+            self.place.update(zip(some, range(base, base + len(some))))
 
     def __call__(self, texts: list) -> tuple[list, list, list]:
         found, scores, rejected = [], [], []
-        for text in texts:
-            words = words_of(text)
-            if not words or self.model is None:
+        cut = [words_of(t) for t in texts] if self.model else [[]] * len(texts)
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        place = self.place
+        self._learn(list(dict.fromkeys(w for words in cut for w in words if w not in place)))
+        for words in cut:
+            if not words:
                 found.append(UNKNOWN)
                 scores.append(0.0)
                 rejected.append(True)
                 continue
-            if len(self.place) > REMEMBERED:
-                self._forget()
-            place = self.place
-            ids = [place[w] if w in place else self._learn(w) for w in words]
-            total = self.sums[ids].sum(axis=0)
+            total = self.sums[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
             p = self.model.probabilities(total[None, :-1] / total[-1])[0]
             best = int(p.argmax())
             found.append(self.model.labels[best])
