@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, chat, decontamination, forest, language, lines, simhash, substrings
+from panelweave.llm import bpe, chat, decontamination, forest, language, lines, secret_scan, simhash, substrings, token_counts
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +46,14 @@ def op6_line_dedup(spark, d):
     return lines.report(table(spark, d, "documents"))
 
 
+def op7_secret_scan(spark, d):
+    return secret_scan.report(table(spark, d, "documents"))
+
+
+def op8_token_counts(spark, d):
+    return token_counts.report(table(spark, d, "documents"), vocabulary_path())
+
+
 def op9_decontamination(spark, d):
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -54,7 +62,7 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_decontamination, op10_language)}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
