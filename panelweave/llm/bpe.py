@@ -26,7 +26,9 @@ from panelweave.llm.common import map_texts
 #: The pattern that cuts texts before the merges (fixed value of the byte-level tokenizers).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Bytes up to which a word is merged by scanning rather than with a queue.
+SHORT = 64
 
 _PRETOKENS = regex.compile(PATTERN)
 
@@ -53,29 +55,18 @@ class BytePairs:
         for token, n in self.special.items():
             self.bytes[n] = token.encode()
         self._split = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        # rank of a pair (first * size + second), and the token that each rank makes
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for pair in spec["model"]["merges"]:
             a, b = (bytes(letters[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self._grow_trie()
+            self.ranks[self.ids[a] * self.size + self.ids[b]] = len(self.made)
+            self.made.append(self.ids[a + b])
+        self.longest = max(map(len, self.ids))
         self._forget_pairs()
         self.alone: dict[int, bool] = {}
         self._forget_words()
 
-    def _grow_trie(self) -> None:
-        self.follow: dict[int, int] = {}
-        self.token = [-1]
-        for word, n in self.ids.items():
-            node = 0
-            for b in word:
-                key = node << 8 | b
-                after = self.follow.get(key)
-                if after is None:
-                    after = self.follow[key] = len(self.token)
-                    self.token.append(-1)
-                node = after
-            self.token[node] = n
-
     def _forget_pairs(self) -> None:
         self.known = np.empty(0, dtype=np.int64)
         self.fits = np.empty(0, dtype=bool)
@@ -90,38 +81,51 @@ class BytePairs:
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the pair of lowest rank first, the left one among equals."""
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        if len(parts) < 2:
-            return parts
+        return self._merged_short(parts) if len(parts) <= SHORT else self._merged_long(parts)
+
+    def _merged_short(self, parts: list[int]) -> list[int]:
+        size, none, rank = self.size, len(self.made), self.ranks.get
+        ranks = [rank(a * size + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] * size + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] * size + parts[i], none)
+        return parts
+
+    def _merged_long(self, parts: list[int]) -> list[int]:
+        """The same with a queue: the cost grows as n log n."""
+        size, rank = self.size, self.ranks.get
         after = [*range(1, len(parts)), -1]
         before = [-1, *range(len(parts) - 1)]
-        queue = [(*found, i) for i in range(len(parts) - 1) if (found := self.merges.get((parts[i], parts[i + 1])))]
+        queue = [(r, i) for i in range(len(parts) - 1) if (r := rank(parts[i] * size + parts[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, made, i = heapq.heappop(queue)
+            best, i = heapq.heappop(queue)
             j = after[i]
-            if parts[i] < 0 or j < 0 or self.merges.get((parts[i], parts[j])) != (rank, made):
+            if parts[i] < 0 or j < 0 or rank(parts[i] * size + parts[j]) != best:
                 continue
-            parts[i], parts[j] = made, -1
+            parts[i], parts[j] = self.made[best], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if found := self.merges.get((made, parts[after[i]])):
-                    heapq.heappush(queue, (*found, i))
-            if before[i] >= 0 and (found := self.merges.get((parts[before[i]], made))):
-                heapq.heappush(queue, (*found, before[i]))
+                if (r := rank(parts[i] * size + parts[after[i]])) is not None:
+                    heapq.heappush(queue, (r, i))
+            if before[i] >= 0 and (r := rank(parts[before[i]] * size + parts[i])) is not None:
+                heapq.heappush(queue, (r, before[i]))
         return [p for p in parts if p >= 0]
 
     def proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        found, at, size = [], 0, len(word)
-        follow, token = self.follow, self.token
+        """Greedy longest match; each single byte is a token."""
+        found, at, size, ids = [], 0, len(word), self.ids
         while at < size:
-            node, here, best, stop = 0, at, -1, at
-            while here < size and (node := follow.get(node << 8 | word[here], 0)):
-                here += 1
-                if token[node] >= 0:
-                    best, stop = token[node], here
-            found.append(best)
+            stop = min(size, at + self.longest)
+            while (token := ids.get(word[at:stop])) is None:
+                stop -= 1
+            found.append(token)
             at = stop
         return found
 
@@ -269,9 +273,26 @@ def decoded(docs: DataFrame, path: str, ids: str = "token_ids", name: str = "dec
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encoded`` and ``decoded`` in one pass: ``keep`` columns, ``token_ids``, ``decoded``."""
+    vocabulary = Vocabulary(docs.sparkSession, path)
+
+    def start():
+        pairs = vocabulary.load()
+
+        def work(texts):
+            ids = pairs.encode(texts)
+            return ids, [pairs.decode(i.tolist()) for i in ids]
+
+        return work
+
+    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+    return map_texts(docs, text, docs.columns if keep is None else keep, fields, start)
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids (little-endian, 32 bits each) and of the decoded text."""
-    made = decoded(encoded(docs, path, keep=["doc_id"]), path)
+    made = round_trip(docs, path, keep=["doc_id"])
 
     def run(batches):
         for batch in batches:
