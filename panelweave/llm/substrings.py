@@ -159,6 +159,9 @@ class _Bucket:
         self.parts.append(entry)
 
     def close(self) -> None:
+        if not self.parts:
+            self.keys = np.empty(0, dtype=np.uint64)
+            return
         keys, docs, places = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((places, docs, keys))
         keys, docs, places = keys[order], docs[order], places[order]
@@ -172,12 +175,16 @@ class _Bucket:
 
     def probe(self, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and places of the entries that hit a smaller document."""
+        if not len(self.keys):
+            return docs[:0], places[:0]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = (self.keys[at] == keys) & (self.least[at] < docs)
         self.used[at[hit]] = True
         return docs[hit], places[hit]
 
     def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.keys is None or not len(self.keys):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         chosen = self.used[self.of]
         return self.least[self.of[chosen]], self.places[chosen]
 
@@ -212,7 +219,7 @@ def _anchors(entries: DataFrame) -> DataFrame:
                     docs, places = held.probe(*_unpacked(*rest))
                     if len(docs):
                         yield _grouped(docs, places)
-        if current is not None and held.keys is not None and len((found := held.owners())[0]):
+        if current is not None and len((found := held.owners())[0]):
             yield _grouped(*found)
 
     return ordered.mapInArrow(run, "key bigint, at array<int>")
