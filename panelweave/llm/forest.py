@@ -204,7 +204,7 @@ def _trial(classes: DataFrame, forest, trial: np.ndarray, k: int) -> np.ndarray:
     found = classes.mapInArrow(run, "q int, score double, leaves array<int>")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
     rows = found.withColumn("place", place).where(F.col("place") <= k).where("score > double('-inf')").select("q", "leaves").collect()
-    return np.array([[r["q"], *r["leaves"]] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([[r["q"], *r["leaves"]] for r in rows], dtype=np.int64).reshape(-1, 1 + len(forest.roots))
 
 
 def _fit(classes: DataFrame, queries: DataFrame, trees: int, leaf_rows: int, block_rows: int, sample_rows: int, trial_queries: int, recall: float, k: int) -> Forest | None:
