@@ -5,19 +5,18 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.panel import design_rows
-from panelweave.operators.regression import Fit, least_squares, with_fit
+from panelweave.operators.regression import Fit, complete_rows, least_squares, with_fit
 from panelweave.session import stage
 
 PARAMETER_SCHEMA = "param string, idx int, value double"
-DENSE_REGIONS = 4_096
 
 # What each estimated parameter is called and the regressor it belongs to.
 PARAMETER_OF = {"treated": "beta_1", "post": "beta_2", "treated_post": "delta", "lag": "rho"}
@@ -51,91 +50,35 @@ def fit_ols(panel: DataFrame, edges: DataFrame | None, covariates: Sequence[str]
 def fit_2sls(panel: DataFrame, edges: DataFrame, covariates: Sequence[str] = ()) -> tuple[Fit, DataFrame]:
     """Stage 1 projects the lag on [1, S(i,·)]; stage 2 uses the projection in place of the lag.
 
-    The instruments do not vary over time, so stage 1 depends on the mean lag per region only. The
+    Standard errors come from the residuals against the lag itself, as two stages need it. The
     lagged panel is written once, because both stages read it.
     """
     lagged = stage(spatial_lag(panel, edges))
-    fitted = project_on_weights(lagged, edges)
-    rows = design_rows(lagged.drop("lag").join(fitted, "region"), covariates, "lag")
-    return least_squares(rows, "y", regressors(panel, covariates, "lag")), rows
-
-
-def project_on_weights(lagged: DataFrame, edges: DataFrame, dense_regions: int = DENSE_REGIONS) -> DataFrame:
-    """(region, lag): least-squares projection of the region means of the lag on [1, S].
-
-    With rank([1, S]) = N the projection is the region mean itself. Up to ``dense_regions``
-    regions the rank test and a deficient projection are solved densely; beyond that the
-    projection is found by conjugate gradients over distributed vectors.
+    projected = lagged.withColumnRenamed("lag", "actual_lag").join(project_on_weights(lagged), "region")
+    rows = design_rows(projected, [*covariates, "actual_lag"], "lag")
+    fit = least_squares(rows, "y", regressors(panel, covariates, "lag"))
+    if fit.std_errors and fit.sse > 0:
+        named = complete_rows(rows, ["y", *fit.coefficients])
+        against = F.col("y") - fit.predict() + F.lit(fit.coefficients["lag"]) * (F.col("lag") - F.col("actual_lag"))
+        structural = named.agg(F.sum(against * against)).first()[0]
+        grown = math.sqrt(structural / fit.sse)
+        fit.std_errors = {c: e * grown for c, e in fit.std_errors.items()}
+    return fit, rows.drop("actual_lag")
+
+
+def project_on_weights(lagged: DataFrame) -> DataFrame:
+    """(region, lag): least-squares projection of the lag on [1, S], the instruments of the first stage.
+
+    Over the same dates for every region the mean lag is S times the mean values, which lies in the span
+    of S whatever its rank, and nothing in that span varies over time: so the region mean is the
+    projection. One aggregate per date checks that a lag is known for all regions or for none.
     """
-    means = lagged.where(F.col("lag").isNotNull()).groupBy("region").agg(
-        F.avg("lag").alias("lag"), F.count(F.lit(1)).alias("_n")
-    )
-    known = means.limit(dense_regions + 1).toPandas().sort_values("region")
-    if len(known) > dense_regions:
-        return _project_iteratively(stage(means), stage(edges))
-    n = len(known)
-    place = {region: at for at, region in enumerate(known["region"])}
-    weights = edges.toPandas()
-    weights = weights[weights["i"].isin(place) & weights["j"].isin(place)]
-    z = np.zeros((n, n + 1))
-    z[:, 0] = 1.0
-    rows, columns = weights["i"].map(place).to_numpy(int), 1 + weights["j"].map(place).to_numpy(int)
-    np.add.at(z, (rows, columns), weights["w"].to_numpy(float))
-    if np.linalg.matrix_rank(z) == n:
-        return means.select("region", "lag")
-    root = np.sqrt(known["_n"].to_numpy(float))
-    solution = np.linalg.lstsq(z * root[:, None], known["lag"].to_numpy(float) * root, rcond=None)[0]
-    known["lag"] = z @ solution
-    kind = lagged.schema["region"].dataType.simpleString()
-    return lagged.sparkSession.createDataFrame(known[["region", "lag"]], f"region {kind}, lag double")
-
-
-def _project_iteratively(means: DataFrame, edges: DataFrame, tolerance: float = 1e-11, passes: int = 500) -> DataFrame:
-    """The same projection by conjugate gradients on the normal equations (Hestenes and Stiefel 1952).
-
-    One row per region holds the residual ``r`` and the direction ``p``; each pass sends them along the
-    edges once forward and once backward and is written out, which cuts the lineage. Only
-    scalars reach the driver. No convergence is an error, never a silent approximation.
-    """
-    known = means.select("region")
-    inside = edges.join(known.withColumnRenamed("region", "i"), "i", "left_semi").join(
-        known.withColumnRenamed("region", "j"), "j", "left_semi"
-    )
-    links = stage(inside)
-
-    def along(vector: DataFrame, value: Column, source: str, target: str) -> DataFrame:
-        """Σ over edges of w·value(source), for every target."""
-        sent = vector.select(F.col("region").alias(source), value.alias("_v"))
-        return links.join(sent, source).groupBy(F.col(target).alias("region")).agg(F.sum(F.col("w") * F.col("_v")).alias("_sum"))
-
-    def back(state: DataFrame) -> tuple[DataFrame, float, float]:
-        """State with gradient ``s`` = Sᵀ·d·r, the gradient of the constant, and their squared norm."""
-        arrived = along(state, F.col("d") * F.col("r"), "i", "j")
-        state = stage(state.join(arrived, "region", "left").withColumn("s", F.coalesce("_sum", F.lit(0.0))).drop("_sum"))
-        row = state.agg(F.sum(F.col("d") * F.col("r")), F.sum(F.col("s") * F.col("s"))).first()
-        return state, row[0], row[0] ** 2 + row[1]
-
-    d = F.sqrt(F.col("_n").cast("double"))
-    start = means.select("region", d.alias("d"), (d * F.col("lag")).alias("b"), (d * F.col("lag")).alias("r"), F.lit(0.0).alias("p"))
-    state, constant, norm = back(start)
-    first, turn, p0 = norm, 0.0, 0.0
-    for _ in range(passes):
-        if norm <= tolerance**2 * first:
-            break
-        p0 = constant + turn * p0
-        state = state.withColumn("p", F.col("s") + F.lit(turn) * F.col("p"))
-        arrived = along(state, F.col("p"), "j", "i")
-        step = F.col("d") * (F.lit(p0) + F.coalesce("_sum", F.lit(0.0)))
-        state = stage(state.join(arrived, "region", "left").withColumn("q", step).drop("_sum"))
-        length = state.agg(F.sum(F.col("q") * F.col("q"))).first()[0]
-        if not length:
-            break
-        moved = state.withColumn("r", F.col("r") - F.lit(norm / length) * F.col("q")).select("region", "d", "b", "r", "p")
-        state, constant, new = back(moved)
-        turn, norm = new / norm, new
-    else:
-        raise ValueError(f"the first stage did not converge in {passes} passes")
-    return state.select("region", ((F.col("b") - F.col("r")) / F.col("d")).alias("lag"))
+    regions = lagged.select("region").distinct().count()
+    known = lagged.where("lag IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    uneven = known.where(F.col("n") != regions).take(1)
+    if uneven:
+        raise ValueError(f"on {uneven[0]['t']} the lag is known for {uneven[0]['n']} of {regions} regions: repair the panel first")
+    return lagged.groupBy("region").agg(F.avg("lag").alias("lag"))
 
 
 def fit_spatial_did(

@@ -23,10 +23,11 @@ from panelweave.operators.regression import complete_rows, cross_products, minim
 from panelweave.session import wide_partitions
 
 DEFAULT_LAGS = (1, 2, 3, 7)
-NU_GRID = (2.5, 3.0, 4.0, 5.0, 8.0, 15.0, 30.0)
-MAX_PASSES = 15
-START_ROWS = 20_000
-START_STEPS = 100
+NU_RANGE = (2.05, 200.0)
+NU_CHOICES = 9
+NU_TOLERANCE = 1e-3
+#: Passes over all rows after which a fit that has not settled is an error.
+PASSES = 100
 PART_SAMPLES = 16
 
 
@@ -93,7 +94,7 @@ def fit(
     covariates: Sequence[str] = (),
     freq: str = "D",
 ) -> Autoregression:
-    """Gaussian by least squares, Laplace by iteratively reweighted least squares, Student-t by EM."""
+    """Gaussian by least squares, Laplace by Newton steps on the absolute error, Student-t by EM; all over every row."""
     head(distribution)
     lags = tuple(k for k in lags if k <= context_length)
     if not lags:
@@ -134,25 +135,8 @@ def _residual(names: Sequence[str], intercept: float, beta: np.ndarray) -> str:
     return "(x - " + " - ".join([number(intercept), *(f"{number(b)} * `{c}`" for c, b in zip(names, beta))]) + ")"
 
 
-def _start_rows(rows: DataFrame, names: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """About ``START_ROWS`` rows picked by hash, as (design with intercept, x).
-
-    They only supply a starting point that saves passes; the passes themselves read every row and
-    decide on convergence.
-    """
-    share = min(1.0, START_ROWS / n)
-    picked = rows.where(F.pmod(F.xxhash64("region", "t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    found = picked.select("x", *names).limit(2 * START_ROWS).toPandas().to_numpy(float)
-    return np.column_stack([np.ones(len(found)), found[:, 1:]]), found[:, 0]
-
-
-def _weighted_solution(design: np.ndarray, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    root = np.sqrt(weight)
-    return np.linalg.lstsq(design * root[:, None], x * root, rcond=None)[0]
-
-
 def _absolute_fit(rows, names, centre, products, intercept, beta, n):
-    """Location that minimises Σ|r|, and its mean |r|.
+    """Location that minimises Σ|r|, and its mean |r|, over all rows from the least-squares start.
 
     Each pass sums the signs of the residuals against the regressors and counts residuals near
     zero. Their density there gives the curvature of Σ|r|, so the step is a Newton step on the
@@ -160,12 +144,8 @@ def _absolute_fit(rows, names, centre, products, intercept, beta, n):
     """
     k = len(names)
     _, inverse, _ = minimum_norm(products[:k, :k], products[:k, k])
-    design, x = _start_rows(rows, names, n)
-    start = np.array([intercept, *beta])
-    for _ in range(START_STEPS if len(x) > len(start) else 0):
-        start = _weighted_solution(design, x, 1.0 / np.maximum(np.abs(x - design @ start), 1e-6))
-    best, found, step = math.inf, start, np.zeros(k + 1)
-    for _ in range(MAX_PASSES):
+    best, found, step = math.inf, np.array([intercept, *beta]), np.zeros(k + 1)
+    for _ in range(PASSES):
         trial = found + step
         residual = _residual(names, trial[0], trial[1:])
         width = (best if best < math.inf else math.sqrt(max(products[k, k], 0.0) / n)) * 0.2 or 1e-6
@@ -181,53 +161,48 @@ def _absolute_fit(rows, names, centre, products, intercept, beta, n):
         )
         if row["reached"] >= best:
             if np.abs(step).max() < 1e-7:
-                break
+                return float(found[0]), found[1:], best or 1e-6
             step = step / 2
             continue
         gained = best - row["reached"]
         best, found = row["reached"], trial
         if gained < 1e-7 * best:
-            break
+            return float(found[0]), found[1:], best or 1e-6
         density = max(row["near"], 1) / (2 * width * n)
         slopes = inverse @ np.array([row[f"g{j}"] for j in range(k)]) / (2 * density)
         level = row["g"] / n / (2 * density)
         step = np.array([level - slopes @ centre[:k], *slopes])
-    return float(found[0]), found[1:], best or 1e-6
+    raise ValueError(f"the Laplace fit did not converge in {PASSES} passes")
 
 
 def _student_fit(rows, names, centre, intercept, beta, spread, n):
-    """EM for location and spread. Each degree of freedom of a fixed grid gets a starting fit;
-    the one with the lowest loss over all rows is then polished over all rows."""
-    design, x = _start_rows(rows, names, n)
-    starts = {}
-    for nu in NU_GRID:
-        start, width = np.array([intercept, *beta]), spread or 1e-6
-        for _ in range(START_STEPS if len(x) > len(start) else 0):
-            weight = (nu + 1) / (nu + ((x - design @ start) / width) ** 2)
-            start = _weighted_solution(design, x, weight)
-            width = math.sqrt((weight * (x - design @ start) ** 2).mean()) or 1e-6
-        starts[nu] = start, width
-
-    def squared(start, width) -> str:
-        return f"pow({_residual(names, start[0], start[1:])} / {number(width)}, 2D)"
-
-    logs = rows.agg(*(F.expr(f"avg(ln(1D + {squared(*s)} / {number(g)})) AS l{k}") for k, (g, s) in enumerate(starts.items()))).first()
-    losses = [
-        math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + math.log(starts[g][1]) + (g + 1) / 2 * logs[f"l{k}"]
-        for k, g in enumerate(NU_GRID)
-    ]
-    nu = NU_GRID[int(np.argmin(losses))]
-    start, width = starts[nu]
-    for _ in range(MAX_PASSES):
-        weight = f"{number(nu + 1)} / ({number(nu)} + {squared(start, width)})"
-        _, means, products = summed_products(rows, [*names, "x"], centre, weight)
+    """Location, spread and degrees of freedom of the highest likelihood, over all rows.
+
+    Parameter-expanded EM (the weighted squares are divided by the sum of weights, which converges much faster
+    than dividing by n). After each step the degrees of freedom move to the best of a few values around
+    the present one, all judged in one aggregate; the span of these values narrows as they settle.
+    """
+    start, width, nu, span = np.array([intercept, *beta]), spread or 1e-6, 8.0, 4.0
+    for _ in range(PASSES):
+        residual = _residual(names, start[0], start[1:])
+        weight = f"{number(nu + 1)} / ({number(nu)} + pow({residual} / {number(width)}, 2D))"
+        total_weight, means, products = summed_products(rows, [*names, "x"], centre, weight)
         beta, intercept, sse = _solution(means, products)
-        new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / n) or 1e-6
-        moved = max(np.abs(new - start).max(), abs(new_width - width))
-        start, width = new, new_width
-        if moved < 1e-5:
-            break
-    return float(start[0]), start[1:], width, nu
+        new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / total_weight) or 1e-6
+        choices = np.clip(nu * span ** np.linspace(-1, 1, NU_CHOICES), *NU_RANGE)
+        squared = f"pow({_residual(names, new[0], new[1:])} / {number(new_width)}, 2D)"
+        logs = rows.agg(*(F.expr(f"avg(ln(1D + {squared} / {number(g)})) AS l{k}") for k, g in enumerate(choices))).first()
+        losses = [
+            math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * logs[f"l{k}"] for k, g in enumerate(choices)
+        ]
+        at = int(np.argmin(losses))
+        moved = max(np.abs(new - start).max(), abs(new_width - width), abs(math.log(choices[at] / nu)))
+        start, width, nu = new, new_width, float(choices[at])
+        if 0 < at < NU_CHOICES - 1 or choices[at] in NU_RANGE:
+            span = max(1.0 + NU_TOLERANCE, span**0.5)
+        if moved < NU_TOLERANCE and span <= 1.0 + NU_TOLERANCE:
+            return float(start[0]), start[1:], width, nu
+    raise ValueError(f"the Student-t fit did not converge in {PASSES} passes")
 
 
 def loss(df: DataFrame, model: Autoregression, scales: DataFrame, column: str = "y", freq: str = "D") -> DataFrame:

@@ -161,8 +161,9 @@ def causal_evaluation(params: DataFrame, truth: DataFrame | None = None) -> Data
         return table
     both = (
         params.where(name.isin("delta", "rho", "gamma"))
-        .join(truth.withColumnRenamed("value", "_true"), ["param", "idx"])
-        .withColumn("_error", F.abs(value - F.col("_true")))
+        .join(truth.where(name.isin("delta", "rho", "gamma")).withColumnRenamed("value", "_true"), ["param", "idx"], "full")
+        .where((name == "gamma") | (value.isNotNull() & F.col("_true").isNotNull()))
+        .withColumn("_error", F.coalesce(F.abs(value - F.col("_true")), F.raise_error(F.lit("the lists of gamma differ in length"))))
         .groupBy("param")
         .agg(F.avg("_error").alias("mae"), F.avg(F.col("_error") * F.col("_error")).alias("mse"))
     )

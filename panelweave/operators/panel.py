@@ -160,13 +160,25 @@ def with_post(df: DataFrame, start: str) -> DataFrame:
 
 
 def attach_regions(df: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Region attributes on every cell. Spark broadcasts the dimension only below its size threshold."""
-    return df.join(dimension, "region")
+    """Region attributes on every cell; a region that the dimension lacks is an error when the attribute is read.
+    Spark broadcasts the dimension only below its size threshold."""
+    return _attached(df, dimension, "region", "region dimension")
 
 
 def attach_calendar(df: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Calendar attributes (such as a ``post`` of any shape) on every cell."""
-    return df.join(calendar, "t")
+    """Calendar attributes (such as a ``post`` of any shape) on every cell; a date that the calendar lacks is an
+    error when the attribute is read."""
+    return _attached(df, calendar, "t", "calendar")
+
+
+def _attached(df: DataFrame, dimension: DataFrame, key: str, name: str) -> DataFrame:
+    """Left join that keeps every row, and raises where a key is unknown."""
+    absent = F.raise_error(F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(f" is absent from the {name}")))
+    added = [c for c in dimension.columns if c != key]
+    joined = df.join(dimension.withColumn("_known", F.lit(True)), key, "left")
+    return joined.select(
+        *(F.when(F.col("_known"), F.col(c)).otherwise(absent).alias(c) if c in added else F.col(c) for c in joined.columns if c != "_known")
+    )
 
 
 def design_rows(df: DataFrame, covariates: Sequence[str] = (), lag: str | None = None) -> DataFrame:
@@ -181,18 +193,21 @@ def design_rows(df: DataFrame, covariates: Sequence[str] = (), lag: str | None =
     return df.select("region", "t", "y", *terms)
 
 
-def split_time(df: DataFrame, test_size: float = 0.2, freq: str = "D") -> Column:
-    """First test date, as a scalar: the last int(T·test_size) dates are for testing."""
+def split_time(df: DataFrame, test_size: float = 0.2, freq: str = "D"):
+    """First test date, read once so that both halves filter by a literal; None without a test date.
+    The last int(T·test_size) dates are for testing."""
     dates = number_rows(calendar_of(df), [], freq)
     steps = dates.agg(F.count(F.lit(1)).alias("n")).scalar()
     first_test = steps - F.floor(steps * F.lit(test_size)) + 1
-    return dates.where(F.col("rn") >= first_test).agg(F.min("t").alias("cut")).scalar()
+    return dates.where(F.col("rn") >= first_test).agg(F.min("t").alias("cut")).first()["cut"]
 
 
 def temporal_split(df: DataFrame, test_size: float = 0.2, freq: str = "D") -> tuple[DataFrame, DataFrame]:
     """(train, test) by date; every region is cut at the same date."""
     cut = split_time(df, test_size, freq)
-    return df.where(cut.isNull() | (F.col("t") < cut)), df.where(F.col("t") >= cut)
+    if cut is None:
+        return df, df.limit(0)
+    return df.where(F.col("t") < F.lit(cut)), df.where(F.col("t") >= F.lit(cut))
 
 
 def data_info(df: DataFrame, target: str, covariates: Sequence[str], scaling: str, missing: str) -> DataFrame:

@@ -66,7 +66,7 @@ def kernel_weights(
     """Gaussian, exponential or linear kernel of the distance; not normalised.
 
     The default bandwidth is the median distance over i < j (the maximum for the linear
-    kernel). Only the linear kernel is zero far away, so with a bandwidth it visits near pairs
+    kernel); a bandwidth of zero gives weight 1 to points in the same place. Only the linear kernel is zero far away, so with a bandwidth it visits near pairs
     only; the other two give all N·(N−1) rows.
     """
     if kernel not in ("gaussian", "exponential", "linear"):
@@ -81,6 +81,9 @@ def kernel_weights(
         if bandwidth is None:
             return pairs.select("i", "j", F.lit(0.0).alias("w")).limit(0)
     d, h = F.col("d"), F.lit(float(bandwidth))
+    if not bandwidth:
+        # a point's own place is all that a kernel without width reaches
+        return pairs.where(d == 0).select("i", "j", F.lit(1.0).alias("w"))
     weight = {
         "gaussian": F.exp(-(d * d) / (2.0 * h * h)),
         "exponential": F.exp(-d / h),

@@ -58,7 +58,8 @@ def plain(c: str) -> Column:
 
 @query
 def panel_long(spark, d):
-    panel = panels.between_dates(fx.nation_panel(spark, d), "1995-06-01", "2000-12-01")
+    months = ("1995-06-01", "2000-12-01")
+    panel = panels.between_dates(fx.nation_panel(spark, d, months), *months)
     return shown(panel, ["y", "c1", "c2"], 7)
 
 

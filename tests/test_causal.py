@@ -68,24 +68,48 @@ def test_2sls_matches_dense_projection(spark, deficient):
 
 
 @pytest.mark.parametrize("deficient", [False, True])
-def test_distributed_projection_equals_the_dense_one(spark, deficient):
-    df, edges, _, (s, *_rest) = world(spark, n=6, steps=8)
+def test_projection_is_the_region_mean(spark, deficient):
+    df, edges, _, (s, *_rest, y) = world(spark, n=6, steps=8)
     if deficient:
         edges = edges.where("i < 3")
-    lagged = did.spatial_lag(df, edges)
-    dense = by_key(did.project_on_weights(lagged, edges), "region")
-    spread = by_key(did.project_on_weights(lagged, edges, dense_regions=2), "region")
-    assert dense.keys() == spread.keys()
-    for region in dense:
-        assert spread[region]["lag"] == pytest.approx(dense[region]["lag"], abs=1e-7)
-
-
-def test_no_convergence_is_an_error(spark):
-    df, edges, _, _ = world(spark, n=6, steps=8)
-    lagged = did.spatial_lag(df, edges)
-    means = lagged.groupBy("region").agg(F.avg("lag").alias("lag"), F.count(F.lit(1)).alias("_n"))
-    with pytest.raises(ValueError, match="converge"):
-        did._project_iteratively(means, edges, passes=1)
+        s = s * (np.arange(len(s)) < 3)[:, None]
+    z = np.repeat(np.column_stack([np.ones(6), s]), 8, axis=0)
+    dense = (z @ np.linalg.lstsq(z, (s @ y).reshape(-1), rcond=None)[0]).reshape(6, 8)[:, 0]
+    found = by_key(did.project_on_weights(did.spatial_lag(df, edges)), "region")
+    np.testing.assert_allclose([found[(i,)]["lag"] for i in range(6)], dense, atol=1e-9)
+
+
+def test_a_partly_unknown_date_is_an_error(spark):
+    df, edges, dimension, _ = world(spark, n=6, steps=8)
+    gap = df.withColumn("y", F.when((F.col("region") != 2) | (F.col("t") != F.lit(day(3))), F.col("y")))
+    with pytest.raises(ValueError, match="repair the panel"):
+        did.fit_2sls(rows_of(gap, dimension, 8), edges)
+    nothing = df.withColumn("y", F.when(F.col("t") != F.lit(day(3)), F.col("y")))
+    did.fit_2sls(rows_of(nothing, dimension, 8), edges)
+
+
+def test_2sls_standard_errors_use_the_actual_lag(spark):
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.3)
+    fit, _ = did.fit_2sls(rows_of(df, dimension), edges, ["c1"])
+    actual = s @ y
+    projected = np.repeat(actual.mean(axis=1)[:, None], y.shape[1], 1)
+    x = dense_design(treated, post, c, projected)
+    b = np.linalg.lstsq(x, y.reshape(-1), rcond=None)[0]
+    e = y.reshape(-1) - dense_design(treated, post, c, actual) @ b
+    errors = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * (e @ e) / (len(e) - 6))
+    names = ("treated", "post", "treated_post", "c1", "lag")
+    np.testing.assert_allclose([fit.std_errors[k] for k in names], errors[1:], rtol=1e-6)
+
+
+def test_unknown_keys_are_errors_and_no_row_is_lost(spark):
+    df, edges, dimension, _ = world(spark, n=6, steps=8)
+    model = SpatialDiD(edges, dimension.where("region < 5"), str(day(4)))
+    with pytest.raises(Exception, match="absent from the region dimension"):
+        model.with_indicators(df).collect()
+    calendar = df.select("t").distinct().where(F.col("t") < F.lit(day(6))).withColumn("post", F.lit(1))
+    with pytest.raises(Exception, match="absent from the calendar"):
+        panels.attach_calendar(df, calendar).collect()
+    assert panels.attach_calendar(df, calendar).select("region", "t").count() == df.count()
 
 
 def test_collinear_designs_have_the_shortest_answer(spark):
