@@ -90,7 +90,8 @@ def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int =
         F.col("key").alias(place), F.col("version").alias(version), F.col("lines").alias(name)
     )
     left = docs.withColumn(version, F.md5(col(text)))
-    return left.join(gone, (left[f"`{key}`"] == gone[place]) & (left[version] == gone[version]), "left").select(
+    # one kind of join at every size: a small table of lines would be broadcast, a large one not
+    return left.join(gone.hint("merge"), (left[f"`{key}`"] == gone[place]) & (left[version] == gone[version]), "left").select(
         *(left[f"`{c}`"] for c in docs.columns), gone[name]
     )
 
