@@ -5,7 +5,9 @@ Results are rounded and dates printed, so that two engines can be compared by va
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +18,7 @@ from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
 from panelweave.plans import fixtures as fx
 from panelweave.plans.model import ModelConfig, PanelProcessor, SpatialCausalForecaster
-from panelweave.session import stage
+from panelweave.session import shared_dir, stage
 from panelweave.sources.readers import long_country_panel, wide_country_panel
 from panelweave.sources.synthetic import synthetic_values
 
@@ -413,6 +415,12 @@ def did_spatial_2sls(spark, d):
     return _tidy_fit(spark, fit)
 
 
+@query
+def did_spatial_2sls_supplier(spark, d):
+    fit, _ = did.fit_2sls(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d))
+    return _tidy_fit(spark, fit)
+
+
 @query
 def did_spatial_cov1(spark, d):
     fit, _ = did.fit_ols(fx.nation_rows(spark, d), fx.nation_edges(spark, d), ["c2"])
@@ -732,8 +740,18 @@ def report(spark, d):
 # --- whole model ---------------------------------------------------------------------------------
 
 
-def _model(spark, d, distribution="laplace"):
-    config = ModelConfig(AHEAD, CONTEXT, "M", distribution, num_sample_paths=SAMPLES, causal_method="ols", seed=SEED)
+def _config(distribution: str = "gaussian") -> ModelConfig:
+    lags = (1,) if distribution == "gaussian" else forecast.DEFAULT_LAGS
+    return ModelConfig(AHEAD, CONTEXT, "M", distribution, num_sample_paths=SAMPLES, lags=lags, seed=SEED)
+
+
+def model_settings() -> list[tuple[str, str]]:
+    """Name and text of each setting that a summary of the fitted model begins with."""
+    return [("is_fitted", "True"), *((k, str(v)) for k, v in asdict(_config()).items())]
+
+
+def _model(spark, d, distribution="gaussian"):
+    config = _config(distribution)
     panel = stage(fx.filled(fx.supplier_panel(spark, d)))
     train, test = panels.temporal_split(panel, AHEAD / 80, "M")
     model = SpatialCausalForecaster(config, fx.supplier_edges(spark, d), fx.supplier_points(spark, d), fx.POST_START)
@@ -744,12 +762,30 @@ def _model(spark, d, distribution="laplace"):
 def end_to_end_forecast(spark, d):
     model, train, _ = _model(spark, d)
     summary = model.forecast_summary(model.predict(train))
+    return shown(summary, ["mean", "median", "std", "quantile_10", "quantile_90"], 3, ("region", "step", "t", "num_samples"))
+
+
+@query
+def end_to_end_laplace(spark, d):
+    model, train, _ = _model(spark, d, "laplace")
+    summary = model.forecast_summary(model.predict(train))
     return shown(summary, ["mean", "median", "std", "quantile_10", "quantile_90"], 4, ("region", "step", "t", "num_samples"))
 
 
+@query
+def model_roundtrip(spark, d):
+    """Saved to the shared folder, loaded and saved over itself, loaded again: the same paths."""
+    model, train, _ = _model(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/panelweave/model-{uuid.uuid4().hex}"
+    model.save(path)
+    SpatialCausalForecaster.load(spark, path).save(path)
+    paths = SpatialCausalForecaster.load(spark, path).predict(train)
+    return shown(paths, ["value"], 4, ("region", "step", "t", "sample_id"))
+
+
 @query
 def end_to_end_scores(spark, d):
-    model, train, test = _model(spark, d, "gaussian")
+    model, train, test = _model(spark, d)
     found, _ = model.evaluate(model.predict(train), test, train)
     return _metric_rows(found, 4)
 
@@ -757,4 +793,6 @@ def end_to_end_scores(spark, d):
 @query
 def model_summary(spark, d):
     model, _, _ = _model(spark, d)
-    return model.summary(spark)
+    number = F.round(F.col("setting").try_cast("double") * 1_000_000).cast("bigint").cast("string")
+    estimated = F.col("name").isin("beta_0", "beta_1", "beta_2", "delta", "rho")
+    return model.summary(spark).select("name", F.when(estimated, number).otherwise(F.col("setting")).alias("setting"))

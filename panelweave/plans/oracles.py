@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 from panelweave.functions.heads import student_quantile
-from panelweave.plans.catalogue import AHEAD, CONTEXT, SAMPLES, SEED
+from panelweave.plans.catalogue import AHEAD, CONTEXT, SAMPLES, SEED, model_settings
 from panelweave.plans.fixtures import HORIZON, MEMBERS, NEAR, POST_START
 
 
@@ -332,19 +332,41 @@ def understanding() -> list[str]:
 
 # --- forecaster -----------------------------------------------------------------------------
 
-SCALED = [
-    *SUPPLIER_DENSE,
-    "ar0 AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY t DESC) AS back FROM sd)",
+def scaled_rows(panel: str) -> list[str]:
+    return [
+        f"ar0 AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY t DESC) AS back FROM {panel})",
+        *SCALES,
+    ]
+
+
+SCALES = [
     f"""sc AS (SELECT region, CASE WHEN avg(abs(y)) > 0 THEN avg(abs(y)) ELSE 1 END AS scale FROM ar0
       WHERE back <= {CONTEXT} GROUP BY region)""",
     """ar AS (SELECT region, t, back, scale, y / scale AS x, lag(y / scale, 1) OVER o AS l1, lag(y / scale, 2) OVER o AS l2
       FROM ar0 JOIN sc USING (region) WINDOW o AS (PARTITION BY region ORDER BY t))""",
 ]
-AR1 = [
-    *SCALED,
+SCALED = [*SUPPLIER_DENSE, *scaled_rows("sd")]
+FIRST_ORDER = [
     "a1 AS (SELECT regr_slope(x, l1) AS phi, regr_intercept(x, l1) AS c FROM ar WHERE l1 IS NOT NULL)",
     "m1 AS (SELECT phi, c, (SELECT sqrt(avg((x - c - phi * l1) * (x - c - phi * l1))) FROM ar WHERE l1 IS NOT NULL) AS sigma FROM a1)",
 ]
+AR1 = [*SCALED, *FIRST_ORDER]
+# the whole model on the dates before the test dates: two-stage fit, adjusted and spilled series, autoregression
+MODEL = [
+    *SUPPLIER_DENSE,
+    "dn AS (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM sd))",
+    f"""sr AS (SELECT sd.*, CASE WHEN region % 5 <= 1 THEN 1 ELSE 0 END AS treated, CASE WHEN t >= DATE '{POST_START}' THEN 1 ELSE 0 END AS post
+      FROM sd JOIN dn USING (t) WHERE rn <= n - CAST(floor(n * {AHEAD / 80!r}) AS BIGINT))""",
+    *SUPPLIER_EDGES,
+    lagged("sl", "sr", "se"),
+    "n2 AS (SELECT *, avg(lag) OVER (PARTITION BY region) AS projected FROM sl)",
+    *did("n2", "projected"),
+    f"ad AS (SELECT region, t, y - {value_of('delta')} * treated * post AS y_adjusted FROM sr)",
+    lagged("al", "ad", "se", "y_adjusted", "la"),
+    f"zz AS (SELECT region, t, y_adjusted + {value_of('rho')} * la AS y FROM al)",
+    *scaled_rows("zz"),
+    *FIRST_ORDER,
+]
 
 
 def draws() -> list[str]:
@@ -358,10 +380,10 @@ def draws() -> list[str]:
     return parts
 
 
-def _path_rows() -> str:
+def _path_rows(rounded: bool = True) -> str:
     return " UNION ALL ".join(
         f"""SELECT region, CAST({s} AS INTEGER) AS step, CAST(CAST(last + INTERVAL {s} MONTH AS DATE) AS VARCHAR) AS t, CAST(sample_id AS INTEGER) AS sample_id,
-      {r(f'x{s} * scale', 4, 'value')} FROM p{AHEAD}"""
+      {r(f'x{s} * scale', 4, 'value') if rounded else f'x{s} * scale AS value'} FROM p{AHEAD}"""
         for s in range(1, AHEAD + 1)
     )
 
@@ -594,6 +616,9 @@ def oracle_sql() -> dict[str, str]:
         "did_spatial_ols": steps(*NATION_LAG, *did("nl"), TIDY),
         "did_spatial_ols_supplier": steps(*SUPPLIER_LAG, *did("sl"), TIDY),
         "did_spatial_2sls": steps(*NATION_LAG, "n2 AS (SELECT *, avg(lag) OVER (PARTITION BY region) AS projected FROM nl)", *did("n2", "projected"), TIDY),
+        "did_spatial_2sls_supplier": steps(
+            *SUPPLIER_LAG, "n2 AS (SELECT *, avg(lag) OVER (PARTITION BY region) AS projected FROM sl)", *did("n2", "projected"), TIDY
+        ),
         "did_spatial_cov1": steps(*NATION_LAG, *did("nl", "lag", "c2"), TIDY),
         "did_fitted": steps(*SUPPLIER_LAG, *did("sl"), fitted("sl"), f"{UP}, {rs('y fitted', 5)}, {r('y - fitted', 5, 'residual')} FROM ft"),
         "did_r_squared": steps(
@@ -674,8 +699,26 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS n FROM ar, m1 WHERE l1 IS NOT NULL""",
         ),
         "forecast_paths": steps(*AR1, *draws(), _path_rows()),
-        "forecast_summary": steps(
-            *CELLS,
+        "end_to_end_forecast": steps(
+            *MODEL,
+            *draws(),
+            f"ep AS ({_path_rows(False)})",
+            f"""SELECT region, step, CAST(t AS VARCHAR) AS t, CAST(count(*) AS BIGINT) AS num_samples, {r('avg(value)', 3, 'mean')}, {r('median(value)', 3, 'median')},
+            {r('stddev_pop(value)', 3, 'std')}, {r('quantile_cont(value, 0.1)', 3, 'quantile_10')}, {r('quantile_cont(value, 0.9)', 3, 'quantile_90')}
+            FROM ep GROUP BY region, step, t""",
+        ),
+        "model_summary": steps(
+            *MODEL,
+            f"""cf AS (SELECT unnest({[k for k, _ in model_settings()]!r}) AS name, unnest({[v for _, v in model_settings()]!r}) AS setting)""",
+            f"""SELECT * FROM cf UNION ALL SELECT 'n_regions', CAST(count(*) AS VARCHAR) FROM supplier
+            UNION ALL SELECT param, CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR) FROM pa
+            UNION ALL SELECT 'treatment_effect', CASE WHEN value < -0.1 THEN 'Strong negative effect - interventions effectively reduce cases'
+              WHEN value > 0.1 THEN 'Positive effect - interventions may increase cases' ELSE 'Limited intervention effectiveness' END FROM pa WHERE param = 'delta'
+            UNION ALL SELECT 'spatial_spillover', CASE WHEN abs(value) > 0.3 THEN 'Strong spatial correlation - neighboring regions significantly influence local outcomes'
+              ELSE 'Weak spatial correlation - limited cross-regional influence' END FROM pa WHERE param = 'rho'""",
+        ),
+        "model_roundtrip": steps(*MODEL, *draws(), _path_rows()),
+        "forecast_summary": steps(            *CELLS,
             f"""{UP}, {rs('mean')}, {r('med', 6, 'median')}, {rs('std')}, {r('q10', 6, 'quantile_10')}, {r('q90', 6, 'quantile_90')},
             CAST({MEMBERS} AS BIGINT) AS num_samples FROM ce""",
         ),
