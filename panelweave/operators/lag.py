@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 TIME_SLICES = 8
@@ -10,23 +12,28 @@ TIME_SLICES = 8
 def spatial_lag(
     panel: DataFrame, edges: DataFrame, column: str = "y", out: str = "lag", slices: int = TIME_SLICES
 ) -> DataFrame:
-    """Panel rows plus ``out`` = Σ_j w(i, j)·column(j, t).
+    """Panel rows plus ``out`` = Σ_j w(i, j)·column(j, t)."""
+    return spatial_lags(panel, edges, {out: column}, slices)
+
+
+def spatial_lags(panel: DataFrame, edges: DataFrame, columns: Mapping[str, str], slices: int = TIME_SLICES) -> DataFrame:
+    """Panel rows plus, per entry (name: column), the lag of that column, all summed in one pass.
 
     Regions without neighbours get 0; one NULL neighbour value makes the lag NULL. The panel must
     be dense (see ``densify``). Each region's dates are spread over ``slices`` join keys and the
     edges repeated for each, so a hub or a long series is shared by several tasks.
     """
     values = panel.select(
-        F.col("region").alias("j"), "t", F.col(column).alias("_x"), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("_s")
+        F.col("region").alias("j"), "t", *(F.col(c).alias(f"_x{n}") for n, c in enumerate(columns.values())), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("_s")
     )
     spread = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
     sums = (
         values.join(spread, ["j", "_s"])
         .groupBy(F.col("i").alias("region"), "t")
         .agg(
-            F.when(F.count("_x") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("_x"))).alias("_sum"),
+            *(F.when(F.count(f"_x{n}") == F.count(F.lit(1)), F.sum(F.col("w") * F.col(f"_x{n}"))).alias(f"_sum{n}") for n in range(len(columns))),
             F.lit(True).alias("_has"),
         )
     )
-    lagged = F.when(F.col("_has"), F.col("_sum")).otherwise(0.0)
-    return panel.join(sums, ["region", "t"], "left").withColumn(out, lagged).drop("_sum", "_has")
+    lagged = {out: F.when(F.col("_has"), F.col(f"_sum{n}")).otherwise(0.0) for n, out in enumerate(columns)}
+    return panel.join(sums, ["region", "t"], "left").withColumns(lagged).drop("_has", *(f"_sum{n}" for n in range(len(columns))))

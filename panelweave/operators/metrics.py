@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelweave.functions.scalars import ratio
-from panelweave.operators.lag import spatial_lag
+from panelweave.operators.lag import spatial_lags
 from panelweave.operators.ordered import over_neighbourhood
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -126,8 +126,7 @@ def spatial_metrics(forecasts: DataFrame, truth: DataFrame, edges: DataFrame) ->
     """
     means = forecasts.groupBy("region", "t").agg(F.avg("value").alias("mean"))
     cells = means.join(truth.select("region", "t", "y"), ["region", "t"]).withColumn("error", F.col("mean") - F.col("y"))
-    lagged = spatial_lag(cells, edges, "mean", "lag_mean")
-    lagged = spatial_lag(lagged, edges, "y", "lag_y")
+    lagged = spatial_lags(cells, edges, {"lag_mean": "mean", "lag_y": "y"})
     lagged = lagged.withColumn("lag_error", F.col("lag_mean") - F.col("lag_y"))
     pairs = (
         ("spatial_error_correlation", "error", "lag_error"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from panelweave.functions.scalars import nan_to_null
 from panelweave.operators.missing import numeric_columns
 from panelweave.operators.ordered import BLOCK_STEPS, block_of, is_calendar, number_rows, tail
-from panelweave.operators.tiling import product
+from panelweave.operators.tiling import product, tiles_for
 
 __all__ = [
     "attach_calendar",
@@ -134,18 +134,19 @@ def require_regions(panel: DataFrame, dimension: DataFrame) -> None:
             raise ValueError(f"region {missing[0]['region']!r} is absent from the {where}")
 
 
-def densify(df: DataFrame, freq: str = "D", tiles: int = 32) -> DataFrame:
+def densify(df: DataFrame, freq: str = "D", tiles: int | None = None) -> DataFrame:
     """One row for every (distinct region, distinct date); cells that were absent hold NULL.
 
     A bounded calendar travels as one array of dates that each region row explodes. Finer
-    timelines are matched tile by tile with the regions.
+    timelines are matched with the regions tile by tile, in as many tiles as the counts of both ask for.
     """
     regions, dates = regions_of(df), calendar_of(df)
     if is_calendar(freq):
         every_date = dates.agg(F.collect_list("t").alias("dates")).scalar()
         grid = regions.select("region", F.explode(every_date).alias("t"))
     else:
-        grid = product(regions, dates, ["region"], ["t"], tiles, tiles).select("region", "t")
+        sides = (tiles, tiles) if tiles else (tiles_for(regions.count()), tiles_for(dates.count()))
+        grid = product(regions, dates, ["region"], ["t"], *sides).select("region", "t")
     return grid.join(df, ["region", "t"], "left").select(*df.columns)
 
 

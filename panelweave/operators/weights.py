@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelweave.functions.scalars import close, ratio
 from panelweave.operators.neighbours import Coords, all_pairs, nearest, pairs_within
 from panelweave.operators.quantiles import exact_median
+from panelweave.session import stage
 
 
 def binary_weights(points: DataFrame, coords: Coords, threshold: float) -> DataFrame:
@@ -61,18 +62,25 @@ def contiguity_weights(regions: DataFrame, adjacency: DataFrame | Mapping[str, S
 
 
 def kernel_weights(
-    points: DataFrame, coords: Coords, kernel: str = "gaussian", bandwidth: float | None = None
+    points: DataFrame, coords: Coords, kernel: str = "gaussian", bandwidth: float | None = None, cutoff: float | None = None
 ) -> DataFrame:
     """Gaussian, exponential or linear kernel of the distance; not normalised.
 
     The default bandwidth is the median distance over i < j (the maximum for the linear
     kernel); a bandwidth of zero gives weight 1 to points in the same place. Only the linear kernel is zero far away, so with a bandwidth it visits near pairs
-    only; the other two give all N·(N−1) rows.
+    only; the other two give all N·(N−1) rows unless a ``cutoff`` is given: then, with a bandwidth, pairs
+    farther apart have no weight and are not visited. Many points need one.
     """
     if kernel not in ("gaussian", "exponential", "linear"):
         raise ValueError(f"unsupported kernel {kernel!r}")
-    if kernel == "linear" and bandwidth is not None:
-        pairs = pairs_within(points, coords, bandwidth)
+    if cutoff is not None and bandwidth is None:
+        raise ValueError("a cutoff needs a bandwidth")
+    reach = [x for x in (cutoff, bandwidth if kernel == "linear" else None) if x is not None]
+    if reach:
+        pairs = pairs_within(points, coords, min(reach))
+    elif bandwidth is None:
+        # read for the bandwidth and again for the weights
+        pairs = stage(all_pairs(points, coords))
     else:
         pairs = all_pairs(points, coords)
     if bandwidth is None:

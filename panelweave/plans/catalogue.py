@@ -211,6 +211,20 @@ def separate_covariate_scale(spark, d):
     return shown(scaling.scale(panel, "minmax", ["c1", "c2"], pooled=False)[0], ["y", "c1", "c2"])
 
 
+@query
+def load_pipeline(spark, d):
+    """A CSV file read, repaired by interpolation and scaled to 0–1."""
+    path = f"{shared_dir(spark).rstrip('/')}/panelweave/{uuid.uuid4().hex}.csv"
+    fx.dense(fx.user_panel(spark, d)).select("region", F.col("t").alias("date"), "y", "c1").write.option("header", True).csv(path)
+    processor = PanelProcessor(["y"], ["c1"], "region", scaling_method="minmax", handle_missing="interpolate")
+    return shown(processor.load(spark, path, schema="region bigint, date string, y double, c1 double"), ["y", "c1"])
+
+
+@query
+def unscaled(spark, d):
+    return shown(scaling.scale(_user_filled(spark, d), "none")[0], ["y"])
+
+
 @query
 def inverse_roundtrip(spark, d):
     processor = PanelProcessor(covariates=["c1"], handle_missing="fill")
@@ -327,6 +341,16 @@ def w_exponential(spark, d):
     return _edges(weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "exponential"))
 
 
+@query
+def w_gaussian_near(spark, d):
+    return _edges(weights.kernel_weights(fx.customer_points(spark, d), ["x", "y"], "gaussian", fx.NEAR, 2 * fx.NEAR))
+
+
+@query
+def w_exponential_near(spark, d):
+    return _edges(weights.kernel_weights(fx.customer_points(spark, d), ["x", "y"], "exponential", fx.NEAR, 2 * fx.NEAR))
+
+
 @query
 def w_linear(spark, d):
     return _edges(weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "linear"))

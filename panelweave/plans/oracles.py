@@ -177,14 +177,14 @@ INTERPOLATE = """k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY
       f AS (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-def interpolation(source: str, columns: str) -> tuple[str, str]:
+def interpolation(source: str, columns: str, digits: int = 6) -> tuple[str, str]:
     known = ", ".join(
         f"last_value({c} IGNORE NULLS) OVER b AS {c}l, last_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER b AS {c}ln,"
         f" first_value({c} IGNORE NULLS) OVER f AS {c}r, first_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER f AS {c}rn"
         for c in columns.split()
     )
     values = ", ".join(
-        r(f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}r IS NOT NULL THEN {c}l + ({c}r - {c}l) * (n - {c}ln) / ({c}rn - {c}ln) ELSE {c}l END", 6, c)
+        r(f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}r IS NOT NULL THEN {c}l + ({c}r - {c}l) * (n - {c}ln) / ({c}rn - {c}ln) ELSE {c}l END", digits, c)
         for c in columns.split()
     )
     return INTERPOLATE.format(source=source, known=known), f"SELECT region, {text()}, {values} FROM g"
@@ -520,6 +520,8 @@ def oracle_sql() -> dict[str, str]:
         "standard": steps(*USER_FILLED, scaled("(SELECT region, t, y FROM uf)", ["y"], "standard")),
         "pooled_covariate_scale": steps(*SUPPLIER_DENSE, scaled("sd", ["y", "c1 c2"], "standard")),
         "separate_covariate_scale": steps(*SUPPLIER_DENSE, scaled("sd", ["y", "c1", "c2"], "minmax")),
+        "unscaled": steps(*USER_FILLED, f"{UP}, {rs('y')} FROM uf"),
+        "load_pipeline": steps(*USER_DENSE, interpolate_daily, f"iu AS ({interpolation('ud', 'y c1', 13)[1]})", scaled("iu", ["y", "c1"], "minmax")),
         "inverse_roundtrip": steps(*USER_FILLED, f"{UP}, {rs('y c1')} FROM uf"),
         "window_mean_scale": steps(
             *USER_DENSE,
@@ -572,6 +574,8 @@ def oracle_sql() -> dict[str, str]:
         "w_contiguity": steps(*SUPPLIER_EDGES, f"SELECT i, j, {r('w')} FROM se0"),
         "w_gaussian": _kernel("exp(-(d * d) / (2 * h * h))", "median(d)"),
         "w_exponential": _kernel("exp(-d / h)", "median(d)"),
+        "w_gaussian_near": steps(CUSTOMERS, pairs("cp", "cus"), f"SELECT i, j, {r(f'exp(-(d * d) / {2 * NEAR * NEAR})', 6, 'w')} FROM cp WHERE d <= {2 * NEAR}"),
+        "w_exponential_near": steps(CUSTOMERS, pairs("cp", "cus"), f"SELECT i, j, {r(f'exp(-d / {NEAR})', 6, 'w')} FROM cp WHERE d <= {2 * NEAR}"),
         "w_linear": _kernel("greatest(0, 1 - d / h)", "max(d)"),
         "w_linear_near": steps(CUSTOMERS, pairs("cp", "cus"), f"SELECT i, j, {r(f'1 - d / {2 * NEAR}', 6, 'w')} FROM cp WHERE d < {2 * NEAR}"),
         "w_normalised": steps(
