@@ -18,6 +18,8 @@ from panelweave.operators.tiling import product, tile_sides, tiles_for
 from panelweave.session import stage
 
 CELL_POINTS = 2_048
+#: Array coordinates of a tile: a vector is sent once per tile of the other side, so tiles are large.
+ARRAY_ROWS = 2_048
 ONE_CELL_POINTS = 512
 MAX_LEVEL = 50
 # absorbs rounding at the borders of boxes; it only adds candidates
@@ -56,7 +58,7 @@ def pairs_within(points: DataFrame, coords: Coords, threshold: float, cell_point
     piece by piece.
     """
     if isinstance(coords, str):
-        return _tile_pairs(points, coords, tiles_for(points.count()), threshold=threshold)
+        return _tile_pairs(points, coords, tiles_for(points.count(), ARRAY_ROWS), threshold=threshold)
     if threshold < 0:
         return all_pairs(points, coords, 1).limit(0)
     width, axes = threshold if threshold > 0 else 1.0, range(min(3, len(coords)))
@@ -96,7 +98,7 @@ def nearest(points: DataFrame, coords: Coords, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be at least 1")
     if isinstance(coords, str):
-        partial = _tile_pairs(points, coords, tiles_for(points.count()), k=k)
+        partial = _tile_pairs(points, coords, tiles_for(points.count(), ARRAY_ROWS), k=k)
         return _closest(partial.withColumn("_d2", F.col("d")), k)
     if len(coords) > 3:
         pairs = all_pairs(points, coords)
@@ -336,18 +338,25 @@ def _tile_pairs(
         out = {"i": [], "j": [], "d": []}
         if len(own) and len(other):
             other = other.sort_values("j")
-            keys, values = other["j"].to_numpy(), np.stack(other["q"].to_numpy())
-            for i, p in zip(own["i"], own["p"]):
-                d = np.sqrt(((values - p) ** 2).sum(axis=1))
-                keep = keys != i
+            names, keys = own["i"].to_numpy(), other["j"].to_numpy()
+            mine, values = np.stack(own["p"].to_numpy()), np.stack(other["q"].to_numpy())
+            for at in range(0, len(mine), 32):
+                d = np.sqrt(((mine[at : at + 32, None, :] - values[None, :, :]) ** 2).sum(axis=2))
+                far = names[at : at + 32, None] == keys[None, :]
                 if threshold is not None:
-                    keep &= d <= threshold
-                at = np.flatnonzero(keep)
-                if k is not None:
-                    at = at[np.argsort(d[at], kind="stable")[:k]]
-                out["i"].append(np.full(len(at), i))
-                out["j"].append(keys[at])
-                out["d"].append(d[at])
+                    far |= d > threshold
+                if k is None:
+                    row, place = np.nonzero(~far)
+                else:
+                    # keys are in order, so a stable sort settles equal distances by key
+                    place = np.argsort(np.where(far, np.inf, d), axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(len(d)), place.shape[1])
+                    place = place.ravel()
+                    near = ~far[row, place]
+                    row, place = row[near], place[near]
+                out["i"].append(names[at + row])
+                out["j"].append(keys[place])
+                out["d"].append(d[row, place])
         return pd.DataFrame({c: np.concatenate(v) if v else v for c, v in out.items()})
 
     kind = points.schema["region"].dataType.simpleString()

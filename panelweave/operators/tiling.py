@@ -16,8 +16,8 @@ from panelweave.session import wide_partitions
 TILE_ROWS = 256
 
 
-def tiles_for(rows: int) -> int:
-    return max(1, -(-rows // TILE_ROWS))
+def tiles_for(rows: int, tile_rows: int = TILE_ROWS) -> int:
+    return max(1, -(-rows // tile_rows))
 
 
 def tile_sides(
