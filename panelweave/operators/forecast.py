@@ -28,6 +28,8 @@ NU_CHOICES = 9
 NU_TOLERANCE = 1e-3
 #: Passes over all rows after which a fit that has not settled is an error.
 PASSES = 100
+#: Lengths of a step that are tried at once.
+HALVINGS = 8
 PART_SAMPLES = 16
 
 
@@ -138,19 +140,16 @@ def _residual(names: Sequence[str], intercept: float, beta: np.ndarray) -> str:
 def _absolute_fit(rows, names, centre, products, intercept, beta, n):
     """Location that minimises Σ|r|, and its mean |r|, over all rows from the least-squares start.
 
-    Each pass sums the signs of the residuals against the regressors and counts residuals near
+    A pass sums the signs of the residuals against the regressors and counts residuals near
     zero. Their density there gives the curvature of Σ|r|, so the step is a Newton step on the
-    cross products already known; a step that does not help is halved.
+    cross products already known. A second pass tries the step and its halves at once.
     """
     k = len(names)
     _, inverse, _ = minimum_norm(products[:k, :k], products[:k, k])
-    best, found, step = math.inf, np.array([intercept, *beta]), np.zeros(k + 1)
+    found, width = np.array([intercept, *beta]), math.sqrt(max(products[k, k], 0.0) / n) * 0.2 or 1e-6
     for _ in range(PASSES):
-        trial = found + step
-        residual = _residual(names, trial[0], trial[1:])
-        width = (best if best < math.inf else math.sqrt(max(products[k, k], 0.0) / n)) * 0.2 or 1e-6
         row = (
-            rows.selectExpr(*(f"`{c}`" for c in names), f"{residual} AS _r")
+            rows.selectExpr(*(f"`{c}`" for c in names), f"{_residual(names, found[0], found[1:])} AS _r")
             .agg(
                 F.expr("avg(abs(_r)) AS reached"),
                 F.expr(f"count_if(abs(_r) < {number(width)}) AS near"),
@@ -159,19 +158,17 @@ def _absolute_fit(rows, names, centre, products, intercept, beta, n):
             )
             .first()
         )
-        if row["reached"] >= best:
-            if np.abs(step).max() < 1e-7:
-                return float(found[0]), found[1:], best or 1e-6
-            step = step / 2
-            continue
-        gained = best - row["reached"]
-        best, found = row["reached"], trial
-        if gained < 1e-7 * best:
-            return float(found[0]), found[1:], best or 1e-6
+        best = row["reached"]
         density = max(row["near"], 1) / (2 * width * n)
         slopes = inverse @ np.array([row[f"g{j}"] for j in range(k)]) / (2 * density)
-        level = row["g"] / n / (2 * density)
-        step = np.array([level - slopes @ centre[:k], *slopes])
+        step = np.array([row["g"] / n / (2 * density) - slopes @ centre[:k], *slopes])
+        tried = [found + step / 2**h for h in range(HALVINGS)]
+        errors = rows.agg(*(F.expr(f"avg(abs({_residual(names, t[0], t[1:])})) AS t{h}") for h, t in enumerate(tried))).first()
+        at = int(np.argmin(errors))
+        if best - errors[at] < 1e-7 * best:
+            return float(found[0]), found[1:], best or 1e-6
+        # the better the fit, the closer to zero the density is taken
+        found, width = tried[at], max(errors[at] * 0.2 / 2**min(at, 4), 1e-9)
     raise ValueError(f"the Laplace fit did not converge in {PASSES} passes")
 
 
@@ -179,29 +176,28 @@ def _student_fit(rows, names, centre, intercept, beta, spread, n):
     """Location, spread and degrees of freedom of the highest likelihood, over all rows.
 
     Parameter-expanded EM (the weighted squares are divided by the sum of weights, which converges much faster
-    than dividing by n). After each step the degrees of freedom move to the best of a few values around
-    the present one, all judged in one aggregate; the span of these values narrows as they settle.
+    than dividing by n). In the same pass the likelihood is taken at a few degrees of freedom around the
+    present one, which move to the best; their span narrows while the best lies inside.
     """
     start, width, nu, span = np.array([intercept, *beta]), spread or 1e-6, 8.0, 4.0
     for _ in range(PASSES):
-        residual = _residual(names, start[0], start[1:])
-        weight = f"{number(nu + 1)} / ({number(nu)} + pow({residual} / {number(width)}, 2D))"
-        total_weight, means, products = summed_products(rows, [*names, "x"], centre, weight)
+        squared = f"pow({_residual(names, start[0], start[1:])} / {number(width)}, 2D)"
+        choices = np.clip(nu * span ** np.linspace(-1, 1, NU_CHOICES), *NU_RANGE)
+        logs = [f"avg(ln(1D + {squared} / {number(g)}))" for g in choices]
+        weight = f"{number(nu + 1)} / ({number(nu)} + {squared})"
+        total_weight, means, products, logs = summed_products(rows, [*names, "x"], centre, weight, logs)
         beta, intercept, sse = _solution(means, products)
         new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / total_weight) or 1e-6
-        choices = np.clip(nu * span ** np.linspace(-1, 1, NU_CHOICES), *NU_RANGE)
-        squared = f"pow({_residual(names, new[0], new[1:])} / {number(new_width)}, 2D)"
-        logs = rows.agg(*(F.expr(f"avg(ln(1D + {squared} / {number(g)})) AS l{k}") for k, g in enumerate(choices))).first()
         losses = [
-            math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * logs[f"l{k}"] for k, g in enumerate(choices)
+            math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * log for g, log in zip(choices, logs)
         ]
         at = int(np.argmin(losses))
+        inside = 0 < at < NU_CHOICES - 1 or choices[at] in NU_RANGE
         moved = max(np.abs(new - start).max(), abs(new_width - width), abs(math.log(choices[at] / nu)))
         start, width, nu = new, new_width, float(choices[at])
-        if 0 < at < NU_CHOICES - 1 or choices[at] in NU_RANGE:
-            span = max(1.0 + NU_TOLERANCE, span**0.5)
-        if moved < NU_TOLERANCE and span <= 1.0 + NU_TOLERANCE:
+        if inside and moved < NU_TOLERANCE and span <= 1.0 + NU_TOLERANCE:
             return float(start[0]), start[1:], width, nu
+        span = max(1.0 + NU_TOLERANCE, span**0.4) if inside else min(4.0, span**1.5)
     raise ValueError(f"the Student-t fit did not converge in {PASSES} passes")
 
 

@@ -71,9 +71,14 @@ def cross_products(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[int, np.nd
 
 
 def summed_products(
-    rows: DataFrame, names: Sequence[str], centre: np.ndarray | None = None, weight: str | None = None
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """(sum of weights, means, centred products) of complete ``rows`` from sums around ``centre``.
+    rows: DataFrame,
+    names: Sequence[str],
+    centre: np.ndarray | None = None,
+    weight: str | None = None,
+    also: Sequence[str] = (),
+) -> tuple[float, np.ndarray, np.ndarray] | tuple[float, np.ndarray, np.ndarray, list[float]]:
+    """(sum of weights, means, centred products) of complete ``rows`` from sums around ``centre``; with ``also``,
+    further aggregates of the same pass as a fourth item.
 
     The expressions are SQL text: a pass has dozens of them, and one text each is much cheaper to
     hand over than a tree of calls.
@@ -86,15 +91,17 @@ def summed_products(
     sums += [f"sum({factor}{shifted[a]} * {shifted[b]}) AS s{a}_{b}" for a, b in pairs]
     if weight:
         rows = rows.selectExpr(*(f"`{c}`" for c in names), f"{weight} AS _w")
+    sums += [f"{e} AS e{k}" for k, e in enumerate(also)]
     row = rows.agg(F.expr("sum(_w) AS n" if weight else "count(1) AS n"), *map(F.expr, sums)).first()
     n = row["n"]
+    found = [row[f"e{k}"] for k in range(len(also))]
     if not n:
-        return 0, centre, np.zeros((len(names), len(names)))
+        return (0, centre, np.zeros((len(names), len(names))), *([found] if also else []))
     offset = np.array([row[f"m{k}"] / n for k in range(len(names))])
     products = np.zeros((len(names), len(names)))
     for a, b in pairs:
         products[a, b] = products[b, a] = row[f"s{a}_{b}"] - n * offset[a] * offset[b]
-    return n, centre + offset, products
+    return (n, centre + offset, products, *([found] if also else []))
 
 
 def minimum_norm(gram: np.ndarray, moment: np.ndarray, tolerance: float = 1e-11) -> tuple[np.ndarray, np.ndarray, int]:
