@@ -39,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """Where this application's staged tables are."""
+    return f"{shared_dir(spark).rstrip('/')}/panelweave/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all staged tables of this application. Call it when no frame of the library will be read
+    again: results that were not written elsewhere are lost, as they read staged tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def wide_partitions(spark: SparkSession) -> int:
     """As many partitions as the session has cores or shuffles into, whichever is more: for few
     rows that cause much work, which adaptive execution would put into one task by their size."""
@@ -52,6 +64,6 @@ def stage(df: DataFrame) -> DataFrame:
     (``checkpoint`` costs two unless cached) and keeps column pruning for the readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/panelweave/{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

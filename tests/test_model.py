@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from panelweave import ForecastEvaluator, ModelConfig, PooledForecaster, SpatialCausalForecaster
+from panelweave import session
 from panelweave.operators import forecast, panel as panels
 from panelweave.plans.catalogue import QUERIES
 from panelweave.sources.store import save_tables
@@ -71,6 +72,15 @@ def test_saving_over_a_loaded_model_and_broken_saves(spark, fitted, folder):
     assert same_rows(third.predict(df), model.predict(df))
 
 
+def test_staged_tables_can_be_cleared(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(session.staging_dir(spark))
+    staged = session.stage(spark.range(5))
+    assert staged.count() == 5 and staged.inputFiles()[0].split("/")[-3] == spark.sparkContext.applicationId
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert there.exists(path)
+    assert callable(session.clear)
+
+
 def test_calendar_storage(spark, fitted, folder):
     model, df = fitted
     calendar = panels.with_post(panels.calendar_of(df), "2020-02-01")
