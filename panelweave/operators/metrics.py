@@ -15,6 +15,15 @@ from panelweave.operators.lag import spatial_lags
 from panelweave.operators.ordered import over_neighbourhood
 
 QUANTILES = (0.1, 0.5, 0.9)
+
+# Thresholds and labels of the causal evaluation, and name patterns of the metric families.
+EFFECT, SPILLOVER = 0.1, 0.3
+SIGNIFICANT, NOT_SIGNIFICANT = "Significant", "Not significant"
+STRONG_CORRELATION, WEAK_CORRELATION = "Strong spatial correlation", "Weak spatial correlation"
+NEGATIVE_EFFECT, POSITIVE_EFFECT, WEAK_EFFECT = "Strong negative effect", "Strong positive effect", "Weak effect"
+STRONG_SPILLOVERS, WEAK_SPILLOVERS = "Strong spatial spillovers", "Weak spatial spillovers"
+COMPLEXITY = ((100, "High"), (50, "Medium"), (-1, "Low"))
+FORECAST_NAMES, CAUSAL_NAMES = "mse|mae|mape", "delta|rho|gamma|treatment|spatial"
 MSIS_ALPHA = 0.05
 
 
@@ -153,8 +162,8 @@ def causal_evaluation(params: DataFrame, truth: DataFrame | None = None) -> Data
     name, value = F.col("param"), F.col("value")
     metric = F.when(name == "delta", "treatment_significance").when(name == "rho", "spatial_significance")
     label = F.when(
-        name == "delta", F.when(F.abs(value) > 0.1, "Significant").otherwise("Not significant")
-    ).otherwise(F.when(F.abs(value) > 0.3, "Strong spatial correlation").otherwise("Weak spatial correlation"))
+        name == "delta", F.when(F.abs(value) > EFFECT, SIGNIFICANT).otherwise(NOT_SIGNIFICANT)
+    ).otherwise(F.when(F.abs(value) > SPILLOVER, STRONG_CORRELATION).otherwise(WEAK_CORRELATION))
     table = _labels("causal_evaluation", params, metric, label)
     if truth is None:
         return table
@@ -186,12 +195,12 @@ def interpretability(params: DataFrame, num_cells: int | None = None) -> DataFra
     metric = F.when(name == "delta", "treatment_interpretation").when(name == "rho", "spatial_interpretation")
     label = F.when(
         name == "delta",
-        F.when(value < -0.1, "Strong negative effect").when(value > 0.1, "Strong positive effect").otherwise("Weak effect"),
-    ).otherwise(F.when(F.abs(value) > 0.3, "Strong spatial spillovers").otherwise("Weak spatial spillovers"))
+        F.when(value < -EFFECT, NEGATIVE_EFFECT).when(value > EFFECT, POSITIVE_EFFECT).otherwise(WEAK_EFFECT),
+    ).otherwise(F.when(F.abs(value) > SPILLOVER, STRONG_SPILLOVERS).otherwise(WEAK_SPILLOVERS))
     table = _labels("interpretability", params, metric, label)
     if num_cells is None:
         return table
-    complexity = "High" if num_cells > 100 else "Medium" if num_cells > 50 else "Low"
+    complexity = next(word for least, word in COMPLEXITY if num_cells > least)
     row = params.sparkSession.range(1)
     return table.unionByName(_labels("interpretability", row, F.lit("model_complexity"), F.lit(complexity)))
 
@@ -287,5 +296,5 @@ def metric_family(table: DataFrame) -> DataFrame:
     name = F.lower("metric")
     return table.withColumn(
         "family",
-        F.when(name.rlike("mse|mae|mape"), "forecast").when(name.rlike("delta|rho|gamma|treatment|spatial"), "causal").otherwise("spatial"),
+        F.when(name.rlike(FORECAST_NAMES), "forecast").when(name.rlike(CAUSAL_NAMES), "causal").otherwise("spatial"),
     )

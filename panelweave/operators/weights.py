@@ -128,10 +128,10 @@ def spatial_weights(
     ``regions`` is the region dimension; for the first three it also holds the coordinates.
     """
     if method in ("binary", "distance", "knn") and coords is None:
-        raise ValueError(f"coordinates must be provided for {method!r}")
+        raise ValueError(f"{method!r} weights are made from places: name the coordinate columns")
     if method == "custom":
         if weights is None:
-            raise ValueError("weights must be provided for 'custom'")
+            raise ValueError("custom weights need their edge table")
         edges = custom_weights(weights)
         require_endpoints(edges, regions)
     elif method == "binary":
@@ -140,7 +140,7 @@ def spatial_weights(
         edges = distance_weights(regions, coords, threshold, **options)
     elif method == "knn":
         if k is None:
-            raise ValueError("k must be provided for 'knn'")
+            raise ValueError("nearest-neighbour weights need the number of neighbours k")
         edges = knn_weights(regions, coords, k)
     elif method == "contiguity":
         edges = contiguity_weights(regions, adjacency)
