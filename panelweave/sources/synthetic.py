@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from panelweave.functions.hashing import normal, uniform
 from panelweave.functions.scalars import total
 
+# Slope and season of the trend, spread of the regional draw.
+SLOPE, SEASON, REGION = 0.1, 10.0, 2.0
 # Covariate effects; a fifth covariate and later ones have none.
 EFFECTS = [0.5, -0.3, 0.2, 0.1]
 
@@ -46,8 +48,8 @@ def synthetic_values(
     """Values for given cells (region, t, step), with step = 0, 1, … along the calendar.
 
     The spill-over uses the previous mean over regions before clipping. That mean obeys
-    m[t] = b[t] + ρ·m[t−1] with b[t] the mean of the rest, so only one number per date is chained:
-    the dates are few, and the cells stay distributed.
+    m[t] = b[t] + ρ·m[t−1] with b[t] the mean of the rest, so only one number per date is chained,
+    on the driver: the dates are few, and the cells stay distributed. A missing step breaks the chain.
     """
 
     def draw(slot: str):
@@ -55,34 +57,16 @@ def synthetic_values(
 
     names = [f"c{k + 1}" for k in range(n_covariates)]
     step = F.col("step").cast("double")
-    trend = 0.1 * step + 10.0 * F.sin(2 * math.pi * step / seasonal_period)
+    trend = SLOPE * step + SEASON * F.sin(2 * math.pi * step / seasonal_period)
     effects = [F.lit(b) * F.col(c) for b, c in zip(EFFECTS, names)]
-    own = total([trend, 2.0 * draw("r"), noise_level * draw("e"), *effects])
+    own = total([trend, REGION * draw("r"), noise_level * draw("e"), *effects])
     base = cells.withColumns({c: draw(c) for c in names}).withColumn("_own", own)
-    chain = (
-        base.groupBy("step")
-        .agg(F.avg("_own").alias("b"))
-        .agg(F.array_sort(F.collect_list(F.struct("step", "b"))).alias("_all"))
-        .select(
-            F.aggregate(
-                "_all",
-                F.expr("CAST(array() AS array<struct<step:int,m:double>>)"),
-                lambda seen, now: F.concat(
-                    seen,
-                    F.array(
-                        F.struct(
-                            now["step"].alias("step"),
-                            (
-                                now["b"]
-                                + spatial_correlation * F.coalesce(F.try_element_at(seen, F.lit(-1))["m"], F.lit(0.0))
-                            ).alias("m"),
-                        )
-                    ),
-                ),
-            ).alias("_chain")
-        )
-        .select(F.inline("_chain"))
-        .select((F.col("step") + 1).alias("step"), "m")
-    )
+    means = base.groupBy("step").agg(F.avg("_own").alias("b")).orderBy("step").collect()
+    chain, before = [], (None, 0.0)
+    for row in means:
+        carried = before[1] if before[0] == row["step"] - 1 else 0.0
+        before = (row["step"], row["b"] + spatial_correlation * carried)
+        chain.append((before[0] + 1, before[1]))
+    chain = cells.sparkSession.createDataFrame(chain, f"step {cells.schema['step'].dataType.simpleString()}, m double")
     y = F.greatest(F.lit(0.0), F.col("_own") + spatial_correlation * F.coalesce("m", F.lit(0.0)))
     return base.join(chain, "step", "left").select("region", "t", "step", y.alias("y"), *names)
