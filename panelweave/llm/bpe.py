@@ -14,12 +14,13 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from panelweave.llm.common import map_texts
 
@@ -27,6 +28,8 @@ from panelweave.llm.common import map_texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
 REMEMBERED = 300_000
+#: New pairs that are settled before they join the sorted table, and pairs in it.
+LOT, MOST_PAIRS = 20_000, 1_000_000
 #: Bytes up to which a word is merged by scanning rather than with a queue.
 SHORT = 64
 
@@ -70,11 +73,12 @@ class BytePairs:
     def _forget_pairs(self) -> None:
         self.known = np.empty(0, dtype=np.int64)
         self.fits = np.empty(0, dtype=bool)
+        self.recent: dict[int, bool] = {}
 
     def _forget_words(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.int32)
-        self.ends = np.zeros(1, dtype=np.int64)
+        self.ends = np.zeros(1 << 12, dtype=np.int64)
 
     # --- one word ---
 
@@ -132,18 +136,32 @@ class BytePairs:
     # --- many words ---
 
     def _pairs_fit(self, pairs: np.ndarray) -> np.ndarray:
-        """For each neighbour pair (first * size + second), whether the two encode to themselves."""
-        wanted = np.unique(pairs)
-        new = wanted[~np.isin(wanted, self.known, assume_unique=True)]
-        if len(new):
-            if len(self.known) > 1_000_000:
-                self._forget_pairs()
-                new = wanted
-            fits = [self.merged(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in zip(*(x.tolist() for x in divmod(new, self.size)))]
-            known = np.concatenate([self.known, new])
+        """For each neighbour pair (first * size + second), whether the two encode to themselves.
+
+        Settled pairs are looked up in a sorted table; new ones are settled by merging and join it in lots.
+        """
+        wanted, which = np.unique(pairs, return_inverse=True)
+        fits = np.zeros(len(wanted), dtype=bool)
+        settled = np.zeros(len(wanted), dtype=bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
+            settled = self.known[at] == wanted
+            fits[settled] = self.fits[at[settled]]
+        for n in np.flatnonzero(~settled).tolist():
+            pair = int(wanted[n])
+            if pair not in self.recent:
+                a, b = divmod(pair, self.size)
+                self.recent[pair] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            fits[n] = self.recent[pair]
+        if len(self.recent) > LOT:
+            if len(self.known) > MOST_PAIRS:
+                self.known, self.fits = self.known[:0], self.fits[:0]
+            known = np.concatenate([self.known, np.fromiter(self.recent, np.int64, len(self.recent))])
             order = np.argsort(known)
-            self.known, self.fits = known[order], np.concatenate([self.fits, np.array(fits, dtype=bool)])[order]
-        return self.fits[np.searchsorted(self.known, pairs)]
+            self.known = known[order]
+            self.fits = np.concatenate([self.fits, np.fromiter(self.recent.values(), bool, len(self.recent))])[order]
+            self.recent = {}
+        return fits[which]
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word: proposals where they hold, exact merging elsewhere."""
@@ -181,13 +199,18 @@ class BytePairs:
             if w in self.special:
                 tokens[n] = [self.special[w]]
         flat = np.fromiter((t for f in tokens for t in f), np.int32)
-        base = int(self.ends[-1])
+        count = len(self.place)
+        base = int(self.ends[count])
         if base + len(flat) > len(self.flat):
             grown = np.empty(2 * (base + len(flat)), dtype=np.int32)
             grown[:base] = self.flat[:base]
             self.flat = grown
+        if count + len(new) >= len(self.ends):
+            grown = np.zeros(2 * (count + len(new)) + 1, dtype=np.int64)
+            grown[: count + 1] = self.ends[: count + 1]
+            self.ends = grown
         self.flat[base : base + len(flat)] = flat
-        self.ends = np.concatenate([self.ends, base + np.cumsum([len(f) for f in tokens])])
+        self.ends[count + 1 : count + 1 + len(new)] = base + np.cumsum([len(f) for f in tokens])
         for w in new:
             self.place[w] = len(self.place)
 
@@ -276,39 +299,31 @@ def decoded(docs: DataFrame, path: str, ids: str = "token_ids", name: str = "dec
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``encoded`` and ``decoded`` in one pass: ``keep`` columns, ``token_ids``, ``decoded``."""
     vocabulary = Vocabulary(docs.sparkSession, path)
+    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+    return map_texts(docs, text, docs.columns if keep is None else keep, fields, lambda: partial(_both_ways, vocabulary.load()))
+
+
+def _both_ways(pairs: BytePairs, texts: list) -> tuple[list[np.ndarray], list[str]]:
+    ids = pairs.encode(texts)
+    return ids, [pairs.decode(i.tolist()) for i in ids]
+
+
+def report(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, and the digests of the ids (little-endian, 32 bits each) and of the decoded text.
+
+    What ``round_trip`` yields is digested in the same worker, so ids and texts need not travel.
+    """
+    vocabulary = Vocabulary(docs.sparkSession, path)
 
     def start():
         pairs = vocabulary.load()
 
         def work(texts):
-            ids = pairs.encode(texts)
-            return ids, [pairs.decode(i.tolist()) for i in ids]
+            ids, decoded = _both_ways(pairs, texts)
+            digests = [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]
+            return list(map(len, ids)), digests, [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
 
         return work
 
-    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
-    return map_texts(docs, text, docs.columns if keep is None else keep, fields, start)
-
-
-def report(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids (little-endian, 32 bits each) and of the decoded text."""
-    made = round_trip(docs, path, keep=["doc_id"])
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("token_ids")
-            flat, starts = column.values.to_numpy(zero_copy_only=False).astype("<u4"), column.offsets.to_numpy()
-            texts = batch.column("decoded").to_pylist()
-            digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(starts).astype(np.int64)),
-                    pa.array(digests),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return made.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return map_texts(docs, "text", ["doc_id"], fields, start)
