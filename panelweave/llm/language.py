@@ -30,12 +30,14 @@ BUCKETS = 1 << BUCKET_BITS
 GRAMS = 4
 DIMENSIONS = 16
 #: Labelled rows in the fit, shared equally by the languages.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_200
 SHORT_WORDS = 6
 EPOCHS = 6
 RATE = 0.5
 #: Share of the kept-back rows, rightly predicted ones, that rejection may lose.
 LOSS = 0.001
+#: The bar is at most this far from chance to certainty.
+MARGIN = 0.05
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
 REMEMBERED = 150_000
@@ -141,7 +143,7 @@ def fit(rows: list[tuple[str, Sequence[int], Sequence[float]]], seed: int = 7) -
     p = model.probabilities(means)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     chance = 1 / len(labels)
-    model.bar = min(float(np.quantile(right, LOSS)) if len(right) else 0.0, chance + 0.2 * (1 - chance))
+    model.bar = min(float(np.quantile(right, LOSS)) if len(right) else 0.0, chance + MARGIN * (1 - chance))
     return model
 
 
