@@ -233,8 +233,8 @@ class BytePairs:
         return made
 
     def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token."""
-        if len(self.place) > REMEMBERED:
+        """Tokens of each pre-token. Texts come one by one here, so more words are worth remembering."""
+        if len(self.place) > 2 * REMEMBERED:
             self._forget_words()
         new = dict.fromkeys(w for w in words if w not in self.place)
         if new:
