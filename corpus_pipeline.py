@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Rejected languages go, later repeats of runs of lines are cut, one document of each near-duplicate group
+Rejected languages go, later repeats of runs of lines and of passages are cut, one document of each near-duplicate group
 stays, benchmark passages are cut out, and the rest is encoded and decoded.
 """
 
@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of three or more lines."""
+    """Texts without later repeats of three or more lines, or of fewer lines with fifty or more words."""
     return lines.deduplicated(docs)
 
 

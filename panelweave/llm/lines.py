@@ -4,11 +4,12 @@ Documents are ordered by key; a *window* is ``run`` consecutive lines of one doc
 lies in a window whose lines also start at an earlier place: in a document with a smaller key, or
 higher up in the same one. Windows are judged on the input, so all lines of a later repeated run of
 ``run`` lines or more go. (Where a run overlaps its own repeat, as one line written many times does, the
-overlap goes too.)
+overlap goes too.) With ``words``, a window of fewer lines counts as well if it has that many words: a passage
+written as one line or two is deleted where it stands later.
 
 Winnowing: a fingerprint is the hash of ``gram`` lines; in every window the smallest one is selected (the
 last among equals), so two places with the same window select the same fingerprint at the same offset.
-Only fingerprints are joined. Around the places of a repeated one the match is extended up and down: every window that
+A window of fewer lines is a fingerprint by itself. Only fingerprints are joined. Around the places of a repeated one the match is extended up and down: every window that
 contains it is compared by a 128-bit digest of its lines with the earliest place of that window,
 and windows that follow each other make a run of any length.
 """
@@ -24,6 +25,10 @@ from panelweave.llm.common import col, fresh, pieces, staged, with_length
 
 RUN = 3
 GRAM = 2
+#: Words (runs of non-space characters) that make fewer lines than a run a passage.
+PASSAGE_WORDS = 50
+
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _line_hashes(text: Column) -> Column:
@@ -46,7 +51,37 @@ def _selected(grams: Column, width: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - width + 1), place))
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM) -> DataFrame:
+def _code(at: Column, size: int | Column, run: int) -> Column:
+    """A window's place and size in one number: sets of numbers are hashed, sets of structs compared pair by pair."""
+    return at.cast("bigint") * (run + 1) + size
+
+
+def _fingerprints(hashes: Column, grams: Column, counts: Column, run: int, gram: int, words: int | None) -> Column:
+    """(code, fingerprint): the selected ones of windows of ``run`` lines, and each passage of fewer lines.
+
+    ``hashes`` and ``grams`` must be columns: an expression would be evaluated anew for every entry.
+    """
+
+    def listed(size: int, places: Column, fingerprint) -> Column:
+        found = F.transform(places, lambda p: F.struct(_code(p, size, run).alias("code"), fingerprint(p).alias("fingerprint")))
+        return F.when(F.size(hashes) >= size, found).otherwise(F.array().cast("array<struct<code:bigint,fingerprint:bigint>>"))
+
+    def passages(size: int) -> Column:
+        def long_enough(p: Column) -> Column:
+            window = F.slice(counts, p + 1, size)
+            long = F.aggregate(window, F.lit(0), lambda a, n: a + n) >= words
+            # lines that are passages one by one need no window of several
+            return long if size == 1 else long & F.exists(window, lambda n: n < words)
+
+        return F.filter(F.sequence(F.lit(0), F.size(hashes) - size), long_enough)
+
+    made = [listed(run, _selected(grams, run - gram + 1), lambda p: F.element_at(grams, p + 1))]
+    for size in range(1, run) if words else ():
+        made.append(listed(size, passages(size), lambda p, size=size: F.xxhash64(F.slice(hashes, p + 1, size), F.lit(size))))
+    return F.concat(*made)
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """(key, version, lines): positions (from 0, sorted) of the lines to delete, for documents that have any.
 
     ``version`` is the text's digest: rows with equal key and text are one document and lose the same
@@ -54,39 +89,49 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", run
     """
     if not 1 <= gram <= run:
         raise ValueError("a fingerprint must not be longer than the run")
+    if words is not None and words < 1:
+        raise ValueError("a passage has a word at least")
     lines = F.split(F.col("text"), "\n", -1)
     rows = docs.select(col(key).alias("key"), col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    long = rows.select("key", F.md5("text").alias("version"), lines.alias("lines")).where(F.size("lines") >= run)
+    enough = F.size("lines") >= run
+    if words:
+        enough = enough | (F.regexp_count("text", F.lit(_WORD)) >= words)
+    counts = F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORD))) if words else F.lit(None).cast("array<int>")
+    long = rows.select("key", F.md5("text").alias("version"), "text", lines.alias("lines")).where(enough)
     # one 128-bit digest per line stands for the line from here on
-    kept = staged(long.select("key", "version", F.transform("lines", lambda x: F.unhex(F.md5(x))).alias("lines")))
-    grams = kept.select("key", "version", _grams(F.transform("lines", lambda x: F.xxhash64(x)), gram).alias("grams"))
-    places = _selected(F.col("grams"), run - gram + 1)
-    picked = grams.select("key", "version", "grams", F.explode(places).alias("at")).select(
-        "key", "version", "at", F.element_at("grams", F.col("at") + 1).alias("fingerprint")
-    )
+    kept = staged(long.select("key", "version", F.transform("lines", lambda x: F.unhex(F.md5(x))).alias("lines"), counts.alias("counts")))
+    hashes = kept.select("key", "version", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "counts")
+    grams = hashes.select("*", F.when(F.size("hashes") >= gram, _grams(F.col("hashes"), gram)).alias("grams"))
+    picked = grams.select("key", "version", F.inline(_fingerprints(F.col("hashes"), F.col("grams"), F.col("counts"), run, gram, words)))
     often = picked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    hits = picked.join(often, "fingerprint", "left_semi").groupBy("key", "version").agg(F.collect_set("at").alias("hits"))
+    hits = picked.join(often, "fingerprint", "left_semi").groupBy("key", "version").agg(F.collect_set("code").alias("hits"))
+    step = F.lit(run + 1)
+
     # windows that contain a hit: the match is extended both ways from there
-    near = F.array_distinct(
-        F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - (run - gram), F.lit(0)), F.least(p, F.size("lines") - run))))
-    )
+    def around(hit: Column) -> Column:
+        start = F.greatest(hit - (run - gram) * step, F.lit(run).cast("bigint"))
+        return F.when(hit % step == run, F.sequence(start, F.least(hit, _code(F.size("lines") - run, run, run)), step.cast("bigint"))).otherwise(F.array(hit))
+
+    near = F.array_distinct(F.flatten(F.transform("hits", around)))
+    size, at = (F.col("code") % step).cast("int"), F.floor(F.col("code") / step).cast("int")
     windows = staged(
         kept.join(hits, ["key", "version"])
-        .select("key", "version", "lines", F.explode(near).alias("at"))
-        .select(F.md5(F.array_join(F.transform(F.slice("lines", F.col("at") + 1, run), F.hex), ",")).alias("window"), "key", "version", "at")
+        .select("key", "version", "lines", F.explode(near).alias("code"))
+        .select("key", "version", "lines", size.alias("size"), at.alias("at"))
+        .select(F.md5(F.array_join(F.transform(F.slice("lines", F.col("at") + 1, F.col("size")), F.hex), ",")).alias("window"), "key", "version", "size", "at")
         .distinct()
     )
     first = windows.groupBy("window").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = windows.join(first, "window").where(F.struct("key", "at") > F.col("first"))
-    gone = later.groupBy("key", "version").agg(F.collect_set("at").alias("starts"))
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1)))
+    gone = later.groupBy("key", "version").agg(F.collect_list(F.struct("at", "size")).alias("found"))
+    covered = F.flatten(F.transform("found", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))
     return gone.select("key", "version", F.array_sort(F.array_distinct(covered)).alias("lines"))
 
 
-def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM, name: str = "gone") -> DataFrame:
+def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM, name: str = "gone", words: int | None = None) -> DataFrame:
     """``docs`` with the positions of the lines to delete in the column ``name``, null where there are none."""
     version, place = fresh(docs, "version", "place")
-    gone = staged(repeated_lines(docs, text, key, run, gram)).select(
+    gone = staged(repeated_lines(docs, text, key, run, gram, words)).select(
         F.col("key").alias(place), F.col("version").alias(version), F.col("lines").alias(name)
     )
     left = docs.withColumn(version, F.md5(col(text)))
@@ -96,8 +141,10 @@ def marked(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int =
     )
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the later repeated runs cut from the text, same columns; what is left is joined by line breaks.
+def deduplicated(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, gram: int = GRAM, words: int | None = PASSAGE_WORDS
+) -> DataFrame:
+    """``docs`` with the later repeated runs and passages cut from the text, same columns; what is left is joined by line breaks.
 
     A document of which no line is left keeps an empty text. ``n_chars`` follows the text.
     """
@@ -112,7 +159,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", run:
                 ]
                 yield part.select(columns).set_column(columns.index(text), text, pa.array(texts, part.column(text).type))
 
-    return with_length(marked(docs, text, key, run, gram, gone).mapInArrow(cut, docs.schema), text).select(*(col(c) for c in columns))
+    return with_length(marked(docs, text, key, run, gram, gone, words).mapInArrow(cut, docs.schema), text).select(*(col(c) for c in columns))
 
 
 def without_lines(text: str, gone: list[int]) -> str:
@@ -121,7 +168,7 @@ def without_lines(text: str, gone: list[int]) -> str:
 
 
 def report(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; null for a null text)."""
+    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; null for a null text), by runs of lines only."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")
     found = marked(docs.select("doc_id", "text"), run=run, gram=gram)
 

@@ -81,3 +81,33 @@ def test_winnowing_selects_in_every_window(spark):
         for i in range(len(grams) - width + 1):
             window = grams[i : i + width]
             assert i + max(j for j in range(width) if window[j] == min(window)) in chosen
+
+
+def test_passages_of_few_lines(spark):
+    rng = random.Random(5)
+    passages = [" ".join(f"p{n} w{rng.randrange(99)}" for _ in range(k)) for n, k in enumerate((25, 30, 13, 24, 24))]
+    tabs = "\t\x0b".join(f"t{k}" for k in range(50))
+    rows = [(1, passages[0]), (2, "own\n" + passages[0]), (3, passages[0] + " x"), (4, f"{passages[2]}\n{passages[3]}"), (5, f"a\n{passages[2]}\n{passages[3]}\nb")]
+    rows += [(6, f"{passages[4]}\nc"), (7, f"{passages[4]}\nd"), (8, f"{passages[1]}\n{passages[1]}"), (9, tabs), (10, f"{tabs}\ne"), (11, "short\nline"), (12, "short\nline")]
+    rows += [(13, f"{passages[1]}\nshort\n{passages[0]}"), (None, passages[0]), (14, None), (15, ""), (2, "own\n" + passages[0]), (16, " " * 300), (17, " " * 300)]
+
+    def left(words, run=3):
+        places = {}
+        for n, (doc, text) in enumerate(rows):
+            ls = [] if doc is None or text is None else text.split("\n")
+            for size in range(1, run + 1):
+                for i in range(len(ls) - size + 1):
+                    window = tuple(ls[i : i + size])
+                    if size == run or sum(len(x.encode().split()) for x in window) >= words:
+                        places.setdefault(window, []).append((doc, i, n))
+        gone = {(n, i + k) for w, at in places.items() for d, i, n in at if (d, i) > min(at)[:2] for k in range(len(w))}
+        return sorted(((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (n, i) not in gone)) for n, (d, t) in enumerate(rows)), key=repr)
+
+    found = sorted(((r["doc_id"], r["text"]) for r in lines.deduplicated(docs(spark, rows)).collect()), key=repr)
+    assert found == left(50)
+    assert {(2, "own"), (5, "a\nb"), (7, f"{passages[4]}\nd"), (8, passages[1]), (10, "e"), (12, "short\nline"), (13, "short")} <= set(found)
+    for words, run, gram in ((3, 3, 2), (40, 5, 2), (50, 1, 1)):
+        found = sorted(((r["doc_id"], r["text"]) for r in lines.deduplicated(docs(spark, rows), run=run, gram=gram, words=words).collect()), key=repr)
+        assert found == left(words, run)
+    with pytest.raises(ValueError):
+        lines.repeated_lines(docs(spark, []), words=0)
