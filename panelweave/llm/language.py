@@ -7,8 +7,9 @@ twice, by its whole text and by a few words of it, so that short texts are in th
 and softmax input are linear, a fitted model is one number per bucket and language, and a text's
 scores are sums over its words.
 
-Rows kept back from the fit give the temperature that calibrates the probabilities and the bar under
-which a prediction is rejected.
+Rows kept back from the fit give the temperature that calibrates the probabilities and, by text length, two
+bars of rejection: a prediction is rejected below a probability, a text above a share of subwords whose
+bucket the fit never met.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ SAMPLE_ROWS = 1_200
 SHORT_WORDS = 6
 EPOCHS = 6
 RATE = 0.5
-#: Share of the kept-back rows, rightly predicted ones, that rejection may lose.
+#: Share of rightly predicted texts of a length that each bar may lose.
 LOSS = 0.001
-#: The bar is at most this far from chance to certainty.
-MARGIN = 0.05
+#: Most words of the texts of each length but the last; bars are set for each.
+LENGTHS = (SHORT_WORDS, 48)
+#: Kept-back texts that a length needs for bars of its own; with fewer only texts half as new as random ones are rejected.
+FEWEST = 50
+#: Least bar of new subwords, as a share of what a text has whose buckets are random.
+LEAST_NEW = 0.25
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
 REMEMBERED = 150_000
@@ -90,7 +95,10 @@ class LanguageModel:
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    bar: float = 0.0
+    #: One per length: least probability, largest share of new subwords.
+    bars: tuple[float, ...] = (0.0,) * (len(LENGTHS) + 1)
+    new_bars: tuple[float, ...] = (1.0,) * (len(LENGTHS) + 1)
+    met: np.ndarray | None = None
 
     def probabilities(self, means: np.ndarray) -> np.ndarray:
         z = (means + self.bias) / self.temperature
@@ -98,14 +106,39 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, Sequence[int], Sequence[float]]], seed: int = 7) -> LanguageModel | None:
-    """The model of (label, buckets, shares) rows; None without a usable row. Every fifth row is kept back."""
+def length_of(words: int) -> int:
+    return int(np.searchsorted(LENGTHS, words))
+
+
+def tail(values: np.ndarray, loss: float = LOSS) -> float:
+    """The value below which a share ``loss`` lies, by a Pareto tail of the distances under the median (Hill's estimate
+    from the lowest tenth, ten values at least).
+
+    The lowest of a few hundred values would lose more than that, and so would a light tail.
+    """
+    if len(values) < 2:
+        return -np.inf
+    middle = np.median(values)
+    far = np.sort(middle - values)[::-1]
+    count = min(len(far) // 2, max(10, len(far) // 10))
+    if far[count] <= 0:
+        return float(values.min())
+    power = np.log(far[:count] / far[count]).mean()
+    return float(middle - far[count] * max(1.0, count / (len(far) * loss)) ** power)
+
+
+def fit(rows: list[tuple], seed: int = 7) -> LanguageModel | None:
+    """The model of (label, buckets, shares) rows; None without a usable row.
+
+    Rows come as (whole, short) pairs of a document; those of every fifth document are kept back. A row may have
+    further entries: its words, and (words, buckets, shares) of a piece of middle length that is looked at if the row is kept back.
+    """
     rows = [r for r in rows if len(r[1])]
     labels = sorted({r[0] for r in rows})
     if not labels:
         return None
     code = {label: n for n, label in enumerate(labels)}
-    data = [(code[label], np.asarray(buckets, dtype=np.int32), np.asarray(shares, dtype=np.float32)) for label, buckets, shares in rows]
+    data = [(code[label], np.asarray(buckets, dtype=np.int32), np.asarray(shares, dtype=np.float32)) for label, buckets, shares, *_ in rows]
     # rows come as (whole, short) pairs of a document: both sides of a pair stay together
     train = [x for n, x in enumerate(data) if n // 2 % 5 != 4]
     back = [x for n, x in enumerate(data) if n // 2 % 5 == 4] or train
@@ -140,10 +173,21 @@ def fit(rows: list[tuple[str, Sequence[int], Sequence[float]]], seed: int = 7) -
         return float(-np.log(np.maximum(model.probabilities(means)[np.arange(len(truth)), truth], 1e-12)).mean())
 
     model.temperature = min(np.geomspace(0.1, 10, 81).tolist(), key=loss)
-    p = model.probabilities(means)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    chance = 1 / len(labels)
-    model.bar = min(float(np.quantile(right, LOSS)) if len(right) else 0.0, chance + MARGIN * (1 - chance))
+    model.met = met
+    chosen = [r for n, r in enumerate(rows) if n // 2 % 5 == 4] or rows
+    judged = [(code[r[0]], *r[3:4], r[1], r[2]) for r in chosen if len(r) > 3]
+    judged += [(code[r[0]], *r[4]) for r in chosen if len(r) > 4 and r[4] and len(r[4][1])]
+    if judged:
+        p = model.probabilities(np.stack([np.asarray(shares) @ model.scores[np.asarray(buckets)] for _, _, buckets, shares in judged]))
+        right = p.argmax(axis=1) == [y for y, *_ in judged]
+        best = np.clip(p.max(axis=1), 1e-12, 1 - 1e-12)
+        odds = np.log(best / (1 - best))
+        new = np.array([np.asarray(shares)[~met[np.asarray(buckets)]].sum() for _, _, buckets, shares in judged])
+        length = np.array([length_of(n) for _, n, _, _ in judged])
+        least = LEAST_NEW * (1 - met.mean())
+        of = [right & (length == n) for n in range(len(LENGTHS) + 1)]
+        model.bars = tuple(float(1 / (1 + np.exp(-tail(odds[x])))) - 1e-6 if x.sum() >= FEWEST else 0.0 for x in of)
+        model.new_bars = tuple(float(max(-tail(-new[x]), least)) if x.sum() >= FEWEST else float(1 - met.mean()) / 2 for x in of)
     return model
 
 
@@ -168,22 +212,29 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lab
 
     def start():
         def work(texts):
-            made: list[list] = [[], [], [], []]
+            made: list[list] = [[] for _ in range(8)]
             for text in texts:
                 words = words_of(text)
                 at = zlib.crc32(text.encode()) % max(1, len(words) - SHORT_WORDS)
                 size = 1 + zlib.crc32(text[:99].encode()) % SHORT_WORDS
-                for n, found in enumerate((features(words), features(words[at : at + size]))):
+                middle = words[at : at + (SHORT_WORDS + 1) * (1 << zlib.crc32(text[:99].encode()) // SHORT_WORDS % 3)]
+                for n, found in enumerate((features(words), features(words[at : at + size]), features(middle))):
                     made[2 * n].append(found[0])
                     made[2 * n + 1].append(found[1])
+                made[6].append(len(words))
+                made[7].append(min(size, len(words)))
             return made
 
         return work
 
-    fields = [StructField(n, ArrayType(t)) for n, t in (("b", IntegerType()), ("s", FloatType()), ("b2", IntegerType()), ("s2", FloatType()))]
+    fields = [StructField(n, ArrayType(t)) for n, t in (("b", IntegerType()), ("s", FloatType()), ("b2", IntegerType()), ("s2", FloatType()), ("b3", IntegerType()), ("s3", FloatType()))]
+    fields += [StructField(n, IntegerType()) for n in ("n", "n2")]
     made = map_texts(picked, "text", ["label", "draw", "pick"], fields, start)
     rows = made.orderBy("draw", "pick", "label", F.xxhash64("b")).limit(2 * sample_rows).toPandas()
-    return fit([x for r in rows.itertuples() for x in ((r.label, r.b, r.s), (r.label, r.b2, r.s2))])
+    middle = SHORT_WORDS + 1
+    return fit(
+        [x for r in rows.itertuples() for x in ((r.label, r.b, r.s, r.n, (middle, r.b3, r.s3) if r.n >= middle else None), (r.label, r.b2, r.s2, r.n2))]
+    )
 
 
 class Scorer:
@@ -195,7 +246,7 @@ class Scorer:
 
     def _forget(self):
         self.place: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.labels) + 1 if self.model else 1))
+        self.sums = np.zeros((1024, len(self.model.labels) + 2 if self.model else 2))
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 10_000):
@@ -205,7 +256,9 @@ class Scorer:
             base = len(self.place)
             if base + len(some) > len(self.sums):
                 self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(some)), self.sums.shape[1]))])
-            self.sums[base : base + len(some), :-1] = np.add.reduceat(self.model.scores[buckets], starts, axis=0)
+            self.sums[base : base + len(some), :-2] = np.add.reduceat(self.model.scores[buckets], starts, axis=0)
+            if self.model.met is not None:
+                self.sums[base : base + len(some), -2] = np.add.reduceat(~self.model.met[buckets], starts, dtype=float)
             self.sums[base : base + len(some), -1] = sizes
             self.place.update(zip(some, range(base, base + len(some))))
 
@@ -223,11 +276,12 @@ class Scorer:
                 rejected.append(True)
                 continue
             total = self.sums[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            p = self.model.probabilities(total[None, :-1] / total[-1])[0]
+            p = self.model.probabilities(total[None, :-2] / total[-1])[0]
             best = int(p.argmax())
             found.append(self.model.labels[best])
             scores.append(float(p[best]))
-            rejected.append(float(p[best]) < self.model.bar)
+            n = length_of(len(words))
+            rejected.append(bool(p[best] < self.model.bars[n] or total[-2] / total[-1] > self.model.new_bars[n]))
         return found, scores, rejected
 
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelweave.llm import language
@@ -68,3 +69,24 @@ def test_subwords_stay_inside_words():
     alone = [language.subwords([w])[0].tolist() for w in ("ab", "c")]
     assert sizes.tolist() == [4 + 3 + 2 + 1, 3 + 2 + 1]
     assert buckets.tolist() == alone[0] + alone[1]
+
+
+def test_unseen_scripts_and_junk_are_rejected(spark):
+    rng = random.Random(9)
+
+    def made(letters, n):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(n))
+
+    odd = {(script, n): made(letters, n) for script, letters in (("greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("han", "漢字仮名交文日本語書"), ("junk", "qxzvkwjy")) for n in (3, 20, 200)}
+    given = rows(400)
+    df = docs(spark, given + [(2000 + k, text) for k, text in enumerate(odd.values())])
+    ids = {r["doc_id"] for r in language.accepted(df).collect()}
+    assert ids == {g[0] for g in given}
+
+
+def test_tail_lies_below_the_lowest_of_few_values():
+    values = np.random.default_rng(1).exponential(size=(200, 300))
+    # a share exp(x) of the negated values lies below x
+    assert 0 < np.mean([np.exp(language.tail(-v)) for v in values]) <= language.LOSS
+    assert np.mean([np.exp((-v).min()) for v in values]) > language.LOSS
+    assert language.tail(np.array([0.0] * 50)) == 0 and language.tail(np.array([1.0])) == -np.inf
