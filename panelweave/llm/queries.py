@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, chat, decontamination, forest, language, lines, secret_scan, simhash, substrings, token_counts
+from panelweave.llm import bpe, chat, decontamination, forest, language, lines, merkle, periods, quality, secret_scan, simhash, substrings, token_counts
 from panelweave.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,12 +62,42 @@ def op10_language(spark, d):
     return language.report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op7_secret_scan, op8_token_counts, op9_decontamination, op10_language)}
+def op11_periodic_runs(spark, d):
+    return periods.report(periods.planted(table(spark, d, "documents")))
+
+
+def op12_merkle_manifest(spark, d):
+    return merkle.report(table(spark, d, "documents"))
+
+
+def op13_quality(spark, d):
+    return quality.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest, op2_chat_format, op3_simhash, op4_substring_dedup, op5_byte_pairs, op6_line_dedup, op7_secret_scan, op8_token_counts,
+        op9_decontamination, op10_language, op11_periodic_runs, op12_merkle_manifest, op13_quality,
+    )
+}
 
 _WORDS_9 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _ESCAPED = "(length({0}) + length({0}) - length(translate({0}, '\\<[', '')))"
 
+#: CRC-32 of a number's decimal digits: the table of its bytes is made by the rule, digits are folded in one by one.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda c, s: xor(c >> 8, t[CAST((xor(c, s) & 255) + 1 AS BIGINT)])))"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
 ORACLE_SQL = {
     "op2_chat_format": rf"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -123,4 +153,44 @@ owners AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
   sha256(coalesce(o.names, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit h USING (doc_id) LEFT JOIN owners o USING (doc_id)""",
+    "op11_periodic_runs": rf"""
+WITH {_CRC_TABLE},
+given AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, {_CRC.format("doc_id")} AS h FROM documents, crc),
+sized AS (SELECT *, h // 10 AS g, len(ws) AS n FROM given),
+shaped AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM sized),
+docs AS (SELECT doc_id, n, list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) AS ws FROM shaped),
+placed AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM docs),
+equals AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equals),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS names FROM runs GROUP BY 1),
+best AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period
+  OR o.length * r.period = r.length * o.period AND (o.start < r.start OR o.start = r.start AND o.period < r.period))))
+SELECT doc_id, coalesce(l.n, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+  CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(l.names, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed l USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN n_chars IS NOT NULL AND {_CRC.format("doc_id")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents, crc),
+nodes(lang, level, n, pos, node) AS (SELECT lang, 0, n, pos, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, any_value((n + 1) // 2), pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2),
+subroots AS (SELECT lang, node, level AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, n, pos, node) AS (SELECT 0, n, pos, node FROM subroots
+  UNION ALL SELECT level + 1, any_value((n + 1) // 2), pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2),
+joined AS (SELECT l.doc_id, l.leaf, coalesce(l.other, l.leaf) AS first, l.pos, s.node AS subroot, s.height, s.pos AS place, (SELECT node FROM tops WHERE n = 1) AS root
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+steps AS (SELECT j.doc_id, n.level, (j.pos >> n.level) & 1 AS side, c.node AS other FROM leaves l JOIN joined j USING (doc_id)
+    JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.pos = j.pos >> n.level AND n.level < j.height
+    LEFT JOIN nodes c ON c.lang IS NOT DISTINCT FROM l.lang AND c.level = n.level AND c.pos = xor(n.pos, 1)
+  UNION ALL SELECT j.doc_id, j.height + t.level, (j.place >> t.level) & 1, c.node FROM joined j
+    JOIN tops t ON t.pos = j.place >> t.level AND t.n > 1 LEFT JOIN tops c ON c.level = t.level AND c.pos = xor(t.pos, 1)),
+paths AS (SELECT doc_id, coalesce(string_agg(other, '' ORDER BY level), '') AS siblings, list({{'side': side, 'other': coalesce(other, '')}} ORDER BY level) AS path FROM steps GROUP BY 1),
+ended AS (SELECT j.*, sha256(coalesce(p.siblings, '')) AS proof_sha256, list_reduce(list_prepend({{'side': 0::BIGINT, 'other': first}}, coalesce(p.path, [])),
+    lambda x, y: {{'side': 0::BIGINT, 'other': sha256(CASE WHEN y.side = 1 THEN y.other || x.other ELSE x.other || y.other END)}}).other AS folded_root
+  FROM joined j LEFT JOIN paths p USING (doc_id))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM ended""",
 }
