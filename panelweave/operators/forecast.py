@@ -224,6 +224,27 @@ def _part_samples(num_samples: int) -> Column:
     return F.sequence(first, F.least(first + PART_SAMPLES - 1, F.lit(num_samples)))
 
 
+def known_ahead(
+    ends: DataFrame, future: DataFrame, covariates: Sequence[str], gamma: Sequence[float], prediction_length: int, freq: str = "D"
+) -> DataFrame:
+    """(region, _drift): what the covariates add to each step, one array of ``prediction_length`` numbers per region.
+
+    ``ends`` has a region's last date as ``_last``. Rows of ``future`` on other dates or regions do not matter; a step without a
+    row, with a null covariate or with two rows raises when the array is read.
+    """
+    steps = ends.select("region", "_last", F.explode(F.sequence(F.lit(1), F.lit(prediction_length))).alias("_step"))
+    wanted = steps.select("region", "_step", advance(F.col("_last"), F.col("_step"), freq).cast(future.schema["t"].dataType).alias("t"))
+    given = future.select("region", "t", total([F.lit(float(g)) * F.col(c).cast("double") for c, g in zip(covariates, gamma)]).alias("_term"))
+    where = F.concat(F.lit("region "), F.col("region").cast("string"))
+    absent = F.raise_error(F.concat(where, F.lit(" has no covariates for "), F.col("t").cast("string")))
+    cells = wanted.join(given, ["region", "t"], "left").select(
+        "region", F.struct("_step", F.when(F.col("_term").isNotNull(), F.col("_term")).otherwise(absent).alias("v")).alias("_cell")
+    )
+    arrays = cells.groupBy("region").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
+    twice = F.raise_error(F.concat(where, F.lit(" has several rows of covariates for one date")))
+    return arrays.select("region", F.when(F.size("_cells") == prediction_length, F.col("_cells")["v"]).otherwise(twice).alias("_drift"))
+
+
 def sample_paths(
     df: DataFrame,
     model: Autoregression,
@@ -235,15 +256,19 @@ def sample_paths(
     scaling: bool = True,
     freq: str = "D",
     non_negative: bool = False,
+    future: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast rows (region, step, t, sample_id, value): every draw feeds the next step.
 
     Each region sends its last values once per part of ``PART_SAMPLES`` samples; these few rows
     are spread over all cores, because the draws cost far more than the rows. The paths then
     unfold inside one expression per (region, sample). Unobserved past values count as 0.
+
+    A model with covariates needs ``future``: rows (region, t, covariates) for every step ahead of each region; they travel
+    with the last values as one array, see ``known_ahead``.
     """
-    if model.covariates:
-        raise ValueError("future covariates are unknown; fit without covariates to draw paths")
+    if model.covariates and future is None:
+        raise ValueError(f"the model reads {', '.join(model.covariates)}: pass their future rows")
     depth = max(model.lags)
     recent = tail(df, ["region"], max(depth, context_length))
     cells = F.col("_cells")
@@ -260,7 +285,11 @@ def sample_paths(
         .agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).alias("v")))).alias("_cells"))
         .withColumn("scale", scale)
         .select("region", F.element_at("_cells", -1)["t"].alias("_last"), "scale", padded.alias("_past"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((num_samples - 1) // PART_SAMPLES))))
+    )
+    if model.covariates:
+        state = state.join(known_ahead(state.select("region", "_last"), future, model.covariates, model.gamma, prediction_length, freq), "region")
+    state = (
+        state.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((num_samples - 1) // PART_SAMPLES))))
         .repartition(wide_partitions(df.sparkSession), "region", "_part")
         .withColumn("sample_id", F.explode(_part_samples(num_samples)))
     )
@@ -269,7 +298,11 @@ def sample_paths(
         u = uniform(seed, "region", "sample_id", step, F.lit("u"))
         v = uniform(seed, "region", "sample_id", step, F.lit("v"))
         location = total(
-            [F.lit(model.intercept), *(F.lit(b) * F.element_at(path, -k) for k, b in zip(model.lags, model.phi))]
+            [
+                F.lit(model.intercept),
+                *(F.lit(b) * F.element_at(path, -k) for k, b in zip(model.lags, model.phi)),
+                *([F.element_at("_drift", step)] if model.covariates else []),
+            ]
         )
         return F.concat(path, F.array(model.head.sample(u, v, location, model.spread)))
 

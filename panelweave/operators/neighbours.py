@@ -1,8 +1,8 @@
 """Exact neighbour search: pairs within a distance, and the k nearest.
 
 Coordinates are either scalar columns (``coords=["x", "y"]``), searched with spatial cells and
-JVM expressions, or one array column (``coords="embedding"``), compared tile by tile with
-vectorised arithmetic. Results are (i, j, d) with i ≠ j.
+JVM expressions, or one array column (``coords="embedding"``), searched with pivots and
+vectorised arithmetic (``operators/pivots.py``), as are four and more axes. Results are (i, j, d) with i ≠ j.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from itertools import product as steps
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelweave.functions.scalars import total
+from panelweave.operators import pivots
 from panelweave.operators.tiling import product, tile_sides, tiles_for
 from panelweave.session import stage
 
 CELL_POINTS = 2_048
-#: Array coordinates of a tile: a vector is sent once per tile of the other side, so tiles are large.
-ARRAY_ROWS = 2_048
 ONE_CELL_POINTS = 512
 MAX_LEVEL = 50
 # absorbs rounding at the borders of boxes; it only adds candidates
@@ -58,7 +57,7 @@ def pairs_within(points: DataFrame, coords: Coords, threshold: float, cell_point
     piece by piece.
     """
     if isinstance(coords, str):
-        return _tile_pairs(points, coords, tiles_for(points.count(), ARRAY_ROWS), threshold=threshold)
+        return pivots.search(points, coords, threshold=threshold)
     if threshold < 0:
         return all_pairs(points, coords, 1).limit(0)
     width, axes = threshold if threshold > 0 else 1.0, range(min(3, len(coords)))
@@ -97,12 +96,10 @@ def nearest(points: DataFrame, coords: Coords, k: int) -> DataFrame:
     """The k nearest others of every point; equal distances are ordered by key."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    if isinstance(coords, str):
-        partial = _tile_pairs(points, coords, tiles_for(points.count(), ARRAY_ROWS), k=k)
-        return _closest(partial.withColumn("_d2", F.col("d")), k)
-    if len(coords) > 3:
-        pairs = all_pairs(points, coords)
-        return _closest(pairs.withColumn("_d2", F.col("d")), k)
+    if isinstance(coords, str) or len(coords) > 3:
+        vectors = points if isinstance(coords, str) else points.select("region", F.array(*(F.col(c).cast("double") for c in coords)).alias("_v"))
+        found = pivots.search(vectors, coords if isinstance(coords, str) else "_v", k)
+        return _closest(found.withColumn("_d2", F.col("d")), k)
     return _nearest_by_cells(points, coords, k)
 
 
@@ -322,11 +319,8 @@ def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
     return met.where((a["level"] == 0) | (F.sqrt(total(gaps)) <= F.col("reach") * SLACK)).select("from_leaf", "to_leaf")
 
 
-def _tile_pairs(
-    points: DataFrame, coord: str, tiles: int, k: int | None = None, threshold: float | None = None
-) -> DataFrame:
-    """Distances between array coordinates, tile against tile; optionally only those within
-    ``threshold``, or the k smallest of each point inside the tile."""
+def _tile_pairs(points: DataFrame, coord: str, tiles: int) -> DataFrame:
+    """Distances of all pairs of array coordinates, tile against tile."""
     import numpy as np
     import pandas as pd
 
@@ -337,23 +331,11 @@ def _tile_pairs(
     def compare(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         out = {"i": [], "j": [], "d": []}
         if len(own) and len(other):
-            other = other.sort_values("j")
             names, keys = own["i"].to_numpy(), other["j"].to_numpy()
             mine, values = np.stack(own["p"].to_numpy()), np.stack(other["q"].to_numpy())
             for at in range(0, len(mine), 32):
                 d = np.sqrt(((mine[at : at + 32, None, :] - values[None, :, :]) ** 2).sum(axis=2))
-                far = names[at : at + 32, None] == keys[None, :]
-                if threshold is not None:
-                    far |= d > threshold
-                if k is None:
-                    row, place = np.nonzero(~far)
-                else:
-                    # keys are in order, so a stable sort settles equal distances by key
-                    place = np.argsort(np.where(far, np.inf, d), axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(d)), place.shape[1])
-                    place = place.ravel()
-                    near = ~far[row, place]
-                    row, place = row[near], place[near]
+                row, place = np.nonzero(names[at : at + 32, None] != keys[None, :])
                 out["i"].append(names[at + row])
                 out["j"].append(keys[place])
                 out["d"].append(d[row, place])

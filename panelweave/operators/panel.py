@@ -231,27 +231,36 @@ def series_records(
     static_category: DataFrame | None = None,
     default_start: str | None = None,
     block_steps: int = BLOCK_STEPS,
+    future: DataFrame | None = None,
 ) -> DataFrame:
     """One record per series: start, target array, static category, covariates as K arrays.
 
     A series of a fine frequency gives one record per calendar block, so that no array grows
-    without bound. The default category is the rank of the region (0 first).
+    without bound. The default category is the rank of the region (0 first). Covariates known ahead are rows of ``future``
+    (region, t, covariates): those after the target's last date lengthen the covariate arrays, not the target.
     """
     keys = ["region"]
+    regions = regions_of(df)
+    if future is not None:
+        cells = df.select("region", "t", "y", *covariates, F.lit(True).alias("_own"))
+        last = df.groupBy("region").agg(F.max("t").alias("_last"))
+        later = future.join(last, "region").where(F.col("t") > F.col("_last")).select("region", "t", *covariates)
+        df = cells.unionByName(later.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     if not is_calendar(freq):
         df = df.withColumn("_block", block_of(F.col("t"), freq, block_steps))
         keys.append("_block")
     rows = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("t", "y", *covariates))).alias("_cells")
+        F.array_sort(F.collect_list(F.struct("t", "y", *covariates, *(["_own"] if future is not None else [])))).alias("_cells")
     )
     if static_category is None:
-        static_category = ordinal_regions(regions_of(df))
+        static_category = ordinal_regions(regions)
     cells = F.col("_cells")
+    own = cells if future is None else F.filter(cells, lambda c: c["_own"])
     start = cells[0]["t"] if default_start is None else F.lit(default_start).cast(df.schema["t"].dataType)
     return rows.join(static_category, "region").select(
         "region",
         start.alias("start"),
-        cells["y"].alias("target"),
+        own["y"].alias("target"),
         F.array("category").alias("feat_static_cat"),
         F.array(*(cells[c] for c in covariates)).cast("array<array<double>>").alias("feat_dynamic_real"),
     )

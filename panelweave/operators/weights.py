@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelweave.functions.scalars import close, ratio
 from panelweave.operators.neighbours import Coords, all_pairs, nearest, pairs_within
-from panelweave.operators.quantiles import exact_median
-from panelweave.session import stage
+from panelweave.operators.pair_ranks import largest_distance, median_distance
 
 
 def binary_weights(points: DataFrame, coords: Coords, threshold: float) -> DataFrame:
@@ -66,28 +65,19 @@ def kernel_weights(
 ) -> DataFrame:
     """Gaussian, exponential or linear kernel of the distance; not normalised.
 
-    The default bandwidth is the median distance over i < j (the maximum for the linear
-    kernel); a bandwidth of zero gives weight 1 to points in the same place. Only the linear kernel is zero far away, so with a bandwidth it visits near pairs
-    only; the other two give all N·(N−1) rows unless a ``cutoff`` is given: then, with a bandwidth, pairs
+    The default bandwidth is the median distance over i < j (the maximum for the linear kernel), found without a row per
+    pair; a bandwidth of zero gives weight 1 to points in the same place. Only the linear kernel is zero far away, so it visits pairs
+    within its bandwidth; the other two give all N·(N−1) rows unless a ``cutoff`` is given: pairs
     farther apart have no weight and are not visited. Many points need one.
     """
     if kernel not in ("gaussian", "exponential", "linear"):
         raise ValueError(f"unsupported kernel {kernel!r}")
-    if cutoff is not None and bandwidth is None:
-        raise ValueError("a cutoff needs a bandwidth")
-    reach = [x for x in (cutoff, bandwidth if kernel == "linear" else None) if x is not None]
-    if reach:
-        pairs = pairs_within(points, coords, min(reach))
-    elif bandwidth is None:
-        # read for the bandwidth and again for the weights
-        pairs = stage(all_pairs(points, coords))
-    else:
-        pairs = all_pairs(points, coords)
     if bandwidth is None:
-        once = pairs.where("i < j")
-        bandwidth = once.agg(F.max("d")).first()[0] if kernel == "linear" else exact_median(once, "d")
+        bandwidth = default_bandwidth(points, coords, kernel)
         if bandwidth is None:
-            return pairs.select("i", "j", F.lit(0.0).alias("w")).limit(0)
+            return all_pairs(points, coords, 1).select("i", "j", F.lit(0.0).alias("w")).limit(0)
+    reach = [x for x in (cutoff, bandwidth if kernel == "linear" else None) if x is not None]
+    pairs = pairs_within(points, coords, min(reach)) if reach else all_pairs(points, coords)
     d, h = F.col("d"), F.lit(float(bandwidth))
     if not bandwidth:
         # a point's own place is all that a kernel without width reaches
@@ -100,6 +90,11 @@ def kernel_weights(
     return pairs.select("i", "j", weight.alias("w")).where("w <> 0")
 
 
+def default_bandwidth(points: DataFrame, coords: Coords, kernel: str = "gaussian") -> float | None:
+    """Median distance over i < j, the maximum for the linear kernel; None for fewer than two points."""
+    return largest_distance(points, coords) if kernel == "linear" else median_distance(points, coords)
+
+
 def row_normalise(edges: DataFrame) -> DataFrame:
     """Each weight over the sum of its row; rows that sum to zero stay as they are.
 

@@ -267,6 +267,17 @@ def series_records(spark, d):
     )
 
 
+@query
+def series_records_ahead(spark, d):
+    """Records of the dates to learn from, with covariates over all dates."""
+    panel = stage(_user_filled(spark, d))
+    known, _ = panels.temporal_split(panel, 0.2)
+    records = panels.series_records(known, ["c1"], future=panel.select("region", "t", "c1"))
+    return records.select(
+        "region", packed("target"), F.concat_ws(",", F.transform(F.col("feat_dynamic_real")[0], lambda x: x.cast("bigint").cast("string"))).alias("feat_dynamic_real")
+    )
+
+
 # --- spatial weights ---------------------------------------------------------------------------
 
 
@@ -276,7 +287,7 @@ def _edges(edges: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def dist_pairs(spark, d):
-    return all_pairs(fx.supplier_points(spark, d), ["x", "y"]).select("i", "j", r("d"))
+    return all_pairs(fx.nation_points(spark, d), ["x", "y"]).select("i", "j", r("d"))
 
 
 @query
@@ -296,7 +307,7 @@ def w_distance_power(spark, d):
 
 @query
 def w_distance_full(spark, d):
-    return _edges(weights.distance_weights(fx.supplier_points(spark, d), ["x", "y"]))
+    return _edges(weights.distance_weights(fx.nation_points(spark, d), ["x", "y"]))
 
 
 @query
@@ -333,12 +344,21 @@ def w_contiguity(spark, d):
 
 @query
 def w_gaussian(spark, d):
-    return _edges(weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "gaussian"))
+    return _edges(weights.kernel_weights(fx.nation_points(spark, d), ["x", "y"], "gaussian"))
 
 
 @query
 def w_exponential(spark, d):
-    return _edges(weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "exponential"))
+    return _edges(weights.kernel_weights(fx.nation_points(spark, d), ["x", "y"], "exponential"))
+
+
+@query
+def default_bandwidths(spark, d):
+    """Median and largest distance of all customers, and the number of edges within a hundredth of the median."""
+    points = fx.customer_points(spark, d)
+    median, largest = (weights.default_bandwidth(points, ["x", "y"], k) for k in ("gaussian", "linear"))
+    near = weights.kernel_weights(points, ["x", "y"], "gaussian", cutoff=median / 100)
+    return near.agg(F.count(F.lit(1)).alias("edges"), r(F.sum("w"), 4, "weight")).select(r(F.lit(median), 6, "median"), r(F.lit(largest), 6, "largest"), "edges", "weight")
 
 
 @query
@@ -353,7 +373,7 @@ def w_exponential_near(spark, d):
 
 @query
 def w_linear(spark, d):
-    return _edges(weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "linear"))
+    return _edges(weights.kernel_weights(fx.nation_points(spark, d), ["x", "y"], "linear"))
 
 
 @query
@@ -522,6 +542,20 @@ def train_windows_hourly(spark, d):
     return cut.select("region", F.col("forecast_start").cast("string").alias("forecast_start"), packed("past"), packed("future"))
 
 
+@query
+def train_windows_covariate(spark, d):
+    cut = windows.training_windows(fx.dense(fx.user_panel(spark, d)), 7, 3, covariates=["c1"])
+    return cut.select("region", F.col("forecast_start").cast("string").alias("forecast_start"), packed("past_c1"), packed("future_c1"))
+
+
+@query
+def predict_window_covariate(spark, d):
+    panel = fx.dense(fx.user_panel(spark, d))
+    known, _ = panels.temporal_split(panel, 0.2)
+    cut = windows.prediction_window(known, 7, 3, covariates=["c1"], future=panel.select("region", "t", "c1"))
+    return cut.select("region", F.col("last_known").cast("string").alias("last_known"), packed("past"), packed("past_c1"), packed("future_c1"))
+
+
 @query
 def predict_window(spark, d):
     return _windows_out(windows.prediction_window(fx.dense(fx.user_panel(spark, d)), 7, 3), "last_known")
@@ -630,6 +664,25 @@ def forecast_paths_student(spark, d):
     return shown(_paths(spark, d, "student_t", (1, 2, 3))[1], ["value"], 4, ("region", "step", "t", "sample_id"))
 
 
+def _with_covariate(spark, d):
+    """(dates to learn from, whole panel, model of one lag and one covariate)."""
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
+    train, _ = panels.temporal_split(panel, AHEAD / 80, "M")
+    return train, panel, forecast.fit(train, CONTEXT, "gaussian", (1,), covariates=("c1",), freq="M")
+
+
+@query
+def ar_covariate_fit(spark, d):
+    return _ar_table(spark, _with_covariate(spark, d)[2])
+
+
+@query
+def forecast_paths_covariate(spark, d):
+    train, panel, model = _with_covariate(spark, d)
+    paths = forecast.sample_paths(train, model, CONTEXT, AHEAD, SAMPLES, SEED, freq="M", future=panel.select("region", "t", "c1"))
+    return shown(paths, ["value"], 4, ("region", "step", "t", "sample_id"))
+
+
 def _ensemble(spark, d):
     panel = stage(fx.filled(fx.supplier_panel(spark, d)))
     return panel, *fx.ensemble(panel)

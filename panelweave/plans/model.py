@@ -158,12 +158,15 @@ class ModelConfig:
     lags: tuple[int, ...] = forecast.DEFAULT_LAGS
     seed: int = 0
     covariates: tuple[str, ...] = field(default_factory=tuple)
+    #: Covariates of the forecaster, known ahead; ``covariates`` are those of the causal fit.
+    forecast_covariates: tuple[str, ...] = field(default_factory=tuple)
 
     def __post_init__(self):
         head(self.distribution)
         if self.causal_method not in ("2sls", "ols"):
             raise ValueError(f"unsupported method {self.causal_method!r}")
         self.lags, self.covariates = tuple(self.lags), tuple(self.covariates)
+        self.forecast_covariates = tuple(self.forecast_covariates)
 
 
 class PooledForecaster:
@@ -176,17 +179,20 @@ class PooledForecaster:
     def fit(self, panel: DataFrame, column: str = "y") -> PooledForecaster:
         c = self.config
         self.model = forecast.fit(
-            panel, c.context_length, c.distribution, c.lags, column, c.scaling, freq=c.freq
+            panel, c.context_length, c.distribution, c.lags, column, c.scaling, c.forecast_covariates, c.freq
         )
         return self
 
-    def predict(self, panel: DataFrame, column: str = "y", num_samples: int | None = None) -> DataFrame:
+    def predict(
+        self, panel: DataFrame, column: str = "y", num_samples: int | None = None, future: DataFrame | None = None
+    ) -> DataFrame:
+        """Sample paths; ``future`` has the covariates of the steps ahead, where the model reads any."""
         if self.model is None:
             raise ValueError("fit the forecaster before predicting")
         c = self.config
         return forecast.sample_paths(
             panel, self.model, c.context_length, c.prediction_length, num_samples or c.num_sample_paths,
-            c.seed, column, c.scaling, c.freq,
+            c.seed, column, c.scaling, c.freq, future=future,
         )
 
     def info(self, spark: SparkSession) -> DataFrame:
@@ -262,12 +268,14 @@ class SpatialCausalForecaster:
             self.forecaster.fit(panel, "y")
         return self
 
-    def predict(self, panel: DataFrame, num_samples: int | None = None, adjust: bool = True) -> DataFrame:
+    def predict(
+        self, panel: DataFrame, num_samples: int | None = None, adjust: bool = True, future: DataFrame | None = None
+    ) -> DataFrame:
         if not self.is_fitted:
             raise ValueError("fit the model before predicting")
         if adjust and self.causal_fitted:
-            return self.forecaster.predict(self.causal.adjust(panel), "z", num_samples)
-        return self.forecaster.predict(panel, "y", num_samples)
+            return self.forecaster.predict(self.causal.adjust(panel), "z", num_samples, future)
+        return self.forecaster.predict(panel, "y", num_samples, future)
 
     def evaluate(self, forecasts: DataFrame, truth: DataFrame, history: DataFrame, quantiles=metrics.QUANTILES):
         return ForecastEvaluator(quantiles, freq=self.config.freq).evaluate(forecasts, truth, history)

@@ -57,6 +57,10 @@ SEGMENT = """sg AS (SELECT c_mktsegment AS region, CAST(o_orderdate AS DATE) AS
 NATION_DENSE = [NATION, dense("nd0", "np", "y c1 c2"), filled("nd", "nd0", "y c1 c2")]
 SUPPLIER_DENSE = [SUPPLIER, dense("sd0", "sp", "y c1 c2"), filled("sd", "sd0", "y c1 c2")]
 USER_DENSE = [USER, dense("ud", "up", "y c1")]
+TRAIN_DATES = [
+    """ds AS (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () - CAST(floor(count(*) OVER () * 0.2e0) AS BIGINT) AS cut
+      FROM (SELECT DISTINCT t FROM ud))"""
+]
 USER_FILLED = [*USER_DENSE, filled("uf", "ud", "y c1")]
 TYPE_DENSE = [TYPE, dense("td", "tp", "y")]
 
@@ -66,6 +70,7 @@ def strip(name: str, table: str, key: str) -> str:
       CAST({key} % 100 * 3 + ({key} * 53) % 5 AS DOUBLE) AS y FROM {table})"""
 
 
+NATIONS = """nat AS (SELECT n_nationkey AS region, CAST((n_nationkey * 37) % 101 AS DOUBLE) AS x, CAST((n_nationkey * 53) % 97 AS DOUBLE) AS y FROM nation)"""
 SUPPLIERS, CUSTOMERS = strip("sup", "supplier", "s_suppkey"), strip("cus", "customer", "c_custkey")
 
 
@@ -369,14 +374,34 @@ MODEL = [
 ]
 
 
-def draws() -> list[str]:
+# the dates before the last ones, one lag and one covariate
+COVARIATE = [
+    *SUPPLIER_DENSE,
+    "dn AS (SELECT t, row_number() OVER (ORDER BY t) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM sd))",
+    f"tr AS (SELECT sd.* FROM sd JOIN dn USING (t) WHERE rn <= n - CAST(floor(n * {AHEAD / 80!r}) AS BIGINT))",
+    *scaled_rows("tr"),
+    "ac AS (SELECT ar.*, tr.c1 FROM ar JOIN tr USING (region, t) WHERE l1 IS NOT NULL)",
+    """av AS (SELECT avg(x) AS mx, avg(l1) AS m1, avg(c1) AS m2, var_pop(l1) AS v11, var_pop(c1) AS v22, covar_pop(l1, c1) AS v12,
+      covar_pop(x, l1) AS g1, covar_pop(x, c1) AS g2 FROM ac)""",
+    "ab AS (SELECT *, (v22 * g1 - v12 * g2) / (v11 * v22 - v12 * v12) AS phi, (v11 * g2 - v12 * g1) / (v11 * v22 - v12 * v12) AS gamma FROM av)",
+    "am AS (SELECT phi, gamma, mx - phi * m1 - gamma * m2 AS c FROM ab)",
+    "m1 AS (SELECT phi, gamma, c, (SELECT sqrt(avg(power(x - c - phi * l1 - gamma * c1, 2))) FROM ac, am) AS sigma FROM am)",
+]
+
+
+def draws(covariate: str | None = None) -> list[str]:
     parts = [
         f"""p0 AS (SELECT region, sample_id, t AS last, scale, x AS x0 FROM ar
       CROSS JOIN (SELECT unnest(range(1, {SAMPLES + 1})) AS sample_id) WHERE back = 1)"""
     ]
     for s in range(1, AHEAD + 1):
         normal = gauss(uniform("region", "sample_id", str(s), "'u'"), uniform("region", "sample_id", str(s), "'v'"))
-        parts.append(f"p{s} AS (SELECT p{s - 1}.*, c + phi * x{s - 1} + sigma * {normal} AS x{s} FROM p{s - 1}, m1)")
+        if covariate:
+            ahead = f"JOIN sd ON sd.region = p{s - 1}.region AND sd.t = CAST(p{s - 1}.last + INTERVAL {s} MONTH AS DATE)"
+            normal = normal.replace("CAST(region ", f"CAST(p{s - 1}.region ")
+            parts.append(f"p{s} AS (SELECT p{s - 1}.*, c + phi * x{s - 1} + gamma * sd.{covariate} + sigma * {normal} AS x{s} FROM p{s - 1} {ahead} CROSS JOIN m1)")
+        else:
+            parts.append(f"p{s} AS (SELECT p{s - 1}.*, c + phi * x{s - 1} + sigma * {normal} AS x{s} FROM p{s - 1}, m1)")
     return parts
 
 
@@ -423,8 +448,8 @@ _STUDENT = math.lgamma(2.5) - math.lgamma(3.0) + 0.5 * math.log(5 * math.pi)
 
 def _kernel(shape: str, bandwidth: str) -> str:
     return steps(
-        SUPPLIERS,
-        pairs("pr", "sup"),
+        NATIONS,
+        pairs("pr", "nat"),
         f"bw AS (SELECT {bandwidth} AS h FROM pr WHERE i < j)",
         f"SELECT i, j, {r('w')} FROM (SELECT i, j, {shape} AS w FROM pr, bw) WHERE w <> 0",
     )
@@ -549,11 +574,24 @@ def oracle_sql() -> dict[str, str]:
             CAST(row_number() OVER (ORDER BY region) - 1 AS VARCHAR) AS feat_static_cat,
             array_to_string(list(CAST(c1 AS BIGINT) ORDER BY t), ',') AS feat_dynamic_real FROM uf GROUP BY region""",
         ),
-        "dist_pairs": steps(SUPPLIERS, pairs("pr", "sup"), f"SELECT i, j, {r('d')} FROM pr"),
+        "series_records_ahead": steps(
+            *USER_DENSE,
+            *TRAIN_DATES,
+            f"""SELECT region, {packed('list(coalesce(y, 0) ORDER BY t) FILTER (WHERE rn <= cut)', 'target')},
+            array_to_string(list(CAST(coalesce(c1, 0) AS BIGINT) ORDER BY t), ',') AS feat_dynamic_real FROM ud JOIN ds USING (t) GROUP BY region""",
+        ),
+        "dist_pairs": steps(NATIONS, pairs("pr", "nat"), f"SELECT i, j, {r('d')} FROM pr"),
         "w_binary": steps(*NEAR_EDGES, f"SELECT i, j, {r('w')} FROM be"),
         "w_distance": steps(*NEAR_EDGES, f"SELECT i, j, {r('1 / d', 6, 'w')} FROM cp WHERE d <= {NEAR} AND d > 0"),
         "w_distance_power": steps(*NEAR_EDGES, f"SELECT i, j, {r('d * d', 6, 'w')} FROM cp WHERE d <= {NEAR} AND d > 0"),
-        "w_distance_full": steps(SUPPLIERS, pairs("pr", "sup"), f"SELECT i, j, {r('1 / d', 6, 'w')} FROM pr WHERE d > 0"),
+        "default_bandwidths": steps(
+            CUSTOMERS,
+            pairs("cp", "cus"),
+            "bw AS (SELECT median(d) AS h, max(d) AS m FROM cp WHERE i < j)",
+            f"""SELECT {r('any_value(h)', 6, 'median')}, {r('any_value(m)', 6, 'largest')}, count(*) FILTER (WHERE d <= h / 100) AS edges,
+            {r('sum(exp(-d * d / (2 * h * h))) FILTER (WHERE d <= h / 100)', 4, 'weight')} FROM cp, bw""",
+        ),
+        "w_distance_full": steps(NATIONS, pairs("pr", "nat"), f"SELECT i, j, {r('1 / d', 6, 'w')} FROM pr WHERE d > 0"),
         "w_knn": steps(
             CUSTOMERS,
             """kn AS (SELECT a.region AS i, b.region AS j, row_number() OVER (PARTITION BY a.region
@@ -669,6 +707,22 @@ def oracle_sql() -> dict[str, str]:
             *training("td", 5, 2),
             f"SELECT region, CAST(t AS VARCHAR) AS forecast_start, {packed(padded('pv', 5, '0e0'), 'past')}, {packed('fv', 'future')} FROM tk",
         ),
+        "train_windows_covariate": steps(
+            *USER_DENSE,
+            f"""tw AS (SELECT region, t, list(coalesce(c1, 0)) OVER p AS pv, list(coalesce(c1, 0)) OVER f AS fv FROM ud WINDOW
+            p AS (PARTITION BY region ORDER BY t ROWS BETWEEN {_P} PRECEDING AND 1 PRECEDING),
+            f AS (PARTITION BY region ORDER BY t ROWS BETWEEN CURRENT ROW AND {_A - 1} FOLLOWING))""",
+            f"""SELECT region, CAST(t AS VARCHAR) AS forecast_start, {packed(padded('pv', _P, '0e0'), 'past_c1')}, {packed('fv', 'future_c1')}
+            FROM tw WHERE len(fv) = {_A} AND len(pv) > 0""",
+        ),
+        "predict_window_covariate": steps(
+            *USER_DENSE,
+            *TRAIN_DATES,
+            f"""pw AS (SELECT region, max(t) FILTER (WHERE rn <= cut) AS last_known,
+            list(coalesce(y, 0) ORDER BY t) FILTER (WHERE rn <= cut) AS pv, list(coalesce(c1, 0) ORDER BY t) FILTER (WHERE rn <= cut) AS cv,
+            list(coalesce(c1, 0) ORDER BY t) FILTER (WHERE rn > cut) AS fv FROM ud JOIN ds USING (t) WHERE rn > cut - {_P} AND rn <= cut + {_A} GROUP BY region)""",
+            f"SELECT region, {text('last_known')}, {packed('pv', 'past')}, {packed('cv', 'past_c1')}, {packed('fv', 'future_c1')} FROM pw",
+        ),
         "predict_window": steps(*prediction(0)),
         "predict_window_holdout": steps(*prediction(_A)),
         "aligned_windows": steps(
@@ -703,6 +757,12 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS n FROM ar, m1 WHERE l1 IS NOT NULL""",
         ),
         "forecast_paths": steps(*AR1, *draws(), _path_rows()),
+        "ar_covariate_fit": steps(
+            *COVARIATE,
+            f"""SELECT param, CAST(idx AS INTEGER) AS idx, {r('value')} FROM (SELECT 'intercept' AS param, 0 AS idx, c AS value FROM m1
+            UNION ALL SELECT 'phi', 1, phi FROM m1 UNION ALL SELECT 'gamma', 0, gamma FROM m1 UNION ALL SELECT 'spread', 0, sigma FROM m1)""",
+        ),
+        "forecast_paths_covariate": steps(*COVARIATE, *draws("c1"), _path_rows()),
         "end_to_end_forecast": steps(
             *MODEL,
             *draws(),

@@ -133,10 +133,37 @@ def test_covariates_of_the_target_step(spark):
     assert model.phi[0] == pytest.approx(0.4, abs=0.02) and model.gamma[0] == pytest.approx(0.7, abs=0.02)
     scales = forecast.region_scale(df, 80, scaling=False)
     assert forecast.loss(df, model, scales).first()["n"] == 790
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="c1"):
         forecast.sample_paths(df, model, 80, 2)
 
 
+def test_covariates_known_ahead_enter_each_step(spark):
+    df = panel(spark, {"a": [(2, 0), (4, 0)], "b": [(6, 0), (2, 0)]}, ("y", "c1"))
+    model = forecast.Autoregression("gaussian", (1,), 0.1, (0.5,), 0.0, covariates=("c1", "c2"), gamma=(2.0, -1.0))
+    ahead = [("a", day(1), 9.0, 9.0), ("a", day(2), 1.0, 0.0), ("a", day(3), 0.0, 3.0), ("b", day(2), 0.5, 0.5), ("b", day(3), 2.0, 1.0), ("c", day(2), 7.0, 7.0)]
+    schema = "region string, t date, c1 double, c2 double"
+    paths = forecast.sample_paths(df, model, 2, 2, 3, future=spark.createDataFrame(ahead, schema))
+    got = by_key(paths, "region", "sample_id", "step")
+    assert len(got) == 2 * 3 * 2
+    for region, scale, last, terms in (("a", 3, 4, (2.0, -3.0)), ("b", 4, 2, (0.5, 3.0))):
+        x = last / scale
+        for step, term in enumerate(terms, 1):
+            x = 0.1 + 0.5 * x + term
+            assert all(got[(region, s, step)]["value"] == pytest.approx(scale * x) for s in (1, 2, 3))
+    for broken, message in ((ahead[:2] + ahead[3:], "a has no covariates for 2020-01-04"), ([(*ahead[1][:3], None), *ahead[2:]], "no covariates"), ([*ahead, ahead[2]], "several rows")):
+        with pytest.raises(Exception, match=message):
+            forecast.sample_paths(df, model, 2, 2, 3, future=spark.createDataFrame(broken, schema)).collect()
+
+
+def test_hourly_paths_with_covariates(spark):
+    start = dt.datetime(2020, 1, 1, 22)
+    rows = [("a", start + dt.timedelta(hours=n), 1.0, float(n)) for n in range(6)]
+    whole = spark.createDataFrame(rows, "region string, t timestamp_ntz, y double, c1 double")
+    model = forecast.Autoregression("gaussian", (1,), 0.0, (0.0,), 0.0, covariates=("c1",), gamma=(1.0,))
+    paths = forecast.sample_paths(whole.where("c1 < 3"), model, 3, 3, 1, freq="h", future=whole)
+    assert [(r["step"], r["t"], r["value"]) for r in paths.orderBy("step").collect()] == [(k + 1, start + dt.timedelta(hours=3 + k), 3.0 + k) for k in range(3)]
+
+
 def test_paths_unfold_the_recursion(spark):
     df = panel(spark, {"a": [2, 4, 2, 4], "b": [1, None, 3]})
     model = forecast.Autoregression("gaussian", (1, 2), 0.1, (0.5, 0.25), 0.0)

@@ -81,6 +81,27 @@ def test_staged_tables_can_be_cleared(spark):
     assert callable(session.clear)
 
 
+def test_forecasts_with_covariates(spark, fitted, folder):
+    model, df = fitted
+    config = ModelConfig(4, 20, num_sample_paths=5, distribution="gaussian", lags=(1,), causal_method="ols", forecast_covariates=("c1",))
+    train, test = panels.temporal_split(df, 4 / 60)
+    other = SpatialCausalForecaster(config, model.edges, model.regions, "2020-02-01").fit(train)
+    assert other.forecaster.model.covariates == ("c1",)
+    with pytest.raises(ValueError, match="c1"):
+        other.predict(train)
+    paths = other.predict(train, future=df.select("region", "t", "c1"))
+    assert paths.count() == 6 * 4 * 5
+    shifted = other.predict(train, future=test.select("region", "t", (F.col("c1") + 1).alias("c1")))
+    change = shifted.withColumnRenamed("value", "other").join(paths, ["region", "step", "t", "sample_id"]).where("step = 1")
+    gamma = other.forecaster.model.gamma[0]
+    scales = {r["region"]: r["scale"] for r in forecast.region_scale(other.causal.adjust(train), 20, "z").collect()}
+    for r in change.collect():
+        assert r["other"] - r["value"] == pytest.approx(gamma * scales[r["region"]], rel=1e-6)
+    other.save(f"{folder}/ahead")
+    again = SpatialCausalForecaster.load(spark, f"{folder}/ahead")
+    assert same_rows(again.predict(train, future=df), paths)
+
+
 def test_calendar_storage(spark, fitted, folder):
     model, df = fitted
     calendar = panels.with_post(panels.calendar_of(df), "2020-02-01")

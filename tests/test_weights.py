@@ -6,7 +6,7 @@ from helpers import brute_nearest, brute_within, by_key, day, panel, plan_of, po
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.operators import neighbours, weights
+from panelweave.operators import neighbours, pair_ranks, pivots, weights
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.quantiles import exact_median
 
@@ -193,3 +193,84 @@ def test_results_do_not_depend_on_partitions(spark):
     few = weights.spatial_weights(df.coalesce(1), "knn", coords=coords, k=3)
     many = weights.spatial_weights(df.repartition(17), "knn", coords=coords, k=3)
     assert same_rows(few, many)
+
+
+VECTORS = {
+    "uniform": RNG.random((700, 8)),
+    "clusters": (RNG.normal(size=(30, 1, 6)) * 100 + RNG.normal(size=(30, 40, 6))).reshape(-1, 6),
+    "a third at one place": np.concatenate([np.ones((300, 5)), RNG.random((600, 5))]),
+    "one far off": np.concatenate([RNG.random((500, 4)), np.full((1, 4), 1e7)]),
+    "on a sphere": (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(RNG.normal(size=(600, 5))),
+    "lattice": np.stack(np.meshgrid(*[np.arange(5.0)] * 4), axis=-1).reshape(-1, 4),
+}
+
+
+def vectors(spark, xy):
+    df, coords = points(spark, xy)
+    return df.select("region", F.array(*coords).alias("v")).repartition(3)
+
+
+@pytest.mark.parametrize("cloud", VECTORS)
+def test_pivot_search_is_exact(spark, cloud):
+    xy = VECTORS[cloud]
+    df = vectors(spark, xy)
+    found = pivots.search(df, "v", 4, cell_rows=60)
+    assert edge_set(neighbours._closest(found.withColumn("_d2", F.col("d")), 4)) == brute_nearest(xy, 4)
+    within = float(np.median(np.linalg.norm(xy[:40, None] - xy[None, :40], axis=2))) / 3
+    assert edge_set(pivots.search(df, "v", threshold=within, cell_rows=60)) == brute_within(xy, within)
+
+
+def test_pivots_leave_out_most_pairs_between_clusters(spark, monkeypatch):
+    xy = VECTORS["clusters"]
+    named = vectors(spark, xy).withColumnRenamed("region", "i")
+    index = pivots.build(named, len(xy), 60)
+    sizes = index.members.groupBy("cell", "ring", "piece").count()
+    seen = pivots.visits(index, pivots._bounded(index, 4)).join(sizes, ["cell", "ring", "piece"])
+    assert seen.agg(F.sum("count")).first()[0] < 0.12 * len(xy) ** 2
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 60
+
+
+def test_crowded_groups_are_spread(spark, monkeypatch):
+    """One place holds half of all vectors: its group has a bound, and so have the queries that one task meets."""
+    monkeypatch.setattr(pivots, "QUERY_ROWS", 50)
+    xy = np.concatenate([np.zeros((400, 4)), RNG.random((400, 4)) * 1e-3])
+    df = vectors(spark, xy)
+    assert edge_set(pivots.search(df, "v", threshold=5e-4, cell_rows=60)) == brute_within(xy, 5e-4)
+    index = pivots.build(df.withColumnRenamed("region", "i"), len(xy), 60)
+    assert index.members.groupBy("cell", "ring", "piece").count().agg(F.max("count")).first()[0] <= 160
+
+
+@pytest.mark.parametrize("cloud", ["uniform", "dense cluster", "space", "line", "far outliers", "few", "array", "two copies", "one"])
+def test_ranks_of_all_distances(spark, cloud):
+    xy = {"array": VECTORS["clusters"][:500], "two copies": np.ones((2, 2)), "one": np.ones((1, 2))}.get(cloud)
+    xy = CLOUDS[cloud] if xy is None else xy
+    df, coords = points(spark, xy)
+    if cloud == "array":
+        df, coords = df.select("region", F.array(*coords).alias("v")), "v"
+    d = np.sqrt(sum((xy[:, None, x] - xy[None, :, x]) ** 2 for x in range(xy.shape[1])))[np.triu_indices(len(xy), 1)]
+    assert pair_ranks.median_distance(df, coords) == (np.median(d) if len(d) else None)
+    assert pair_ranks.largest_distance(df, coords) == (d.max() if len(d) else None)
+
+
+def test_few_distances_are_looked_at(spark, monkeypatch):
+    """Between the levels no row per pair is written, and at the last one a fraction of the pairs is left."""
+    monkeypatch.setattr(pair_ranks, "LEAF_PLACES", 8)
+    xy = RNG.random((3000, 2))
+    df, coords = points(spark, xy)
+    pairs = len(xy) * (len(xy) - 1) // 2
+    places = df.select(F.array(*coords).alias("v"), F.lit(1).cast("bigint").alias("m"))
+    met, below, low, high = pair_ranks._straddling(places, 2, len(xy), [pairs // 2])
+    left = met.agg(F.sum(F.size("a_v") * F.size("b_v"))).first()[0]
+    assert left < 0.25 * pairs and 0 < below < pairs // 2
+    d = np.linalg.norm(xy[:, None] - xy[None], axis=2)[np.triu_indices(len(xy), 1)]
+    assert low <= np.sort(d)[pairs // 2] <= high and high - low < 0.2
+
+
+def test_kernel_cutoff_with_the_default_bandwidth(spark):
+    xy = CLOUDS["uniform"][:120]
+    df, coords = points(spark, xy)
+    whole = weights.kernel_weights(df, coords, "gaussian")
+    h = pair_ranks.median_distance(df, coords)
+    near = weights.kernel_weights(df, coords, "gaussian", cutoff=0.2)
+    assert edge_set(near) == brute_within(xy, 0.2)
+    assert same_rows(near, whole.join(near.select("i", "j"), ["i", "j"])) and h == weights.default_bandwidth(df, coords)
