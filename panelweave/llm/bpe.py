@@ -1,9 +1,9 @@
 """Byte-level BPE by speculation and verification.
 
 A pre-token is first cut by greedy longest match into tokens. A sequence of tokens is what the merges
-would give exactly if every two neighbours together encode to themselves, so each distinct pair is
-settled once by real merging, and all pairs of many words are tested at once against the settled ones.
-Only words with a failing pair are merged exactly.
+would give exactly if every two neighbours together encode to themselves. Whether they do is read off how the two were made: undoing
+their merges from the last to the first, no pair that faces the other side may have a merge that comes before the one just undone. All
+distinct pairs of many words walk back at once, in arrays. Only words with a failing pair are merged exactly, many at a time too.
 
 Encoding and decoding are narrow passes. A vocabulary file is read on the driver and broadcast.
 """
@@ -28,10 +28,11 @@ from panelweave.llm.common import map_texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
 REMEMBERED = 300_000
-#: New pairs that are settled before they join the sorted table, and pairs in it.
-LOT, MOST_PAIRS = 20_000, 1_000_000
 #: Bytes up to which a word is merged by scanning rather than with a queue.
 SHORT = 64
+#: Words from which on arrays are cheaper than one word after the other.
+MANY = 24
+_NEVER = 1 << 40
 
 _PRETOKENS = regex.compile(PATTERN)
 
@@ -66,14 +67,62 @@ class BytePairs:
             self.ranks[self.ids[a] * self.size + self.ids[b]] = len(self.made)
             self.made.append(self.ids[a + b])
         self.longest = max(map(len, self.ids))
-        self._forget_pairs()
-        self.alone: dict[int, bool] = {}
+        self._split_tokens()
         self._forget_words()
 
-    def _forget_pairs(self) -> None:
-        self.known = np.empty(0, dtype=np.int64)
-        self.fits = np.empty(0, dtype=bool)
-        self.recent: dict[int, bool] = {}
+    def _split_tokens(self) -> None:
+        """How each token is made: its two parts and the rank of their merge (-1 for bytes), and which tokens encode to themselves.
+
+        ``odd`` tokens do not come from one merge of earlier ones; what they meet is settled by real merging.
+        """
+        keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.ranks.values(), np.int64, len(self.ranks))[order], _NEVER)
+        self.left, self.right = np.zeros((2, self.size), dtype=np.int64)
+        self.rank = np.full(self.size, -1, dtype=np.int64)
+        self.odd = np.array([len(b) != 1 for b in self.bytes])
+        self.byte = np.array([self.ids.get(bytes([b]), 0) for b in range(256)], dtype=np.int64)
+        rank, odd = self.rank.tolist(), self.odd.tolist()
+        for pair, k in self.ranks.items():
+            (a, b), t = divmod(pair, self.size), self.made[k]
+            odd[t] = rank[t] >= 0 or odd[a] or odd[b] or rank[a] >= k or rank[b] >= k
+            self.left[t], self.right[t], rank[t] = a, b, k
+        self.rank, self.odd = np.array(rank, dtype=np.int64), np.array(odd)
+        made = np.flatnonzero(~self.odd & (self.rank >= 0))
+        self.alone = ~self.odd
+        self.alone[made] = self._fit(self.left[made], self.right[made], self.rank[made])
+        for t in made[np.argsort(self.rank[made])].tolist():
+            self.alone[t] &= self.alone[self.left[t]] and self.alone[self.right[t]]
+        for t in np.flatnonzero(self.odd).tolist():
+            self.alone[t] = bool(self.bytes[t]) and self.merged(self.bytes[t]) == [t]
+
+    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a * self.size + b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NEVER)
+
+    def _fit(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether neighbours ``a`` and ``b``, made by merges in the order of their ranks, come to stand next to each other.
+
+        Walking back in time, the part made last is undone. The pair that then faces the border had until that merge (among equals the
+        left one is first) to merge across it. ``limit`` is the time at which they must stand there, the end if it is not given.
+        """
+        a, b, fits = a.copy(), b.copy(), np.ones(len(a), dtype=bool)
+        limit = np.full(len(a), _NEVER) if limit is None else limit.copy()
+        live = np.arange(len(a))
+        while len(live):
+            bad = self._rank_of(a[live], b[live]) < limit[live]
+            fits[live[bad]] = False
+            live = live[~bad]
+            ra, rb = self.rank[a[live]], self.rank[b[live]]
+            more = (ra >= 0) | (rb >= 0)
+            live, ra, rb = live[more], ra[more], rb[more]
+            later = ra > rb
+            x, y = live[later], live[~later]
+            limit[x], a[x] = ra[later], self.right[a[x]]
+            limit[y], b[y] = rb[~later] + 1, self.left[b[y]]
+        return fits
 
     def _forget_words(self) -> None:
         self.place: dict[str, int] = {}
@@ -136,49 +185,76 @@ class BytePairs:
     # --- many words ---
 
     def _pairs_fit(self, pairs: np.ndarray) -> np.ndarray:
-        """For each neighbour pair (first * size + second), whether the two encode to themselves.
-
-        Settled pairs are looked up in a sorted table; new ones are settled by merging and join it in lots.
-        """
+        """For each neighbour pair (first * size + second), whether the two encode to themselves."""
         wanted, which = np.unique(pairs, return_inverse=True)
-        fits = np.zeros(len(wanted), dtype=bool)
-        settled = np.zeros(len(wanted), dtype=bool)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
-            settled = self.known[at] == wanted
-            fits[settled] = self.fits[at[settled]]
-        for n in np.flatnonzero(~settled).tolist():
-            pair = int(wanted[n])
-            if pair not in self.recent:
-                a, b = divmod(pair, self.size)
-                self.recent[pair] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
-            fits[n] = self.recent[pair]
-        if len(self.recent) > LOT:
-            if len(self.known) > MOST_PAIRS:
-                self.known, self.fits = self.known[:0], self.fits[:0]
-            known = np.concatenate([self.known, np.fromiter(self.recent, np.int64, len(self.recent))])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.fits = np.concatenate([self.fits, np.fromiter(self.recent.values(), bool, len(self.recent))])[order]
-            self.recent = {}
+        a, b = wanted // self.size, wanted % self.size
+        fits = self.alone[a] & self.alone[b]
+        tested = np.flatnonzero(fits)
+        fits[tested] = self._fit(a[tested], b[tested])
+        for n in np.flatnonzero(self.odd[a] | self.odd[b]).tolist():
+            fits[n] = self.merged(self.bytes[a[n]] + self.bytes[b[n]]) == [a[n], b[n]]
         return fits[which]
 
+    def _merged_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merged`` of many short words at once: every round makes the next merge of each word."""
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        line = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(words)), sizes)
+
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """Rank of the pair that begins at each place; none at the end of a word."""
+            after = np.minimum(at + 1, len(line) - 1)
+            return np.where((after > at) & (owner[after] == owner[at]), self._rank_of(line[at], line[after]), _NEVER)
+
+        made = np.array(self.made, dtype=np.int64)
+        ranks, parts = ranked(np.arange(len(line))), []
+        while len(line):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            best = np.minimum.reduceat(ranks, starts)
+            each = np.repeat(best, np.diff(np.append(starts, len(line))))
+            over = each == _NEVER
+            if over.any():
+                parts.append((owner[over], line[over]))
+                line, owner, ranks, each = line[~over], owner[~over], ranks[~over], each[~over]
+                if not len(line):
+                    break
+            least = np.flatnonzero(ranks == each)
+            at = least[np.concatenate(([True], owner[least[1:]] != owner[least[:-1]]))]
+            line[at] = made[ranks[at]]
+            stay = np.ones(len(line), dtype=bool)
+            stay[at + 1] = False
+            line, owner, ranks = line[stay], owner[stay], ranks[stay]
+            # as many places have gone before each of these as there are words before it
+            at = at - np.arange(len(at))
+            touched = np.concatenate([at, at[at > 0] - 1])
+            ranks[touched] = ranked(touched)
+        owners, tokens = np.concatenate([o for o, _ in parts]), np.concatenate([t for _, t in parts])
+        order = np.argsort(owners, kind="stable")
+        ends = np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
+        tokens = tokens[order].tolist()
+        return [tokens[x:y] for x, y in zip([0, *ends], ends)]
+
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word: proposals where they hold, exact merging elsewhere."""
+        if len(words) < MANY:
+            return [self.merged(w) for w in words]
         found = [self.proposed(w) for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(found)), sizes)
+        wrong = np.zeros(len(found), dtype=bool)
+        wrong[owner[~self.alone[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        wrong = set(owner[inner[~self._pairs_fit(flat[inner] * self.size + flat[inner + 1])]].tolist()) if len(inner) else set()
-        for n in np.flatnonzero(sizes == 1).tolist():
-            token = found[n][0]
-            if token not in self.alone:
-                self.alone[token] = self.merged(self.bytes[token]) == [token]
-            if not self.alone[token]:
-                wrong.add(n)
-        for n in wrong:
-            found[n] = self.merged(words[n])
+        if len(inner):
+            wrong[owner[inner[~self._pairs_fit(flat[inner] * self.size + flat[inner + 1])]]] = True
+        short = [n for n in np.flatnonzero(wrong).tolist() if len(words[n]) <= SHORT]
+        for n, tokens in zip(short, self._merged_many([words[n] for n in short])):
+            found[n] = tokens
+        for n in np.flatnonzero(wrong).tolist():
+            if len(words[n]) > SHORT:
+                found[n] = self.merged(words[n])
         return found
 
     def pretokens(self, text: str) -> list[str]:
@@ -232,13 +308,16 @@ class BytePairs:
             made.append(self.flat[np.arange(len(shift)) + shift])
         return made
 
-    def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token. Texts come one by one here, so more words are worth remembering."""
+    def remember(self, words: Iterable[str]) -> None:
+        """Encodes the pre-tokens that are not known yet, all at once. Callers that count texts one by one remember many texts' words first."""
         if len(self.place) > 2 * REMEMBERED:
             self._forget_words()
-        new = dict.fromkeys(w for w in words if w not in self.place)
-        if new:
+        if new := dict.fromkeys(w for w in words if w not in self.place):
             self._learn(new)
+
+    def counts(self, words: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        self.remember(words)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         return (self.ends[at + 1] - self.ends[at]).tolist()
 

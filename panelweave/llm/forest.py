@@ -162,9 +162,9 @@ def _exact(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (q * m).sum(axis=1)
 
 
-def _best(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best of each query: largest score first, then the smaller id."""
-    order = np.lexsort((ident, -score, query))
+def _best(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query: largest score first, then the smaller ``tie`` (the id itself, if not given)."""
+    order = np.lexsort((ident if tie is None else tie, -score, query))
     query, score, ident = query[order], score[order], ident[order]
     start = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
     place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
@@ -295,6 +295,7 @@ class _Block:
         ids = pa.concat_arrays([p.column("ids") for p in parts]).take(pa.array(order))
         self.ids, self.counts = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
         self.first = np.cumsum(self.counts) - self.counts
+        self.longest = float(np.sqrt((self.x * self.x).sum(axis=1).max(initial=0.0)))
         start = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
         self.span = {int(leaf[a]): (int(a), int(b)) for a, b in zip(start, np.append(start[1:], len(leaf)))}
 
@@ -311,14 +312,17 @@ class _Block:
                 continue
             q = which[a:b]
             scores = x[q] @ self.x[span[0] : span[1]].T
-            few = min(k + 4, scores.shape[1])
-            top = np.argpartition(-scores, few - 1, axis=1)[:, :few] if few < scores.shape[1] else np.broadcast_to(np.arange(few), scores.shape)
-            queries.append(np.repeat(q, few))
-            rows.append(span[0] + top.ravel())
+            # all rows that reach the k-th best score, as far as rounding may move it: ties must not lose smaller ids
+            few = min(k, scores.shape[1])
+            margin = 1e-12 * self.longest * np.sqrt((x[q] * x[q]).sum(axis=1)) + 1e-300
+            least = np.partition(scores, scores.shape[1] - few, axis=1)[:, scores.shape[1] - few] - margin
+            own, top = np.nonzero(scores >= least[:, None])
+            queries.append(q[own])
+            rows.append(span[0] + top)
         if not queries:
             return None
         query, row = np.concatenate(queries), np.concatenate(rows)
-        query, score, row = _best(query, _exact(x[query], self.x[row]), row, k)
+        query, score, row = _best(query, _exact(x[query], self.x[row]), row, k, self.ids[self.first[row]])
         # ties between rows are settled by id below: all ids of the rows chosen, and copies share a row
         n = self.counts[row]
         at = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())

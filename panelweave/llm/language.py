@@ -14,14 +14,14 @@ bucket the fit never met.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField
 
 from panelweave.llm.common import col, fresh, map_texts
@@ -32,6 +32,8 @@ GRAMS = 4
 DIMENSIONS = 16
 #: Labelled rows in the fit, shared equally by the languages.
 SAMPLE_ROWS = 1_200
+#: Languages that are learned, the most frequent ones first.
+MOST_LABELS = 400
 SHORT_WORDS = 6
 EPOCHS = 6
 RATE = 0.5
@@ -47,7 +49,8 @@ UNKNOWN = "und"
 #: Words whose scores a worker remembers.
 REMEMBERED = 150_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters only: fractions, raised digits, Roman numerals and the like are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -194,17 +197,18 @@ def fit(rows: list[tuple], seed: int = 7) -> LanguageModel | None:
 def train(docs: DataFrame, usable: Column | None = None, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """A model fitted on at most about ``sample_rows`` rows with text, label and key where ``usable`` holds.
 
-    The count per label covers all rows; each label gets an equal number of rows, drawn by a hash of
-    the key. Only features leave the executors.
+    The count per label covers all rows; each of the ``MOST_LABELS`` most frequent labels gets an equal number of rows, drawn by a
+    hash of the key, so a rare label keeps its share. Only features leave the executors.
     """
     given = col(text).isNotNull() & col(label).isNotNull() & col(key).isNotNull()
     labelled = docs.where(given if usable is None else given & usable)
-    counts = {r["label"]: r["n"] for r in labelled.groupBy(col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = labelled.groupBy(col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    learned = {r["label"]: r["n"] for r in counts.orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()}
+    if not learned:
         return None
-    quota = max(1, sample_rows // len(counts))
-    # the wished share of each label, and a margin so that a small label is not missed by chance
-    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (quota + 3 * quota**0.5) / n))))
+    quota = max(1, sample_rows // len(learned))
+    # the wished share of each label, and a margin so that no label is missed by chance
+    shares = F.create_map(*(F.lit(x) for k, n in learned.items() for x in (k, min(1.0, max(16.0, quota + 3 * quota**0.5) / n))))
     draw = F.pmod(F.xxhash64(col(key), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = labelled.select(
         col(label).cast("string").alias("label"), draw.alias("draw"), F.crc32(col(key).cast("string")).alias("pick"), col(text).alias("text")
@@ -230,7 +234,8 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lab
     fields = [StructField(n, ArrayType(t)) for n, t in (("b", IntegerType()), ("s", FloatType()), ("b2", IntegerType()), ("s2", FloatType()), ("b3", IntegerType()), ("s3", FloatType()))]
     fields += [StructField(n, IntegerType()) for n in ("n", "n2")]
     made = map_texts(picked, "text", ["label", "draw", "pick"], fields, start)
-    rows = made.orderBy("draw", "pick", "label", F.xxhash64("b")).limit(2 * sample_rows).toPandas()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "pick", F.xxhash64("b")))
+    rows = made.withColumn("place", place).where(F.col("place") <= 2 * quota).orderBy("draw", "pick", "label", F.xxhash64("b")).drop("place").toPandas()
     middle = SHORT_WORDS + 1
     return fit(
         [x for r in rows.itertuples() for x in ((r.label, r.b, r.s, r.n, (middle, r.b3, r.s3) if r.n >= middle else None), (r.label, r.b2, r.s2, r.n2))]

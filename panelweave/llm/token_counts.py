@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelweave.llm.bpe import BytePairs, Vocabulary
-from panelweave.llm.common import col
+from panelweave.llm.common import col, pieces
 
 #: Pre-tokens in a leaf.
 LEAF = 64
@@ -104,12 +104,12 @@ def _walk(node: Node, start: int) -> Iterator[tuple[int, str]]:
 class CountedText:
     """A text with its token count, kept up to date under edits."""
 
-    def __init__(self, text: str, pairs: BytePairs):
+    def __init__(self, text: str, pairs: BytePairs, parts: list[str] | None = None):
         self.pairs = pairs
         # a boundary depends on at most this many characters behind it: two for white space and
         # contractions, or the start of a special token
         self.context = 2 + max(map(len, pairs.special), default=0)
-        parts = pairs.pretokens(text)
+        parts = pairs.pretokens(text) if parts is None else parts
         self.tree = build(parts, pairs.counts(parts))
         self.edits = 0
         self.encoded = 0
@@ -228,12 +228,17 @@ def recounted(
         key_type = None
         for batch in batches:
             key_type = batch.column("key").type
-            for at in range(0, batch.num_rows, 256):
-                for key, kind, _, start, length, body in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+            for part in pieces(batch, "body"):
+                # the words of all texts at hand are encoded together, before any tree is built
+                rows = part.to_pylist()
+                cut = [pairs.pretokens(r["body"]) for r in rows]
+                pairs.remember(w for words in cut for w in words)
+                for row, words in zip(rows, cut):
+                    key, kind, start, length, body = (row[c] for c in ("key", "kind", "start", "length", "body"))
                     if kind == 0:
                         if held:
                             closed()
-                        counted = CountedText(body, pairs)
+                        counted = CountedText(body, pairs, words)
                         held = [key, counted, counted.tokens, 0]
                     elif held and held[0] == key:
                         held[1].replace(start, length, body)

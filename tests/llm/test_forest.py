@@ -51,6 +51,18 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert found[80][0] == 60 and found[80][1:] == list(range(19))
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    """Sixty different vectors with one product; their ids fall along the table."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0], 0)] + [(100 - n, [0.5, *map(float, rng.integers(-9, 9, 2)), ], 0) for n in range(60)]
+    found = result(forest.nearest(table(spark, rows), F.col("id") == 0).withColumnRenamed("id", "vec_id"))
+    distinct = {}
+    for i, v, _ in rows[1:]:
+        distinct.setdefault(tuple(v), []).append(i)
+    assert len(distinct) > 30
+    assert found[0] == list(range(41, 61))
+
+
 def test_few_and_no_rows(spark):
     found = result(forest.report(table(spark, [(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (20, [1.0, 1.0], 0)])))
     assert found == {0: [1, 20], 20: [0, 1]}

@@ -38,6 +38,41 @@ def test_held_out_accuracy_and_columns(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_number_letters_are_no_letters(spark):
+    given = rows(60) + [(700, "½ ² Ⅷ ①"), (701, "12 ½"), (702, "漢字 ½")]
+    found = {r["doc_id"]: r for r in language.report(docs(spark, given)).collect()}
+    assert [(found[n]["lang_pred"], found[n]["score"]) for n in (700, 701)] == [("und", 0.0)] * 2
+    assert found[702]["lang_pred"] != "und"
+
+
+def test_scorer_is_the_plain_sum_over_ngrams(spark):
+    given = rows(150)
+    model = language.train(docs(spark, given))
+    texts = [t for _, t, _ in given[:40]] + ["Schung ½ the", "ç"]
+    labels, scores, _ = language.Scorer(model)(texts)
+    for text, label, score in zip(texts, labels, scores):
+        total, count = np.zeros(len(model.labels)), 0
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            marked = f"<{word}>"
+            for n in range(1, language.GRAMS + 1):
+                for at in range(len(marked) - n + 1):
+                    h = 0
+                    for k in range(n):
+                        h = (h * 0x100000001B3 + ord(marked[at + k]) + k + 1) % 2**64
+                    total += model.scores[(h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - language.BUCKET_BITS)]
+                    count += 1
+        z = (total / count + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert label == model.labels[int(p.argmax())] and abs(score - p.max()) < 1e-6
+
+
+def test_a_rare_label_keeps_its_rows(spark):
+    """With very many labels a global cut would drop rare ones: each keeps its own rows."""
+    given = [(n, f"word{chr(97 + n % 26)} " * 3, f"l{n % 150:03d}") for n in range(1500)] + [(9000, "zzz zzz", "rare")]
+    model = language.train(docs(spark, given), sample_rows=300)
+    assert len(model.labels) == 151
+
+
 def test_prediction_depends_on_the_text_only(spark):
     given = rows(120)
     model = language.train(docs(spark, given))
