@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -63,6 +63,7 @@ def fit_2sls(panel: DataFrame, edges: DataFrame, covariates: Sequence[str] = ())
         structural = named.agg(F.sum(against * against)).first()[0]
         grown = math.sqrt(structural / fit.sse)
         fit.std_errors = {c: e * grown for c, e in fit.std_errors.items()}
+        fit.intercept_error *= grown
     return fit, rows.drop("actual_lag")
 
 
@@ -100,14 +101,16 @@ def parameters(spark: SparkSession, fit: Fit, covariates: Sequence[str] = ()) ->
     return spark.createDataFrame(rows, PARAMETER_SCHEMA)
 
 
-def standard_errors(spark: SparkSession, fit: Fit, covariates: Sequence[str] = ()) -> DataFrame:
-    """Classical standard errors and t statistics; empty when the design is rank deficient."""
-    named = [(PARAMETER_OF[c], 0, c) for c in PARAMETER_OF if c in fit.std_errors]
-    named += [("gamma", n, c) for n, c in enumerate(covariates) if c in fit.std_errors]
-    rows = [
-        (name, idx, fit.std_errors[c], fit.coefficients[c] / fit.std_errors[c] if fit.std_errors[c] else None)
-        for name, idx, c in named
-    ]
+def standard_errors(
+    spark: SparkSession, fit: Fit, covariates: Sequence[str] = (), errors: Mapping[str, float | None] | None = None
+) -> DataFrame:
+    """Standard errors and t statistics of all parameters: classical ones (no row when the design is rank deficient), or ``errors`` by
+    column name, as ``clustered_errors`` and ``near_errors`` give them."""
+    if errors is None:
+        errors = {"(intercept)": fit.intercept_error, **fit.std_errors} if fit.std_errors else {}
+    named = [("beta_0", 0, "(intercept)"), *((PARAMETER_OF[c], 0, c) for c in PARAMETER_OF), *(("gamma", n, c) for n, c in enumerate(covariates))]
+    values = {"(intercept)": fit.intercept, **fit.coefficients}
+    rows = [(name, idx, errors[c], values[c] / errors[c] if errors[c] else None) for name, idx, c in named if c in errors]
     return spark.createDataFrame(rows, "param string, idx int, std_error double, t_stat double")
 
 

@@ -19,17 +19,11 @@ from panelweave.functions.hashing import uniform
 from panelweave.functions.heads import head
 from panelweave.functions.scalars import total
 from panelweave.operators.ordered import is_calendar, over_neighbourhood, tail
-from panelweave.operators.regression import complete_rows, cross_products, minimum_norm, number, summed_products
+from panelweave.operators.regression import complete_rows, cross_products, minimum_norm
+from panelweave.operators.robust import absolute_fit, student_fit
 from panelweave.session import wide_partitions
 
 DEFAULT_LAGS = (1, 2, 3, 7)
-NU_RANGE = (2.05, 200.0)
-NU_CHOICES = 9
-NU_TOLERANCE = 1e-3
-#: Passes over all rows after which a fit that has not settled is an error.
-PASSES = 100
-#: Lengths of a step that are tried at once.
-HALVINGS = 8
 PART_SAMPLES = 16
 
 
@@ -96,7 +90,7 @@ def fit(
     covariates: Sequence[str] = (),
     freq: str = "D",
 ) -> Autoregression:
-    """Gaussian by least squares, Laplace by Newton steps on the absolute error, Student-t by EM; all over every row."""
+    """Gaussian by least squares, Laplace by least absolute deviations, Student-t by Newton steps on the likelihood; all over every row."""
     head(distribution)
     lags = tuple(k for k in lags if k <= context_length)
     if not lags:
@@ -112,9 +106,9 @@ def fit(
         beta, intercept, sse = _solution(means, products)
         spread, nu = math.sqrt(max(sse, 0.0) / n), None
         if distribution == "laplace":
-            intercept, beta, spread = _absolute_fit(rows, names, means, products, intercept, beta, n)
+            intercept, beta, spread = absolute_fit(rows, names, means, products, n)
         elif distribution == "student_t":
-            intercept, beta, spread, nu = _student_fit(rows, names, means, intercept, beta, spread, n)
+            intercept, beta, spread, nu = student_fit(rows, names, means, products, beta, float(means[-1]), spread, n)
     finally:
         if repeated:
             rows.unpersist()
@@ -133,74 +127,6 @@ def _solution(means: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, floa
     return beta, float(means[k] - beta @ means[:k]), float(sse)
 
 
-def _residual(names: Sequence[str], intercept: float, beta: np.ndarray) -> str:
-    return "(x - " + " - ".join([number(intercept), *(f"{number(b)} * `{c}`" for c, b in zip(names, beta))]) + ")"
-
-
-def _absolute_fit(rows, names, centre, products, intercept, beta, n):
-    """Location that minimises Σ|r|, and its mean |r|, over all rows from the least-squares start.
-
-    A pass sums the signs of the residuals against the regressors and counts residuals near
-    zero. Their density there gives the curvature of Σ|r|, so the step is a Newton step on the
-    cross products already known. A second pass tries the step and its halves at once.
-    """
-    k = len(names)
-    _, inverse, _ = minimum_norm(products[:k, :k], products[:k, k])
-    found, width = np.array([intercept, *beta]), math.sqrt(max(products[k, k], 0.0) / n) * 0.2 or 1e-6
-    for _ in range(PASSES):
-        row = (
-            rows.selectExpr(*(f"`{c}`" for c in names), f"{_residual(names, found[0], found[1:])} AS _r")
-            .agg(
-                F.expr("avg(abs(_r)) AS reached"),
-                F.expr(f"count_if(abs(_r) < {number(width)}) AS near"),
-                F.expr("sum(signum(_r)) AS g"),
-                *(F.expr(f"sum(signum(_r) * (`{c}` - {number(m)})) AS g{j}") for j, (c, m) in enumerate(zip(names, centre))),
-            )
-            .first()
-        )
-        best = row["reached"]
-        density = max(row["near"], 1) / (2 * width * n)
-        slopes = inverse @ np.array([row[f"g{j}"] for j in range(k)]) / (2 * density)
-        step = np.array([row["g"] / n / (2 * density) - slopes @ centre[:k], *slopes])
-        tried = [found + step / 2**h for h in range(HALVINGS)]
-        errors = rows.agg(*(F.expr(f"avg(abs({_residual(names, t[0], t[1:])})) AS t{h}") for h, t in enumerate(tried))).first()
-        at = int(np.argmin(errors))
-        if best - errors[at] < 1e-7 * best:
-            return float(found[0]), found[1:], best or 1e-6
-        # the better the fit, the closer to zero the density is taken
-        found, width = tried[at], max(errors[at] * 0.2 / 2**min(at, 4), 1e-9)
-    raise ValueError(f"the Laplace fit did not converge in {PASSES} passes")
-
-
-def _student_fit(rows, names, centre, intercept, beta, spread, n):
-    """Location, spread and degrees of freedom of the highest likelihood, over all rows.
-
-    Parameter-expanded EM (the weighted squares are divided by the sum of weights, which converges much faster
-    than dividing by n). In the same pass the likelihood is taken at a few degrees of freedom around the
-    present one, which move to the best; their span narrows while the best lies inside.
-    """
-    start, width, nu, span = np.array([intercept, *beta]), spread or 1e-6, 8.0, 4.0
-    for _ in range(PASSES):
-        squared = f"pow({_residual(names, start[0], start[1:])} / {number(width)}, 2D)"
-        choices = np.clip(nu * span ** np.linspace(-1, 1, NU_CHOICES), *NU_RANGE)
-        logs = [f"avg(ln(1D + {squared} / {number(g)}))" for g in choices]
-        weight = f"{number(nu + 1)} / ({number(nu)} + {squared})"
-        total_weight, means, products, logs = summed_products(rows, [*names, "x"], centre, weight, logs)
-        beta, intercept, sse = _solution(means, products)
-        new, new_width = np.array([intercept, *beta]), math.sqrt(max(sse, 0.0) / total_weight) or 1e-6
-        losses = [
-            math.lgamma(g / 2) - math.lgamma((g + 1) / 2) + 0.5 * math.log(g * math.pi) + (g + 1) / 2 * log for g, log in zip(choices, logs)
-        ]
-        at = int(np.argmin(losses))
-        inside = 0 < at < NU_CHOICES - 1 or choices[at] in NU_RANGE
-        moved = max(np.abs(new - start).max(), abs(new_width - width), abs(math.log(choices[at] / nu)))
-        start, width, nu = new, new_width, float(choices[at])
-        if inside and moved < NU_TOLERANCE and span <= 1.0 + NU_TOLERANCE:
-            return float(start[0]), start[1:], width, nu
-        span = max(1.0 + NU_TOLERANCE, span**0.4) if inside else min(4.0, span**1.5)
-    raise ValueError(f"the Student-t fit did not converge in {PASSES} passes")
-
-
 def loss(df: DataFrame, model: Autoregression, scales: DataFrame, column: str = "y", freq: str = "D") -> DataFrame:
     """Mean negative log-likelihood of the observed values given their past, in original units."""
     rows = lag_rows(df, scales, model.lags, column, model.covariates, freq)

@@ -31,6 +31,7 @@ class Fit:
     sse: float
     sst: float
     std_errors: dict[str, float] = field(default_factory=dict)
+    intercept_error: float | None = None
 
     @property
     def r_squared(self) -> float | None:
@@ -134,10 +135,11 @@ def solve(n: float, means: np.ndarray, products: np.ndarray, xs: Sequence[str])
     beta, inverse, rank = minimum_norm(gram, moment)
     sse = max(float(sst - 2 * beta @ moment + beta @ gram @ beta), 0.0)
     freedom = n - rank - 1
-    errors = {}
+    errors, level = {}, None
     if freedom > 0 and rank == k:
         errors = {c: float(np.sqrt(sse / freedom * inverse[a, a])) for a, c in enumerate(xs)}
-    return Fit(float(means[k] - beta @ means[:k]), dict(zip(xs, map(float, beta))), int(n), sse, sst, errors)
+        level = float(np.sqrt(sse / freedom * (1.0 / n + means[:k] @ inverse @ means[:k])))
+    return Fit(float(means[k] - beta @ means[:k]), dict(zip(xs, map(float, beta))), int(n), sse, sst, errors, level)
 
 
 def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:

@@ -12,7 +12,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.functions.heads import HEADS, head
-from panelweave.operators import did, forecast, metrics, missing, panel as panels, scaling, weights, windows
+from panelweave.operators import did, forecast, metrics, missing, panel as panels, sandwich, scaling, weights, windows
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
@@ -508,11 +508,27 @@ def interpretation(spark, d):
     return did.interpretation(did.parameters(spark, fit, ["c2"]))
 
 
+def _supplier_errors(spark, d, errors=None):
+    fit, rows = did.fit_ols(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d), ["c1"])
+    found = did.standard_errors(spark, fit, ["c1"], errors and errors(rows, fit))
+    return found.select("param", "idx", r("std_error"), r("t_stat", 4))
+
+
 @query
 def did_standard_errors(spark, d):
-    fit, _ = did.fit_ols(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d), ["c1"])
-    errors = did.standard_errors(spark, fit, ["c1"]).where(F.col("param").isin("rho", "gamma"))
-    return errors.select("param", "idx", r("std_error"), r("t_stat", 4))
+    return _supplier_errors(spark, d)
+
+
+@query
+def did_clustered_errors(spark, d):
+    return _supplier_errors(spark, d, sandwich.clustered_errors)
+
+
+@query
+def did_near_errors(spark, d):
+    """Residuals of suppliers closer than twice NEAR go together, the less the farther they are apart."""
+    near = weights.kernel_weights(fx.supplier_points(spark, d), ["x", "y"], "linear", 2 * fx.NEAR)
+    return _supplier_errors(spark, d, lambda rows, fit: sandwich.near_errors(rows, fit, near))
 
 
 # --- windows and forecasts ------------------------------------------------------------------------
@@ -637,6 +653,43 @@ def ar_student_fit(spark, d):
     return _ar_table(spark, _ar(spark, d, "student_t", (1, 2, 3))[1])
 
 
+def _fitted_rows(spark, d, distribution):
+    """(model, complete rows with x, lag1…lag3 and the residual in spreads)."""
+    panel, model = _ar(spark, d, distribution, (1, 2, 3))
+    rows = forecast.lag_rows(panel, forecast.region_scale(panel, CONTEXT), model.lags, freq="M").dropna()
+    return model, stage(rows.withColumn("one", F.lit(1.0)).withColumn("z", (F.col("x") - model.location()) / model.spread))
+
+
+@query
+def ar_laplace_optimality(spark, d):
+    """Per regressor: the signs of the residuals balance, as far as rows without residual can settle what is left. That is
+    the condition of least absolute deviations. ``spread`` is balanced by the mean |residual|."""
+    model, rows = _fitted_rows(spark, d, "laplace")
+    flat = F.abs("z") <= 1e-7
+    names = ["one", "lag1", "lag2", "lag3"]
+    parts = [
+        F.struct(
+            F.lit(c).alias("term"),
+            (F.abs(F.sum(F.when(flat, 0.0).otherwise(F.signum("z") * F.col(c)))) <= F.sum(F.when(flat, F.abs(c)).otherwise(0.0)) + 1e-6).alias("balanced"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        for c in names
+    ]
+    parts.append(F.struct(F.lit("spread").alias("term"), (F.abs(F.avg(F.abs("z")) - 1.0) < 1e-7).alias("balanced"), F.count(F.lit(1)).alias("n")))
+    return rows.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
+@query
+def ar_student_scores(spark, d):
+    """Slopes of the mean log-likelihood at the fitted parameters; all are zero at its maximum, or lead out of the range of ν."""
+    model, rows = _fitted_rows(spark, d, "student_t")
+    nu = model.nu
+    w = (nu + 1) / (nu + F.col("z") * F.col("z"))
+    parts = [F.struct(F.lit(c).alias("term"), F.avg(w * F.col("z") * F.col(c)).alias("score"), F.count(F.lit(1)).alias("n")) for c in ("one", "lag1", "lag2", "lag3")]
+    parts.append(F.struct(F.lit("spread").alias("term"), F.avg(w * F.col("z") * F.col("z") - 1.0).alias("score"), F.count(F.lit(1)).alias("n")))
+    return rows.agg(F.array(*parts).alias("parts")).select(F.inline("parts")).select("term", r("score", 5), "n")
+
+
 @query
 def ar_loss(spark, d):
     panel, model = _ar(spark, d)
@@ -664,6 +717,28 @@ def forecast_paths_student(spark, d):
     return shown(_paths(spark, d, "student_t", (1, 2, 3))[1], ["value"], 4, ("region", "step", "t", "sample_id"))
 
 
+#: Parameters that are stated, so that paths of all heads can be drawn anew elsewhere.
+STATED = {"intercept": 0.2, "phi": 0.6, "spread": 0.25, "nu": 4.0}
+
+
+def _stated_paths(spark, d, distribution):
+    panel = fx.filled(fx.supplier_panel(spark, d))
+    nu = STATED["nu"] if distribution == "student_t" else None
+    model = forecast.Autoregression(distribution, (1,), STATED["intercept"], (STATED["phi"],), STATED["spread"], nu)
+    paths = forecast.sample_paths(panel, model, CONTEXT, AHEAD, SAMPLES, SEED, freq="M", non_negative=True)
+    return shown(paths, ["value"], 4, ("region", "step", "t", "sample_id"))
+
+
+@query
+def stated_paths_laplace(spark, d):
+    return _stated_paths(spark, d, "laplace")
+
+
+@query
+def stated_paths_student(spark, d):
+    return _stated_paths(spark, d, "student_t")
+
+
 def _with_covariate(spark, d):
     """(dates to learn from, whole panel, model of one lag and one covariate)."""
     panel = stage(fx.filled(fx.supplier_panel(spark, d)))

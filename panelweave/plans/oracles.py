@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 from panelweave.functions.heads import student_quantile
-from panelweave.plans.catalogue import AHEAD, CONTEXT, SAMPLES, SEED, model_settings
+from panelweave.plans.catalogue import AHEAD, CONTEXT, SAMPLES, SEED, STATED, model_settings
 from panelweave.plans.fixtures import HORIZON, MEMBERS, NEAR, POST_START
 
 
@@ -147,6 +147,25 @@ def did(rows: str, lag: str | None = "lag", covariate: str | None = None) -> lis
     return [base, demeaned, sums, slopes, means, out + ")"]
 
 
+def errors(select: str, *also: str) -> str:
+    """Every parameter is a weighted sum of the values: the weight ``h`` of each row, its residual ``e``, and errors made of both."""
+    return steps(
+        *SUPPLIER_LAG,
+        *did("sl", "lag", "c1"),
+        """fx AS (SELECT *, yt - rho * xt - gamma * ct AS e FROM (SELECT region, t, treated, post, y - avg(y) OVER k AS yt, lag - avg(lag) OVER k AS xt,
+      c1 - avg(c1) OVER k AS ct, avg(lag) OVER k AS mx, avg(c1) OVER k AS mc, count(*) OVER k AS nc FROM sl WINDOW k AS (PARTITION BY treated, post)), fb)""",
+        """pw AS (SELECT unnest(['beta_0', 'beta_1', 'beta_2', 'delta', 'rho', 'gamma']) AS param, unnest([1, -1, -1, 1, 0, 0]) AS a00,
+      unnest([0, 1, 0, -1, 0, 0]) AS a10, unnest([0, 0, 1, -1, 0, 0]) AS a01, unnest([0, 0, 0, 1, 0, 0]) AS a11, unnest([0, 0, 0, 0, 1, 0]) AS r, unnest([0, 0, 0, 0, 0, 1]) AS g)""",
+        """ca AS (SELECT param, treated, post, any_value(r) AS r, any_value(g) AS g, any_value(CASE WHEN treated = 1 THEN CASE WHEN post = 1 THEN a11 ELSE a10 END
+      WHEN post = 1 THEN a01 ELSE a00 END) AS a, any_value(mx) AS mx, any_value(mc) AS mc FROM fx CROSS JOIN pw GROUP BY ALL)""",
+        "cs AS (SELECT param, any_value(r) - sum(a * mx) AS sx, any_value(g) - sum(a * mc) AS sc FROM ca GROUP BY param)",
+        """hh AS (SELECT param, region, t, e, a / nc + (sx * (cc * xt - xc * ct) + sc * (xx * ct - xc * xt)) / (xx * cc - xc * xc) AS h
+      FROM fx JOIN ca USING (treated, post) JOIN cs USING (param), fs)""",
+        *also,
+        f"""SELECT param, CAST(0 AS INTEGER) AS idx, {r('e', 6, 'std_error')}, {r('value / e', 4, 't_stat')} FROM ({select}) JOIN pa USING (param)""",
+    )
+
+
 def value_of(name: str) -> str:
     return f"(SELECT value FROM pa WHERE param = '{name}')"
 
@@ -356,6 +375,8 @@ FIRST_ORDER = [
     "m1 AS (SELECT phi, c, (SELECT sqrt(avg((x - c - phi * l1) * (x - c - phi * l1))) FROM ar WHERE l1 IS NOT NULL) AS sigma FROM a1)",
 ]
 AR1 = [*SCALED, *FIRST_ORDER]
+# rows with a value and three lags
+COMPLETE = ["cn AS (SELECT sum(greatest(n - 3, 0))::BIGINT AS n FROM (SELECT region, count(*) AS n FROM sd GROUP BY region))"]
 # the whole model on the dates before the test dates: two-stage fit, adjusted and spilled series, autoregression
 MODEL = [
     *SUPPLIER_DENSE,
@@ -389,6 +410,17 @@ COVARIATE = [
 ]
 
 
+def stated(noise: str) -> str:
+    """Paths of stated parameters; ``noise`` is a unit draw from the uniforms u and v."""
+    parts = [*SCALED, *draws()[:1]]
+    for s in range(1, AHEAD + 1):
+        u, v = uniform("region", "sample_id", str(s), "'u'"), uniform("region", "sample_id", str(s), "'v'")
+        parts.append(f"u{s} AS (SELECT *, {u} AS u, {v} AS v FROM p{s - 1})")
+        step = f"{STATED['intercept']!r} + {STATED['phi']!r} * x{s - 1} + {STATED['spread']!r} * ({noise}) AS x{s}"
+        parts.append(f"p{s} AS (SELECT * EXCLUDE (u, v), {step} FROM u{s})")
+    return steps(*parts, _path_rows(value="greatest(0, x{} * scale)"))
+
+
 def draws(covariate: str | None = None) -> list[str]:
     parts = [
         f"""p0 AS (SELECT region, sample_id, t AS last, scale, x AS x0 FROM ar
@@ -405,10 +437,10 @@ def draws(covariate: str | None = None) -> list[str]:
     return parts
 
 
-def _path_rows(rounded: bool = True) -> str:
+def _path_rows(rounded: bool = True, value: str = "x{} * scale") -> str:
     return " UNION ALL ".join(
         f"""SELECT region, CAST({s} AS INTEGER) AS step, CAST(CAST(last + INTERVAL {s} MONTH AS DATE) AS VARCHAR) AS t, CAST(sample_id AS INTEGER) AS sample_id,
-      {r(f'x{s} * scale', 4, 'value') if rounded else f'x{s} * scale AS value'} FROM p{AHEAD}"""
+      {r(value.format(s), 4, 'value') if rounded else f'{value.format(s)} AS value'} FROM p{AHEAD}"""
         for s in range(1, AHEAD + 1)
     )
 
@@ -687,13 +719,15 @@ def oracle_sql() -> dict[str, str]:
               WHEN value > 0 THEN 'Positive effect - higher values increase cases' ELSE 'Negative effect - higher values decrease cases' END AS meaning
             FROM pa WHERE param IN ('delta', 'rho', 'gamma')""",
         ),
-        "did_standard_errors": steps(
-            *SUPPLIER_LAG,
-            *did("sl", "lag", "c1"),
-            """se2 AS (SELECT xx, xc, cc, rho, gamma, (SELECT sum(power(yt - rho * xt - gamma * ct, 2)) / (count(*) - 6) FROM fw) AS v FROM fs, fb)""",
-            f"""SELECT param, CAST(idx AS INTEGER) AS idx, {r('e', 6, 'std_error')}, {r('b / e', 4, 't_stat')} FROM (
-            SELECT 'rho' AS param, 0 AS idx, rho AS b, sqrt(v * cc / (xx * cc - xc * xc)) AS e FROM se2 UNION ALL
-            SELECT 'gamma', 0, gamma, sqrt(v * xx / (xx * cc - xc * xc)) FROM se2)""",
+        "did_standard_errors": errors("SELECT param, sqrt(sum(h * h) * any_value(v)) AS e FROM hh CROSS JOIN (SELECT sum(e * e) / (count(*) - 6) AS v FROM fx) GROUP BY param"),
+        "did_clustered_errors": errors(
+            """SELECT param, sqrt(sum(s * s) * any_value(f)) AS e FROM (SELECT param, region, sum(h * e) AS s FROM hh GROUP BY ALL)
+            CROSS JOIN (SELECT count(DISTINCT region) / (count(DISTINCT region) - 1.0) * (count(*) - 1) / (count(*) - 6) AS f FROM fx) GROUP BY param"""
+        ),
+        "did_near_errors": errors(
+            f"""SELECT param, sqrt(sum(s)) AS e FROM (SELECT param, h * e * h * e AS s FROM hh UNION ALL SELECT a.param, a.h * a.e * b.h * b.e * (1 - d / {2 * NEAR})
+            FROM np2 JOIN hh a ON a.region = np2.i JOIN hh b ON b.region = np2.j AND b.t = a.t AND b.param = a.param) GROUP BY param""",
+            SUPPLIERS, pairs("pr", "sup"), f"np2 AS (SELECT * FROM pr WHERE d < {2 * NEAR})",
         ),
         "train_windows": steps(*USER_DENSE, *training("ud", _P, _A), f"SELECT region, CAST(t AS VARCHAR) AS forecast_start, {window_columns} FROM tk"),
         "train_windows_sampled": steps(
@@ -751,6 +785,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT param, CAST(idx AS INTEGER) AS idx, {r('value')} FROM (SELECT 'intercept' AS param, 0 AS idx, c AS value FROM c2 UNION ALL SELECT 'phi', 1, p1 FROM c2
             UNION ALL SELECT 'phi', 2, p2 FROM c2 UNION ALL SELECT 'spread', 0, sqrt(avg((x - c - p1 * l1 - p2 * l2) * (x - c - p1 * l1 - p2 * l2))) FROM ar, c2 WHERE l2 IS NOT NULL)""",
         ),
+        "ar_laplace_optimality": steps(*SCALED, *COMPLETE, "SELECT unnest(['one', 'lag1', 'lag2', 'lag3', 'spread']) AS term, true AS balanced, n FROM cn"),
+        "ar_student_scores": steps(*SCALED, *COMPLETE, "SELECT unnest(['one', 'lag1', 'lag2', 'lag3', 'spread']) AS term, 0e0 AS score, n FROM cn"),
+        "stated_paths_laplace": stated("CASE WHEN u < 0.5e0 THEN ln(2e0 * u) ELSE -ln(2e0 * (1e0 - u)) END"),
+        "stated_paths_student": stated(f"sqrt({STATED['nu']!r} * (power(u, -2e0 / {STATED['nu']!r}) - 1e0)) * cos(2e0 * {math.pi!r} * v)"),
         "ar_loss": steps(
             *AR1,
             f"""SELECT {r(f'avg({0.5 * math.log(2 * math.pi)!r} + ln(sigma * scale) + (x - c - phi * l1) * (x - c - phi * l1) / (2 * sigma * sigma))', 6, 'nll')},

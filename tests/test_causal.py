@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from panelweave import SpatialDiD
-from panelweave.operators import did, panel as panels, regression
+from panelweave.operators import did, panel as panels, regression, sandwich
 from panelweave.plans.catalogue import QUERIES
 
 RHO, DELTA, GAMMA = 0.4, -1.5, 0.8
@@ -207,3 +207,43 @@ def test_known_values_of_the_nation_panel(spark):
     two = {r["param"]: r["value"] for r in QUERIES["did_spatial_2sls"](spark, folder).collect()}
     assert ols["rho"] == pytest.approx(0.211688480260, abs=1e-6) and ols["delta"] == pytest.approx(-0.017080082928, abs=1e-6)
     assert two["rho"] == pytest.approx(-2.948329765592, abs=1e-6) and two["delta"] == pytest.approx(-0.021666666667, abs=1e-6)
+
+
+def dense_sandwich(x, e, together):
+    scores = x * e[:, None]
+    a = np.linalg.inv(x.T @ x)
+    return np.sqrt(np.diag(a @ scores.T @ together @ scores @ a))
+
+
+def test_clustered_and_near_errors_match_dense_sandwiches(spark):
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.5)
+    fit, rows = did.fit_ols(rows_of(df, dimension), edges, ["c1"])
+    x = dense_design(treated, post, c, s @ y)
+    e = y.reshape(-1) - x @ np.linalg.lstsq(x, y.reshape(-1), rcond=None)[0]
+    n, steps = c.shape
+    own, date = np.repeat(np.arange(n), steps), np.tile(np.arange(steps), n)
+    names = ["(intercept)", "treated", "post", "treated_post", "c1", "lag"]
+    factor = np.sqrt(n / (n - 1) * (n * steps - 1) / (n * steps - 6))
+    got = sandwich.clustered_errors(rows, fit)
+    np.testing.assert_allclose([got[k] for k in names], factor * dense_sandwich(x, e, (own[:, None] == own) * 1.0), rtol=1e-7)
+    near = [(i, j, 0.5) for i in range(n) for j in range(n) if abs(i - j) == 1]
+    kernel = np.eye(n)
+    for i, j, w in near:
+        kernel[i, j] = w
+    got = sandwich.near_errors(rows, fit, spark.createDataFrame(near, "i bigint, j bigint, w double"))
+    np.testing.assert_allclose([got[k] for k in names], dense_sandwich(x, e, kernel[own][:, own] * (date[:, None] == date)), rtol=1e-7)
+    alone = sandwich.near_errors(rows, fit, spark.createDataFrame([], "i bigint, j bigint, w double"))
+    np.testing.assert_allclose([alone[k] for k in names], dense_sandwich(x, e, np.eye(len(e))), rtol=1e-7)
+    table = by_key(did.standard_errors(spark, fit, ["c1"], got), "param")
+    assert set(table) == {(p,) for p in ("beta_0", "beta_1", "beta_2", "delta", "rho", "gamma")}
+    assert table[("delta",)]["t_stat"] == pytest.approx(fit.coefficients["treated_post"] / got["treated_post"])
+    with pytest.raises(ValueError, match="two clusters"):
+        sandwich.clustered_errors(rows.where("region = 0"), regression.least_squares(rows.where("region = 0"), "y", ["c1", "lag"]))
+
+
+def test_classical_error_of_the_intercept(spark):
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.5)
+    fit, _ = did.fit_ols(rows_of(df, dimension), edges, ["c1"])
+    x = dense_design(treated, post, c, s @ y)
+    e = y.reshape(-1) - x @ np.linalg.lstsq(x, y.reshape(-1), rcond=None)[0]
+    assert fit.intercept_error == pytest.approx(np.sqrt(np.linalg.inv(x.T @ x)[0, 0] * (e @ e) / (len(e) - 6)))
