@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.panel import design_rows
 from panelweave.operators.regression import Fit, complete_rows, least_squares, with_fit
+from panelweave.operators.spatial_models import maximum_likelihood, two_stage_lags
 from panelweave.session import stage
 
+#: Methods of ``fit_spatial_did``.
+METHODS = ("2sls", "ols", "2sls_lags", "ml")
+
 PARAMETER_SCHEMA = "param string, idx int, value double"
 
 # What each estimated parameter is called and the regressor it belongs to.
@@ -85,11 +89,17 @@ def project_on_weights(lagged: DataFrame) -> DataFrame:
 def fit_spatial_did(
     panel: DataFrame, edges: DataFrame, covariates: Sequence[str] = (), method: str = "2sls"
 ) -> tuple[Fit, DataFrame]:
-    """Fit and its design rows. Parameters follow column names, never positions."""
+    """Fit and its design rows. Parameters follow column names, never positions.
+
+    ``2sls`` takes the weights themselves as instruments, ``2sls_lags`` lagged covariates; ``ml`` is maximum likelihood.
+    """
     if method == "2sls":
         return fit_2sls(panel, edges, covariates)
     if method == "ols":
         return fit_ols(panel, edges, covariates)
+    if method in ("2sls_lags", "ml"):
+        found = two_stage_lags if method == "2sls_lags" else maximum_likelihood
+        return found(panel, edges, covariates, regressors(panel, covariates, None))
     raise ValueError(f"unsupported method {method!r}")
 
 

@@ -12,7 +12,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.functions.heads import HEADS, head
-from panelweave.operators import did, forecast, metrics, missing, panel as panels, sandwich, scaling, weights, windows
+from panelweave.operators import did, forecast, metrics, missing, panel as panels, sandwich, scaling, spatial_models, weights, windows
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
@@ -508,6 +508,33 @@ def interpretation(spark, d):
     return did.interpretation(did.parameters(spark, fit, ["c2"]))
 
 
+@query
+def did_2sls_lags(spark, d):
+    fit, _ = did.fit_spatial_did(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d), ["c1"], "2sls_lags")
+    return _tidy_fit(spark, fit, ["c1"])
+
+
+@query
+def did_ml_likelihood(spark, d):
+    """Log-likelihood of the nation panel at fixed ρ, and its squared error left."""
+    rows, edges = fx.nation_rows(spark, d), fx.nation_edges(spark, d)
+    shape, _ = spatial_models.likelihood(rows, edges, [], did.regressors(rows, [], None))
+    found = [(rho, shape.at(rho), shape.coefficients(rho)[1]) for rho in (-0.5, 0.0, 0.3, 0.6)]
+    return spark.createDataFrame(found, "rho double, likelihood double, sse double").select("rho", r("likelihood", 4), r("sse", 4))
+
+
+@query
+def did_ml_optimum(spark, d):
+    """The likelihood falls to both sides of the fitted ρ, which lies where its slope is zero."""
+    rows, edges = fx.nation_rows(spark, d), fx.nation_edges(spark, d)
+    names = did.regressors(rows, [], None)
+    shape, _ = spatial_models.likelihood(rows, edges, [], names)
+    fit, _ = did.fit_spatial_did(rows, edges, [], "ml")
+    rho = fit.coefficients["lag"]
+    found = [(s, shape.at(rho + s * 1e-3) < shape.at(rho), fit.n) for s in (-1, 1)]
+    return spark.createDataFrame(found, "side int, lower boolean, n bigint")
+
+
 def _supplier_errors(spark, d, errors=None):
     fit, rows = did.fit_ols(fx.supplier_rows(spark, d), fx.supplier_edges(spark, d), ["c1"])
     found = did.standard_errors(spark, fit, ["c1"], errors and errors(rows, fit))

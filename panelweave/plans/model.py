@@ -163,7 +163,7 @@ class ModelConfig:
 
     def __post_init__(self):
         head(self.distribution)
-        if self.causal_method not in ("2sls", "ols"):
+        if self.causal_method not in did.METHODS:
             raise ValueError(f"unsupported method {self.causal_method!r}")
         self.lags, self.covariates = tuple(self.lags), tuple(self.covariates)
         self.forecast_covariates = tuple(self.forecast_covariates)

@@ -693,6 +693,31 @@ def oracle_sql() -> dict[str, str]:
         "did_spatial_2sls_supplier": steps(
             *SUPPLIER_LAG, "n2 AS (SELECT *, avg(lag) OVER (PARTITION BY region) AS projected FROM sl)", *did("n2", "projected"), TIDY
         ),
+        "did_2sls_lags": steps(
+            *SUPPLIER_ROWS, *SUPPLIER_EDGES, lagged("w1", "sr", "se", "c1", "wc"), lagged("w2", "w1", "se", "wc", "wwc"), lagged("w3", "w2", "se"),
+            "fw0 AS (SELECT treated, post, y, lag AS x, c1 AS c, wc, wwc FROM w3)",
+            """d0 AS (SELECT y - avg(y) OVER k AS y, x - avg(x) OVER k AS l, c - avg(c) OVER k AS c, wc - avg(wc) OVER k AS a, wwc - avg(wwc) OVER k AS b
+            FROM fw0 WINDOW k AS (PARTITION BY treated, post))""",
+            "s0 AS (SELECT sum(c*c) AS cc, sum(c*a) / sum(c*c) AS ca, sum(c*b) / sum(c*c) AS cb, sum(c*l) / sum(c*c) AS cl, sum(c*y) / sum(c*c) AS cy FROM d0)",
+            "d1 AS (SELECT a - ca*c AS a, b - cb*c AS b, l - cl*c AS l, y - cy*c AS y FROM d0, s0)",
+            "s1 AS (SELECT sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*l) AS al, sum(b*l) AS bl, sum(a*y) AS ay, sum(b*y) AS gy FROM d1)",
+            "pq AS (SELECT *, (bb*al - ab*bl) / (aa*bb - ab*ab) AS p, (aa*bl - ab*al) / (aa*bb - ab*ab) AS q FROM s1)",
+            "rh AS (SELECT (p*ay + q*gy) / (p*p*aa + 2*p*q*ab + q*q*bb) AS rho FROM pq)",
+            "fb AS (SELECT rho, cy - rho * cl AS gamma FROM rh, s0)",
+            *did("w3", "lag", "c1")[4:], TIDY,
+        ),
+        "did_ml_likelihood": steps(
+            *NATION_LAG,
+            "dm AS (SELECT y - avg(y) OVER k AS y, lag - avg(lag) OVER k AS l FROM nl WINDOW k AS (PARTITION BY treated, post))",
+            "rr AS (SELECT unnest([-0.5e0, 0e0, 0.3e0, 0.6e0]) AS rho)",
+            "er AS (SELECT rho, sum((y - rho * l) * (y - rho * l)) AS sse, count(*) AS n FROM dm, rr GROUP BY rho)",
+            # eigenvalues of a block of m nations that all touch: 1, and m - 1 times -1 / (m - 1)
+            """de AS (SELECT rho, sum(CASE WHEN m > 1 THEN ln(1 - rho) + (m - 1) * ln(1 + rho / (m - 1)) ELSE 0 END) AS d
+            FROM (SELECT n_regionkey, count(*) AS m FROM nation WHERE n_nationkey IN (SELECT region FROM nd) GROUP BY 1), rr GROUP BY rho)""",
+            f"""SELECT rho, {r(f'(SELECT count(DISTINCT t) FROM nl) * d - n / 2e0 * (ln({2 * math.pi!r} * sse / n) + 1)', 4, 'likelihood')}, {r('sse', 4)}
+            FROM er JOIN de USING (rho)""",
+        ),
+        "did_ml_optimum": steps(*NATION_DENSE, "SELECT CAST(unnest([-1, 1]) AS INTEGER) AS side, true AS lower, (SELECT count(*) FROM nd) AS n"),
         "did_spatial_cov1": steps(*NATION_LAG, *did("nl", "lag", "c2"), TIDY),
         "did_fitted": steps(*SUPPLIER_LAG, *did("sl"), fitted("sl"), f"{UP}, {rs('y fitted', 5)}, {r('y - fitted', 5, 'residual')} FROM ft"),
         "did_r_squared": steps(

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from panelweave import SpatialDiD
-from panelweave.operators import did, panel as panels, regression, sandwich
+from panelweave.operators import did, panel as panels, regression, sandwich, spatial_models
 from panelweave.plans.catalogue import QUERIES
 
 RHO, DELTA, GAMMA = 0.4, -1.5, 0.8
@@ -247,3 +247,56 @@ def test_classical_error_of_the_intercept(spark):
     x = dense_design(treated, post, c, s @ y)
     e = y.reshape(-1) - x @ np.linalg.lstsq(x, y.reshape(-1), rcond=None)[0]
     assert fit.intercept_error == pytest.approx(np.sqrt(np.linalg.inv(x.T @ x)[0, 0] * (e @ e) / (len(e) - 6)))
+
+
+def test_lagged_covariates_as_instruments(spark):
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.3)
+    fit, rows = did.fit_spatial_did(rows_of(df, dimension), edges, ["c1"], "2sls_lags")
+    x = dense_design(treated, post, c, s @ y)
+    h = np.column_stack([x[:, :5], (s @ c).reshape(-1), (s @ s @ c).reshape(-1)])
+    projected = h @ np.linalg.lstsq(h, x, rcond=None)[0]
+    b = np.linalg.solve(projected.T @ x, projected.T @ y.reshape(-1))
+    names = ("treated", "post", "treated_post", "c1", "lag")
+    np.testing.assert_allclose([fit.intercept, *(fit.coefficients[k] for k in names)], b, atol=1e-7)
+    assert fit.coefficients["lag"] == pytest.approx(RHO, abs=0.1)
+    e = y.reshape(-1) - x @ b
+    expected = np.sqrt(np.diag(np.linalg.inv(projected.T @ projected)) * (e @ e) / (len(e) - 6))
+    np.testing.assert_allclose([fit.intercept_error, *(fit.std_errors[k] for k in names)], expected, rtol=1e-6)
+    assert did.fitted_cells(rows, fit).count() == 480
+    with pytest.raises(ValueError, match="at least one"):
+        did.fit_spatial_did(rows_of(df, dimension), edges, [], "2sls_lags")
+    with pytest.raises(ValueError, match="identify"):
+        did.fit_spatial_did(rows_of(df, dimension), edges.where("i < 0"), ["c1"], "2sls_lags")
+
+
+def test_maximum_likelihood_matches_the_dense_one(spark):
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.5)
+    panel_rows = rows_of(df, dimension)
+    fit, _ = did.fit_spatial_did(panel_rows, edges, ["c1"], "ml")
+    x = dense_design(treated, post, c, s @ y)
+    z, l, v = x[:, :5], x[:, 5], y.reshape(-1)
+
+    def value(rho):
+        b = np.linalg.lstsq(z, v - rho * l, rcond=None)[0]
+        sse = ((v - rho * l - z @ b) ** 2).sum()
+        return 40 * np.linalg.slogdet(np.eye(12) - rho * s)[1] - 240 * (np.log(2 * np.pi * sse / 480) + 1), b
+
+    rho = fit.coefficients["lag"]
+    assert all(value(rho)[0] > value(rho + d)[0] for d in (-1e-4, 1e-4)) and rho == pytest.approx(RHO, abs=0.1)
+    np.testing.assert_allclose([fit.intercept, *(fit.coefficients[k] for k in ("treated", "post", "treated_post", "c1"))], value(rho)[1], atol=1e-7)
+    shape, _ = spatial_models.likelihood(panel_rows, edges, ["c1"], did.regressors(panel_rows, ["c1"], None))
+    assert shape.at(0.2) == pytest.approx(value(0.2)[0])
+    # spread of the estimate over repeated worlds is what the curvature says
+    found = [did.fit_spatial_did(rows_of(*(lambda w: (w[0], w[2]))(world(spark, noise=0.5, seed=k))), edges, ["c1"], "ml")[0].coefficients["lag"] for k in range(6)]
+    assert 0.2 * fit.std_errors["lag"] < np.std(found) < 3 * fit.std_errors["lag"]
+
+
+def test_determinant_from_traces(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, j % n, w) for i in range(n) for j, w in ((i + 1, 0.6), (i + 7, 0.3), (i + n - 1, 0.1))], "i bigint, j bigint, w double")
+    regions = spark.range(n).withColumnRenamed("id", "region")
+    exact = spatial_models.log_determinant(regions, edges)
+    traced = spatial_models.log_determinant(regions, edges, exact_regions=10, powers=12, probes=24)
+    for rho in (-0.4, 0.3, 0.5):
+        value, error = traced.at(rho)
+        assert exact.at(rho)[1] == 0 < error and abs(value - exact.at(rho)[0]) < 4 * error
