@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.functions.heads import HEADS, head
 from panelweave.operators import did, forecast, metrics, missing, panel as panels, sandwich, scaling, spatial_models, weights, windows
+from panelweave.operators.far_field import kernel_lag
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
@@ -418,6 +419,22 @@ def lag(spark, d):
     return shown(fx.supplier_lagged(spark, d), ["y", "lag"])
 
 
+@query
+def lag_full_kernel(spark, d):
+    """Over all suppliers, weighted by a Gaussian of their distance, rows summing to one."""
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
+    return shown(kernel_lag(panel, fx.supplier_points(spark, d), ["x", "y"], tolerance=1e-12), ["y", "lag"], 4)
+
+
+@query
+def lag_full_kernel_sums(spark, d):
+    """Not normalised, with a bandwidth of its own, over users; a gap of another user makes a lag unknown."""
+    panel = fx.dense(fx.user_panel(spark, d))
+    points = panels.regions_of(panel).select("region", (F.col("region") % 37).alias("x"), (F.col("region") % 11).alias("y"))
+    known = panel.withColumn("y", F.when(F.dayofmonth("t") > 2, F.coalesce("y", F.lit(0.0))).otherwise(F.col("y")))
+    return shown(kernel_lag(known, points, ["x", "y"], 6.0, tolerance=1e-12, normalise=False), ["lag"], 4)
+
+
 @query
 def lag_isolated(spark, d):
     """Half of the suppliers have no neighbour; gaps of a neighbour make a lag unknown."""

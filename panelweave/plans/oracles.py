@@ -679,6 +679,21 @@ def oracle_sql() -> dict[str, str]:
             {r('coalesce((SELECT sum(w) FROM bn WHERE j = region), 0)', 6, 'col_sum')} FROM cus""",
         ),
         "lag": steps(*SUPPLIER_LAG, f"{UP}, {rs('y lag')} FROM sl"),
+        "lag_full_kernel": steps(
+            *SUPPLIER_DENSE, SUPPLIERS, pairs("pr", "sup"),
+            "bw AS (SELECT median(d) AS h FROM pr WHERE i < j)",
+            "kw AS (SELECT i, j, exp(-d * d / (2 * h * h)) AS w FROM pr, bw)",
+            "ks AS (SELECT i, t, sum(w * y) / sum(w) AS lag FROM kw JOIN sd ON region = j GROUP BY i, t)",
+            f"SELECT sd.region, CAST(sd.t AS VARCHAR) AS t, {rs('y lag', 4)} FROM sd JOIN ks ON i = region AND ks.t = sd.t",
+        ),
+        "lag_full_kernel_sums": steps(
+            *USER_DENSE,
+            "us AS (SELECT DISTINCT region, region % 37 AS x, region % 11 AS y FROM up)",
+            pairs("pr", "us"),
+            "uk AS (SELECT region, t, CASE WHEN day(t) > 2 THEN coalesce(y, 0) ELSE y END AS y FROM ud)",
+            """ks AS (SELECT i, t, CASE WHEN count(y) = count(*) THEN sum(exp(-d * d / 72e0) * y) END AS lag FROM pr JOIN uk ON region = j GROUP BY i, t)""",
+            f"SELECT region, CAST(uk.t AS VARCHAR) AS t, {rs('lag', 4)} FROM uk JOIN ks ON i = region AND ks.t = uk.t",
+        ),
         "lag_isolated": steps(
             *USER_DENSE,
             """ue AS (SELECT a.region AS i, b.region AS j, 1e0 AS w FROM (SELECT DISTINCT region FROM up) a

@@ -6,7 +6,7 @@ from helpers import brute_nearest, brute_within, by_key, day, panel, plan_of, po
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.operators import neighbours, pair_ranks, pivots, weights
+from panelweave.operators import far_field, neighbours, pair_ranks, pivots, weights
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.quantiles import exact_median
 
@@ -274,3 +274,49 @@ def test_kernel_cutoff_with_the_default_bandwidth(spark):
     near = weights.kernel_weights(df, coords, "gaussian", cutoff=0.2)
     assert edge_set(near) == brute_within(xy, 0.2)
     assert same_rows(near, whole.join(near.select("i", "j"), ["i", "j"])) and h == weights.default_bandwidth(df, coords)
+
+
+@pytest.mark.parametrize("dims,h,tolerance", [(2, 0.4, 1e-9), (2, 0.15, 1e-6), (1, 0.3, 1e-12), (3, 0.5, 1e-4), (2, None, 1e-8)])
+def test_kernel_lag_is_within_its_bound(spark, monkeypatch, dims, h, tolerance):
+    """Blocks of a few regions, added up in several rounds."""
+    monkeypatch.setattr(far_field, "BLOCK_REGIONS", 16)
+    monkeypatch.setattr(far_field, "FAN_IN", 3)
+    monkeypatch.setattr(far_field, "GROUP_DATES", 2)
+    rng = np.random.default_rng(dims)
+    n, steps = 150, 5
+    xy, y = rng.random((n, dims)), rng.normal(size=(n, steps))
+    places, coords = points(spark, xy)
+    df = panel(spark, {i: list(y[i]) for i in range(n)})
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    h_used = h or np.median(d[np.triu_indices(n, 1)])
+    w = np.exp(-(d**2) / (2 * h_used**2))
+    np.fill_diagonal(w, 0)
+    for normalise, expected in ((False, w @ y), (True, w @ y / w.sum(axis=1, keepdims=True))):
+        found = by_key(far_field.kernel_lag(df, places, coords, h, tolerance=tolerance, normalise=normalise), "region", "t")
+        got = np.array([[found[(i, day(t))]["lag"] for t in range(steps)] for i in range(n)])
+        allowed = (tolerance * np.abs(y).sum(axis=0) + 1e-12) * (1 if not normalise else 3 / w.sum(axis=1, keepdims=True))
+        assert (np.abs(got - expected) <= allowed).all()
+
+
+def test_kernel_lag_of_gaps_and_odd_regions(spark):
+    xy = RNG.random((6, 2))
+    places, coords = points(spark, xy)
+    values = {i: [1.0 * i, 2.0, 3.0] for i in range(6)}
+    values[2][1] = None
+    values[9] = [5.0, 5.0, 5.0]
+    found = by_key(far_field.kernel_lag(panel(spark, values), places, coords, 0.5, normalise=False), "region", "t")
+    assert len(found) == 21
+    # only the region with the gap knows all others on that day
+    assert [k for k, r in found.items() if r["lag"] is None] == [k for k in found if k[1] == day(1) and k[0] != 2]
+    assert found[(9, day(0))]["lag"] == 0
+    with pytest.raises(ValueError, match="cells"):
+        far_field.kernel_lag(panel(spark, values), places, coords, 1e-3)
+    one = far_field.kernel_lag(panel(spark, {0: [1.0, 2.0]}), places, coords, 0.5)
+    assert [r["lag"] for r in one.collect()] == pytest.approx([0.0, 0.0], abs=1e-9)
+
+
+def test_terms_follow_the_bound():
+    assert far_field.error_bound(12, 0.5, 2) < 1e-7 < far_field.error_bound(8, 0.5, 2)
+    assert far_field._terms(1e-9, 0.5, 2) > far_field._terms(1e-9, 0.2, 2)
+    with pytest.raises(ValueError):
+        far_field._terms(0.0, 0.5, 2)
