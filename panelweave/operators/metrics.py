@@ -23,7 +23,7 @@ STRONG_CORRELATION, WEAK_CORRELATION = "Strong spatial correlation", "Weak spati
 NEGATIVE_EFFECT, POSITIVE_EFFECT, WEAK_EFFECT = "Strong negative effect", "Strong positive effect", "Weak effect"
 STRONG_SPILLOVERS, WEAK_SPILLOVERS = "Strong spatial spillovers", "Weak spatial spillovers"
 COMPLEXITY = ((100, "High"), (50, "Medium"), (-1, "Low"))
-FORECAST_NAMES, CAUSAL_NAMES = "mse|mae|mape", "delta|rho|gamma|treatment|spatial"
+FORECAST_NAMES, CAUSAL_NAMES = "mse|mae|rmse|mape|smape", "delta|rho|gamma|treatment|spatial"
 MSIS_ALPHA = 0.05
 
 

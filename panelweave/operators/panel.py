@@ -125,13 +125,19 @@ def require_unique(df: DataFrame) -> DataFrame:
     return df
 
 
+def absent_regions(panel: DataFrame, dimension: DataFrame) -> DataFrame:
+    """(region, absent_from): regions that only one of the panel and the region dimension names."""
+    have, want = regions_of(panel), regions_of(dimension)
+    return have.join(want, "region", "left_anti").withColumn("absent_from", F.lit("region dimension")).unionByName(
+        want.join(have, "region", "left_anti").withColumn("absent_from", F.lit("panel"))
+    )
+
+
 def require_regions(panel: DataFrame, dimension: DataFrame) -> None:
     """The panel and the region dimension must name the same regions."""
-    have, want = regions_of(panel), regions_of(dimension)
-    for left, right, where in ((have, want, "region dimension"), (want, have, "panel")):
-        missing = left.join(right, "region", "left_anti").take(1)
-        if missing:
-            raise ValueError(f"region {missing[0]['region']!r} is absent from the {where}")
+    missing = absent_regions(panel, dimension).take(1)
+    if missing:
+        raise ValueError(f"region {missing[0]['region']!r} is absent from the {missing[0]['absent_from']}")
 
 
 def densify(df: DataFrame, freq: str = "D", tiles: int | None = None) -> DataFrame:

@@ -18,9 +18,9 @@ from panelweave.operators.lag import spatial_lag
 from panelweave.operators.neighbours import all_pairs
 from panelweave.operators.regression import Fit, r_squared
 from panelweave.plans import fixtures as fx
-from panelweave.plans.model import ModelConfig, PanelProcessor, SpatialCausalForecaster
-from panelweave.session import shared_dir, stage
-from panelweave.sources.readers import long_country_panel, wide_country_panel
+from panelweave.plans.model import ModelConfig, PanelProcessor, PooledForecaster, SpatialCausalForecaster
+from panelweave.session import stage, staging_dir
+from panelweave.sources.readers import load_wide_country_data, long_country_panel, wide_country_panel
 from panelweave.sources.synthetic import synthetic_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,11 +118,30 @@ def design_rows(spark, d):
     return shown(rows, ["y", "one", "treated", "post", "treated_post", "c2", "lag"])
 
 
+def _wide_segments(spark, d):
+    measures = ["new_cases", "reproduction_rate", "stringency_index"]
+    return fx.segment_table(spark, d).groupBy("date").pivot("location", SEGMENTS).agg(*(F.max(m).alias(m) for m in measures))
+
+
+@query
+def wide_country_loaded(spark, d):
+    """A wide file read, its gaps interpolated per region, targets and covariates scaled to 0–1."""
+    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    _wide_segments(spark, d).write.parquet(path)
+    panel, _ = load_wide_country_data(spark, path, [*SEGMENTS, "NOWHERE"], "1996-01-01", "1999-12-31")
+    return shown(panel, ["y", "reproduction_rate", "stringency_index"])
+
+
+@query
+def guard_absent_regions(spark, d):
+    """Suppliers of the panel that a dimension of other keys lacks, and keys of it that the panel lacks."""
+    dimension = fx.supplier_points(spark, d).where("region % 3 > 0").select((F.col("region") + F.when(F.col("region") % 7 == 0, 1_000_000).otherwise(0)).alias("region"))
+    return panels.absent_regions(fx.supplier_panel(spark, d), dimension)
+
+
 @query
 def wide_country_source(spark, d):
-    daily = fx.segment_table(spark, d)
-    measures = ["new_cases", "reproduction_rate", "stringency_index"]
-    wide = daily.groupBy("date").pivot("location", SEGMENTS).agg(*(F.max(m).alias(m) for m in measures))
+    wide = _wide_segments(spark, d)
     panel = wide_country_panel(wide, [*SEGMENTS, "NOWHERE"], "1996-01-01", "1999-12-31")
     return shown(panel, ["y", "reproduction_rate", "stringency_index"], 7)
 
@@ -215,7 +234,7 @@ def separate_covariate_scale(spark, d):
 @query
 def load_pipeline(spark, d):
     """A CSV file read, repaired by interpolation and scaled to 0–1."""
-    path = f"{shared_dir(spark).rstrip('/')}/panelweave/{uuid.uuid4().hex}.csv"
+    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}.csv"
     fx.dense(fx.user_panel(spark, d)).select("region", F.col("t").alias("date"), "y", "c1").write.option("header", True).csv(path)
     processor = PanelProcessor(["y"], ["c1"], "region", scaling_method="minmax", handle_missing="interpolate")
     return shown(processor.load(spark, path, schema="region bigint, date string, y double, c1 double"), ["y", "c1"])
@@ -972,7 +991,7 @@ def end_to_end_laplace(spark, d):
 def model_roundtrip(spark, d):
     """Saved to the shared folder, loaded and saved over itself, loaded again: the same paths."""
     model, train, _ = _model(spark, d)
-    path = f"{shared_dir(spark).rstrip('/')}/panelweave/model-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/model-{uuid.uuid4().hex}"
     model.save(path)
     SpatialCausalForecaster.load(spark, path).save(path)
     paths = SpatialCausalForecaster.load(spark, path).predict(train)
@@ -986,6 +1005,13 @@ def end_to_end_scores(spark, d):
     return _metric_rows(found, 4)
 
 
+@query
+def forecaster_info(spark, d):
+    """Settings of a forecaster that was fitted to the supplier panel."""
+    panel = stage(fx.filled(fx.supplier_panel(spark, d)))
+    return PooledForecaster(_config()).fit(panel).info(spark)
+
+
 @query
 def model_summary(spark, d):
     model, _, _ = _model(spark, d)

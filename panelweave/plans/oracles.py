@@ -528,6 +528,7 @@ def oracle_sql() -> dict[str, str]:
         both = f"list_concat({past}, {ahead})"
         return f"list_slice({both}, {first}, {first} + {_P - 1 + _A} - 1)"
 
+    settings = model_settings()
     sql = {
         "panel_long": steps(NATION, f"{UP}, {rs('y c1 c2', 7)} FROM np WHERE t BETWEEN DATE '1995-06-01' AND DATE '2000-12-01'"),
         "panel_wide_unpivot": f"""SELECT s AS region, CAST(t AS VARCHAR) AS t, {r('count(o_orderstatus)', 6, 'y')} FROM
@@ -543,6 +544,20 @@ def oracle_sql() -> dict[str, str]:
         "design_rows": steps(
             *NATION_LAG, f"{UP}, {r('1', 6, 'one')}, {r('treated * post', 6, 'treated_post')}, {rs('y treated post c2 lag')} FROM nl"
         ),
+        "wide_country_loaded": steps(
+            SEGMENT,
+            dense("sgd", "sg", "y reproduction_rate stringency_index"),
+            "sgw AS (SELECT * FROM sgd WHERE t BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')",
+            interpolation("sgw", "y reproduction_rate stringency_index")[0],
+            f"iu AS ({interpolation('sgw', 'y reproduction_rate stringency_index', 13)[1]})",
+            scaled("iu", ["y", "reproduction_rate stringency_index"], "minmax"),
+        ),
+        "guard_absent_regions": steps(
+            "pa AS (SELECT DISTINCT l_suppkey AS region FROM lineitem)",
+            "di AS (SELECT s_suppkey + CASE WHEN s_suppkey % 7 = 0 THEN 1000000 ELSE 0 END AS region FROM supplier WHERE s_suppkey % 3 > 0)",
+            """SELECT region, 'region dimension' AS absent_from FROM pa ANTI JOIN di USING (region)
+            UNION ALL SELECT region, 'panel' FROM di ANTI JOIN pa USING (region)""",
+        ),
         "wide_country_source": steps(
             SEGMENT,
             dense("sgd", "sg", "y reproduction_rate stringency_index"),
@@ -859,6 +874,19 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'spatial_spillover', CASE WHEN abs(value) > 0.3 THEN 'Strong spatial correlation - neighboring regions significantly influence local outcomes'
               ELSE 'Weak spatial correlation - limited cross-regional influence' END FROM pa WHERE param = 'rho'""",
         ),
+        "forecaster_info": f"""SELECT unnest({[k for k, _ in settings]!r}) AS name, unnest({[v for _, v in settings]!r}) AS setting""",
+        "end_to_end_scores": steps(
+            *MODEL,
+            *draws(),
+            f"ep AS ({_path_rows(False)})",
+            "fc AS (SELECT region, CAST(t AS DATE) AS t, sample_id, value FROM ep)",
+            f"tr AS (SELECT region, t, y FROM sd JOIN dn USING (t) WHERE rn > n - CAST(floor(n * {AHEAD / 80!r}) AS BIGINT))",
+            "hi AS (SELECT region, t, y, row_number() OVER (PARTITION BY region ORDER BY t) AS n FROM sr)",
+            CELLS[-1],
+            ITEMS[-3].replace("a.n - 12", "a.n - 1"),
+            *ITEMS[-2:],
+            rows_out(AGGREGATE_ROWS, 4),
+        ),
         "model_roundtrip": steps(*MODEL, *draws(), _path_rows()),
         "forecast_summary": steps(            *CELLS,
             f"""{UP}, {rs('mean')}, {r('med', 6, 'median')}, {rs('std')}, {r('q10', 6, 'quantile_10')}, {r('q90', 6, 'quantile_90')},

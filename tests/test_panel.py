@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelweave import PanelProcessor
 from panelweave.operators import panel as panels
 from panelweave.sources import readers
-from panelweave.sources.synthetic import synthetic_panel
+from panelweave.sources.synthetic import chained, synthetic_panel
 
 N = None
 
@@ -157,3 +157,31 @@ def test_synthetic_chain_follows_the_definition(spark):
     second = sum(chained[(f"Region_{i}", day(2))]["y"] for i in (1, 2)) / 2
     assert second == pytest.approx(mean[2] + 0.5 * first)
     assert math.isfinite(first)
+
+
+@pytest.mark.parametrize("block", [1, 3, 4, 1000])
+def test_chain_over_blocks_and_gaps(spark, block):
+    rows = [(k, 1.0 + k % 5, 0.5 if k % 7 else -1.5) for k in range(40) if k not in (4, 11, 12, 27)]
+    expected, before = {}, None
+    for k, e, f in rows:
+        expected[k] = e + (f * expected[before] if before == k - 1 else 0.0)
+        before = k
+    if block == 1:
+        block = 2
+    got = {r["k"]: r["m"] for r in chained(spark.createDataFrame(rows, "k bigint, e double, f double"), block).collect()}
+    assert got == pytest.approx(expected)
+
+
+def test_absent_regions(spark):
+    df = panel(spark, {"a": [1], "b": [2]})
+    other = panels.absent_regions(df, spark.createDataFrame([("b",), ("c",), ("c",)], "region string"))
+    assert {tuple(r) for r in other.collect()} == {("a", "region dimension"), ("c", "panel")} and other.count() == 2
+
+
+def test_records_with_covariates_ahead(spark):
+    df = panel(spark, {"a": [(1, 10), (2, 20)], "b": [(3, 30), (None, 40)]}, ("y", "c1"))
+    ahead = spark.createDataFrame([("a", dt.date(2020, 1, 1), 0.0), ("a", dt.date(2020, 1, 3), 30.0), ("a", dt.date(2020, 1, 4), None), ("z", dt.date(2020, 1, 9), 1.0)], "region string, t date, c1 double")
+    got = by_key(panels.series_records(df, ["c1"], future=ahead), "region")
+    assert got[("a",)]["target"] == [1, 2] and got[("a",)]["feat_dynamic_real"] == [[10, 20, 30, None]]
+    assert got[("b",)]["target"] == [3, None] and got[("b",)]["feat_dynamic_real"] == [[30, 40]]
+    assert len(got) == 2

@@ -131,3 +131,18 @@ def test_sampled_windows_are_few_and_repeatable(spark):
     again = windows.training_windows(df.repartition(7), 3, 2, seed=5)
     assert same_rows(once, again)
     assert 30 <= once.count() <= 95
+
+
+def test_windows_with_covariates(spark):
+    df = panel(spark, {"a": [(k, 10 * k) for k in range(1, 6)]}, ("y", "c1"))
+    rows = by_key(windows.training_windows(df, 3, 2, covariates=["c1"]), "forecast_start")
+    assert rows[(day(2),)]["past_c1"] == [0, 0, 10, 20] and rows[(day(2),)]["future_c1"] == [30, 40]
+    ahead = panel(spark, {"a": [(0, 10 * k) for k in range(1, 9)], "b": [(0, 1)]}, ("y", "c1")).drop("y")
+    last = windows.prediction_window(df, 3, 2, covariates=["c1"], future=ahead).first()
+    assert last["past_c1"] == [20, 30, 40, 50] and last["future_c1"] == [60, 70] and last["future"] == []
+    held = windows.prediction_window(df, 3, 2, True, covariates=["c1"]).first()
+    assert held["past_c1"] == [0, 10, 20, 30] and held["future_c1"] == [40, 50]
+    with pytest.raises(ValueError, match="c1"):
+        windows.prediction_window(df, 3, 2, covariates=["c1"])
+    with pytest.raises(Exception, match="too few future rows"):
+        windows.prediction_window(df, 3, 4, covariates=["c1"], future=ahead).collect()
