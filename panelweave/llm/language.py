@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StringType, StructField
 
 from panelweave.llm.common import col, fresh, map_texts
@@ -47,7 +47,7 @@ FEWEST = 50
 LEAST_NEW = 0.25
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 #: Letters only: fractions, raised digits, Roman numerals and the like are none.
 _LETTERS = regex.compile(r"\p{L}+")
@@ -207,8 +207,9 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lab
     if not learned:
         return None
     quota = max(1, sample_rows // len(learned))
-    # the wished share of each label, and a margin so that no label is missed by chance
-    shares = F.create_map(*(F.lit(x) for k, n in learned.items() for x in (k, min(1.0, max(16.0, quota + 3 * quota**0.5) / n))))
+    # the wished rows of each label, with a margin so that no label is missed by chance
+    wished = {k: min(n, max(16.0, quota + 3 * quota**0.5)) for k, n in learned.items()}
+    shares = F.create_map(*(F.lit(x) for k, n in learned.items() for x in (k, wished[k] / n)))
     draw = F.pmod(F.xxhash64(col(key), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = labelled.select(
         col(label).cast("string").alias("label"), draw.alias("draw"), F.crc32(col(key).cast("string")).alias("pick"), col(text).alias("text")
@@ -234,8 +235,8 @@ def train(docs: DataFrame, usable: Column | None = None, text: str = "text", lab
     fields = [StructField(n, ArrayType(t)) for n, t in (("b", IntegerType()), ("s", FloatType()), ("b2", IntegerType()), ("s2", FloatType()), ("b3", IntegerType()), ("s3", FloatType()))]
     fields += [StructField(n, IntegerType()) for n in ("n", "n2")]
     made = map_texts(picked, "text", ["label", "draw", "pick"], fields, start)
-    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "pick", F.xxhash64("b")))
-    rows = made.withColumn("place", place).where(F.col("place") <= 2 * quota).orderBy("draw", "pick", "label", F.xxhash64("b")).drop("place").toPandas()
+    # twice what is wished of all labels together is a bound that the draws stay under, so it cuts no label
+    rows = made.orderBy("draw", "pick", "label", F.xxhash64("b")).limit(2 * round(sum(wished.values())) + 100).toPandas()
     middle = SHORT_WORDS + 1
     return fit(
         [x for r in rows.itertuples() for x in ((r.label, r.b, r.s, r.n, (middle, r.b3, r.s3) if r.n >= middle else None), (r.label, r.b2, r.s2, r.n2))]
