@@ -6,29 +6,35 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelweave.operators.salting import hot_keys, in_pieces, repeated
+
 TIME_SLICES = 8
 
 
 def spatial_lag(
-    panel: DataFrame, edges: DataFrame, column: str = "y", out: str = "lag", slices: int = TIME_SLICES
+    panel: DataFrame, edges: DataFrame, column: str = "y", out: str = "lag", slices: int = TIME_SLICES, piece_edges: int | None = None
 ) -> DataFrame:
     """Panel rows plus ``out`` = Σ_j w(i, j)·column(j, t)."""
-    return spatial_lags(panel, edges, {out: column}, slices)
+    return spatial_lags(panel, edges, {out: column}, slices, piece_edges)
 
 
-def spatial_lags(panel: DataFrame, edges: DataFrame, columns: Mapping[str, str], slices: int = TIME_SLICES) -> DataFrame:
+def spatial_lags(
+    panel: DataFrame, edges: DataFrame, columns: Mapping[str, str], slices: int = TIME_SLICES, piece_edges: int | None = None
+) -> DataFrame:
     """Panel rows plus, per entry (name: column), the lag of that column, all summed in one pass.
 
     Regions without neighbours get 0; one NULL neighbour value makes the lag NULL. The panel must
-    be dense (see ``densify``). Each region's dates are spread over ``slices`` join keys and the
-    edges repeated for each, so a hub or a long series is shared by several tasks.
+    be dense (see ``densify``). Each region's dates are spread over ``slices`` join keys, so a long series is shared by
+    several tasks. A hub's edges are cut into as many pieces as their number asks for, and only its values are repeated per piece.
     """
     values = panel.select(
         F.col("region").alias("j"), "t", *(F.col(c).alias(f"_x{n}") for n, c in enumerate(columns.values())), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("_s")
     )
-    spread = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
+    hubs = hot_keys(edges, ["j"], piece_edges)
+    spread = in_pieces(edges, hubs, ["j"], ["i"]).select("i", "j", "w", "_piece", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
     sums = (
-        values.join(spread, ["j", "_s"])
+        repeated(values, hubs, ["j"])
+        .join(spread, ["j", "_s", "_piece"])
         .groupBy(F.col("i").alias("region"), "t")
         .agg(
             *(F.when(F.count(f"_x{n}") == F.count(F.lit(1)), F.sum(F.col("w") * F.col(f"_x{n}"))).alias(f"_sum{n}") for n in range(len(columns))),

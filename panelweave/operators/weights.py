@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelweave.functions.scalars import close, ratio
 from panelweave.operators.neighbours import Coords, all_pairs, nearest, pairs_within
 from panelweave.operators.pair_ranks import largest_distance, median_distance
+from panelweave.operators.salting import split_join
 
 
 def binary_weights(points: DataFrame, coords: Coords, threshold: float) -> DataFrame:
@@ -95,15 +96,14 @@ def default_bandwidth(points: DataFrame, coords: Coords, kernel: str = "gaussian
     return largest_distance(points, coords) if kernel == "linear" else median_distance(points, coords)
 
 
-def row_normalise(edges: DataFrame) -> DataFrame:
+def row_normalise(edges: DataFrame, piece_edges: int | None = None) -> DataFrame:
     """Each weight over the sum of its row; rows that sum to zero stay as they are.
 
-    The sums are combined before their shuffle and joined back, so that the row of a hub is a
-    skewed join side that Spark can split, not one window group.
+    The sums are combined before their shuffle and joined back; the row of a hub is joined in pieces.
     """
     sums = edges.groupBy("i").agg(F.sum("w").alias("_sum"))
     weight = F.when(F.col("_sum") == 0, F.col("w")).otherwise(ratio(F.col("w"), F.col("_sum")))
-    return edges.join(sums, "i").select("i", "j", weight.alias("w"))
+    return split_join(edges, sums, ["i"], ["j"], piece_edges).select("i", "j", weight.alias("w"))
 
 
 def spatial_weights(

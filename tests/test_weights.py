@@ -6,7 +6,7 @@ from helpers import brute_nearest, brute_within, by_key, day, panel, plan_of, po
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.operators import far_field, neighbours, pair_ranks, pivots, weights
+from panelweave.operators import far_field, neighbours, pair_ranks, pivots, salting, weights
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.quantiles import exact_median
 
@@ -320,3 +320,34 @@ def test_terms_follow_the_bound():
     assert far_field._terms(1e-9, 0.5, 2) > far_field._terms(1e-9, 0.2, 2)
     with pytest.raises(ValueError):
         far_field._terms(0.0, 0.5, 2)
+
+
+def largest_share(df, keys):
+    """Rows of the largest key over the median one, of those that a join deals by ``keys``."""
+    sizes = sorted(r["count"] for r in df.groupBy(*keys).count().collect())
+    return sizes[-1] / sizes[len(sizes) // 2]
+
+
+def test_hubs_are_split_by_their_degree(spark):
+    """One region has half of all edges, as neighbour of all others."""
+    n, rng = 400, np.random.default_rng(3)
+    rows = [(i, 0, 0.5) for i in range(1, n)] + [(i, int(j), 0.25) for i in range(n) for j in {(i + 1) % n} - {0, i}]
+    edges = spark.createDataFrame(rows, "i bigint, j bigint, w double").repartition(5)
+    hot = salting.hot_keys(edges, ["j"], 20)
+    assert [(r["j"], r["_pieces"]) for r in hot.collect()] == [(0, 20)]
+    cut = salting.in_pieces(edges, hot, ["j"], ["i"])
+    assert cut.where("j = 0").groupBy("_piece").count().agg(F.max("count")).first()[0] < 45
+    assert cut.where("j > 0").agg(F.max("_piece")).first()[0] == 0
+    dealt = cut.withColumn("task", F.pmod(F.hash("j", "_piece"), F.lit(8)))
+    assert largest_share(dealt, ["task"]) < 4 < largest_share(edges.withColumn("task", F.pmod(F.hash("j"), F.lit(8))), ["task"])
+    y = rng.normal(size=(n, 3))
+    df = panel(spark, {i: list(y[i]) for i in range(n)})
+    dense = np.zeros((n, n))
+    for i, j, w in rows:
+        dense[i, j] = w
+    found = by_key(spatial_lag(df, edges, piece_edges=20), "region", "t")
+    got = np.array([[found[(i, day(t))]["lag"] for t in range(3)] for i in range(n)])
+    np.testing.assert_allclose(got, dense @ y, atol=1e-9)
+    turned = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
+    assert same_rows(weights.row_normalise(turned, piece_edges=20), weights.row_normalise(turned))
+    assert same_rows(spatial_lag(df, edges), spatial_lag(df, edges, piece_edges=20))
