@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from panelweave.llm.common import map_texts
+from panelweave.llm.common import col, fresh, map_texts
 
 #: The pattern that cuts texts before the merges (fixed value of the byte-level tokenizers).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -348,21 +348,24 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     """``keep`` columns (all by default) and the token ids of each text.
 
     A null or empty text has no ids; strings of special tokens in a text become those tokens. Rows are
-    treated one by one, whole whatever their length.
+    treated one by one, whole whatever their length. Here and below a new name gets underscores in front where a kept column has it.
     """
     vocabulary = Vocabulary(docs.sparkSession, path)
+    keep = docs.columns if keep is None else keep
+    (name,) = fresh(docs.select(*map(col, keep)), name)
 
     def start():
         pairs = vocabulary.load()
         return lambda texts: (pairs.encode(texts),)
 
-    return map_texts(docs, text, docs.columns if keep is None else keep, [StructField(name, ArrayType(IntegerType()))], start)
+    return map_texts(docs, text, keep, [StructField(name, ArrayType(IntegerType()))], start)
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
     """All columns and the text of each row's ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
     vocabulary = Vocabulary(docs.sparkSession, path)
     columns = docs.columns
+    (name,) = fresh(docs, name)
 
     def run(batches):
         pairs = vocabulary.load()
@@ -378,8 +381,10 @@ def decoded(docs: DataFrame, path: str, ids: str = "token_ids", name: str = "dec
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``encoded`` and ``decoded`` in one pass: ``keep`` columns, ``token_ids``, ``decoded``."""
     vocabulary = Vocabulary(docs.sparkSession, path)
-    fields = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
-    return map_texts(docs, text, docs.columns if keep is None else keep, fields, lambda: partial(_both_ways, vocabulary.load()))
+    keep = docs.columns if keep is None else keep
+    names = fresh(docs.select(*map(col, keep)), "token_ids", "decoded")
+    fields = [StructField(names[0], ArrayType(IntegerType())), StructField(names[1], StringType())]
+    return map_texts(docs, text, keep, fields, lambda: partial(_both_ways, vocabulary.load()))
 
 
 def _both_ways(pairs: BytePairs, texts: list) -> tuple[list[np.ndarray], list[str]]:

@@ -158,7 +158,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def report(conversations: DataFrame) -> DataFrame:
-    """The digest per conversation, read back from the windows."""
+    """The digest per conversation, read back from the windows. Null texts, ties, repeated turns and empty tables are treated as ``windows`` says."""
     back = read_back(windows(conversations))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     parts = back.select("conv_id", F.struct("window", told.alias("turns"), "loss_text").alias("part"), F.size("turns").alias("n"), "chars")

@@ -3,7 +3,8 @@
 Words are the runs of ASCII letters, digits and non-ASCII characters, with A-Z in lower case. The
 automaton holds every substring of words of every item; a document streams through it and knows
 after each word the longest match that ends there. A match of ``window`` words or more, or of a whole
-item shorter than that, marks its words as hit.
+item shorter than that, marks its words as hit. With a coverage limit, shorter matches count as well, of ``LEAST`` words or more: where
+those of one document cover that share of an item's words, they are hit too, so an item with a word changed here and there is found.
 
 Items are cut into shards of at most ``shard_words`` words (an item is never cut), and each shard's
 automaton is a broadcast of that bounded size; documents pass through one shard after the other,
@@ -23,8 +24,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from panelweave.llm.common import col, fresh, pieces, staged, with_length
 
 WINDOW = 10
-#: Words of test items in one automaton.
+#: Words of test items in one automaton: some 300 MB in a worker, 20 MB broadcast; a third more with a coverage limit.
 SHARD_WORDS = 500_000
+#: Words of a match that counts towards the coverage of an item, and the share of an item from which it is covered.
+LEAST, COVERAGE = 4, 0.8
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOLD = bytes(
@@ -38,10 +41,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items that own each window."""
+    """Suffix automaton of several word sequences, with the items that own each window, and with ``coverage`` where each short match stands in them."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window = window
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, coverage: float | None = None, least: int = LEAST):
+        self.window, self.coverage, self.least = window, coverage, least
         self.words: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
@@ -60,7 +63,16 @@ class Automaton:
                     self.owners.setdefault(self._holder(state, window), set()).add(name)
             if 0 < len(words) < window:
                 whole.setdefault(self._holder(state, len(words)), []).append((len(words), name))
-        self.shortest = min([window, *(k for found in whole.values() for k, _ in found)])
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.items = [(name, len(words)) for name, words in items]
+        if coverage is not None:
+            for n, (_, words) in enumerate(items):
+                state = 0
+                for at, word in enumerate(words):
+                    state = self.next[state][self.words[word]]
+                    if at + 1 >= least:
+                        self.places.setdefault(self._holder(state, least), []).append((n, at + 1 - least))
+        self.shortest = min([window, *(k for found in whole.values() for k, _ in found), *([least] if coverage is not None else [])])
         self.short = self._inherited(whole)
 
     def _new(self, length: int, follow: dict[int, int], link: int) -> int:
@@ -113,6 +125,7 @@ class Automaton:
         if len(known) < self.shortest or self.shortest > _longest_run(known):
             return []
         spans: list[list[int]] = []
+        partly: dict[int, tuple[set[int], list[tuple[int, int]]]] = {}
         state = size = 0
         for at, c in enumerate(known):
             if c is None:
@@ -126,6 +139,11 @@ class Automaton:
             state = self.next[state][c]
             size += 1
             reach = 0
+            if size >= self.least and self.places:
+                for n, place in self.places.get(self._holder(state, self.least), ()):
+                    seen, here = partly.setdefault(n, (set(), []))
+                    seen.update(range(place, place + self.least))
+                    here.append((at + 1 - self.least, at + 1))
             if size >= self.window:
                 reach = self.window
                 items |= self.owners[self._holder(state, self.window)]
@@ -138,7 +156,13 @@ class Automaton:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append([start, at + 1])
-        return [(a, b) for a, b in spans]
+        covered = []
+        for n, (seen, here) in partly.items():
+            name, words = self.items[n]
+            if len(seen) >= self.coverage * words:
+                items.add(name)
+                covered += here
+        return merged([*((a, b) for a, b in spans), *covered]) if covered else [(a, b) for a, b in spans]
 
 
 def _longest_run(known: list) -> int:
@@ -146,7 +170,9 @@ def _longest_run(known: list) -> int:
     return int(np.diff(np.concatenate(([-1], gaps, [len(known)]))).max()) - 1
 
 
-def automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS):
+def automata(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, coverage: float | None = None
+):
     """One automaton per shard of the items; each shard is fetched by itself, so the driver holds a bounded number of words."""
     rows = benchmark.select(F.coalesce(col(item).cast("string"), F.lit("null")).alias("item"), col(text).alias("text"))
     shard: list[tuple[str, list[bytes]]] = []
@@ -154,13 +180,13 @@ def automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", wi
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
         if shard and held + len(words) > shard_words:
-            yield Automaton(shard, window)
+            yield Automaton(shard, window, coverage)
             shard, held = [], 0
         if words:
             shard.append((row["item"], words))
             held += len(words)
     if shard:
-        yield Automaton(shard, window)
+        yield Automaton(shard, window, coverage)
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -174,17 +200,20 @@ def contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     names: tuple[str, str, str] = ("n_words", "spans", "items"),
+    coverage: float | None = None,
 ) -> DataFrame:
     """Per row of ``docs``: ``keep`` columns (all by default), number of words, hit word spans [start, end), items found (as text, sorted).
 
     Null and empty texts have no words and no hits. An item without words has no window; items that
     repeat an id count once; a null id is shown as ``null``. An empty benchmark hits nothing. Rows of
-    ``docs`` are treated one by one, so repeated rows get equal results.
+    ``docs`` are treated one by one, so repeated rows get equal results. ``coverage`` is the share of an item's words from which short
+    matches count (none by default). Columns of ``docs`` keep their names: new ones get underscores in front where they clash.
     """
     kept = docs.columns if keep is None else keep
+    names = tuple(fresh(docs.select(*map(col, kept)), *names))
     frame = docs.select(*(col(c) for c in dict.fromkeys([text, *kept])))
     found = None
-    for automaton in automata(benchmark, window=window, shard_words=shard_words):
+    for automaton in automata(benchmark, window=window, shard_words=shard_words, coverage=coverage):
         # a further shard starts from a staged table, so that a worker holds one automaton at a time
         found = _pass(frame if found is None else staged(found), automaton, text, names, found is not None)
     if found is None:
@@ -237,13 +266,13 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with every hit span cut out of the text, same columns; clean rows stay as they are.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, coverage: float | None = COVERAGE) -> DataFrame:
+    """``docs`` with every hit span cut out of the text, by length and by coverage, same columns; clean rows stay as they are.
 
     A document left without text stays, with what surrounds its words. ``n_chars`` follows the text.
     """
     n, spans, items = fresh(docs, "n_words", "spans", "items")
-    marked = contamination(docs, benchmark, text, window=window, names=(n, spans, items))
+    marked = contamination(docs, benchmark, text, window=window, names=(n, spans, items), coverage=coverage)
     columns = docs.columns
 
     def run(batches):
@@ -259,7 +288,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """The digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, by the length limit alone. Odd rows are treated as
+    ``contamination`` says."""
     found = contamination(docs, benchmark, keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("bigint")
     return found.select(

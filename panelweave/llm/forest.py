@@ -404,5 +404,5 @@ def nearest(
 
 
 def report(embeddings: DataFrame) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by 20."""
+    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by 20. Odd rows, ties and copies are treated as ``nearest`` says."""
     return nearest(embeddings, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")

@@ -295,11 +295,13 @@ def identified(docs: DataFrame, model: LanguageModel | None, text: str = "text",
     """Per row: ``keep`` columns (all by default), predicted language, calibrated probability, whether it is rejected.
 
     A null, empty or letterless text is ``und`` with score 0 and is rejected; so is every text when there
-    was no labelled row to learn from. Ties go to the alphabetically first label.
+    was no labelled row to learn from. Ties go to the alphabetically first label. Names get underscores in front where a kept column has them.
     """
+    keep = docs.columns if keep is None else keep
+    names = fresh(docs.select(*map(col, keep)), *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType()))]
-    return map_texts(docs, text, docs.columns if keep is None else keep, fields, lambda: Scorer(shared.value))
+    return map_texts(docs, text, keep, fields, lambda: Scorer(shared.value))
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:

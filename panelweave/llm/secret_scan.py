@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from panelweave.llm.common import col, map_texts
+from panelweave.llm.common import col, fresh, map_texts
 
 #: Kinds in order, their patterns, the group whose length counts, and the least length.
 PATTERNS = {
@@ -318,14 +318,17 @@ def scanned(docs: DataFrame, field: Field, text: str = "text", keep: list[str] |
     """Per row: ``keep`` columns (all by default) and the spans (start, end, kind) in code points, by start, then kind.
 
     Kinds are ``assign``, ``access``, ``hex`` of the fixed patterns and ``crf`` for those that only the field
-    finds. A null or empty text has no span. Rows are treated one by one, whole whatever their length.
+    finds. A null or empty text has no span. Rows are treated one by one, whole whatever their length, repeated ones alike. ``name`` gets
+    underscores in front where a kept column has it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return map_texts(docs, text, docs.columns if keep is None else keep, [StructField(name, SPANS)], lambda: Scanner(shared.value))
+    keep = docs.columns if keep is None else keep
+    (name,) = fresh(docs.select(*map(col, keep)), name)
+    return map_texts(docs, text, keep, [StructField(name, SPANS)], lambda: Scanner(shared.value))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans. Odd rows are treated as ``scanned`` says."""
     found = scanned(docs.select("doc_id", "text"), train(docs), keep=["doc_id"])
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "crf")

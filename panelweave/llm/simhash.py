@@ -52,12 +52,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
-    """``keep`` columns (all by default) and the fingerprint as a bigint of the same bits. A text without words, null included, has 0."""
+    """``keep`` columns (all by default) and the fingerprint as a bigint of the same bits. A text without words, null included, has 0; ``name`` gets
+    underscores in front where a kept column has it."""
+    keep = docs.columns if keep is None else keep
+    (name,) = fresh(docs.select(*map(col, keep)), name)
 
     def start():
         return lambda texts: (np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64),)
 
-    return map_texts(docs, text, docs.columns if keep is None else keep, [StructField(name, LongType())], start)
+    return map_texts(docs, text, keep, [StructField(name, LongType())], start)
 
 
 def masks(radius: int = RADIUS, arrangement: int = 1) -> list[int]:
@@ -189,7 +192,8 @@ def hexadecimal(fp: Column | str) -> Column:
 
 
 def report(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id, nulls aside). Repeated rows are in one component, texts without
+    words have fingerprint zero and are linked like others, an empty table has no rows."""
     marked = staged(fingerprints(docs, "text", ["doc_id"], shingle))
     found = _grouped(marked, "doc_id", radius, BUCKET_ROWS)
     return marked.join(found, "fp").select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")

@@ -322,7 +322,8 @@ def without_windows(words: list[bytes], starts: list[int], window: int) -> tuple
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, repeats (maximal removed spans of words; null for none and for whole copies)."""
+    """doc_id, n_words, n_removed, kept_sha256, repeats (maximal removed spans of words; null for none and for whole copies). Odd rows are treated as ``repeated_words`` says; a
+    null text has no words."""
     settled, repeats = repeated_words(docs, window=window)
 
     def run(batches):

@@ -265,5 +265,5 @@ def derived_edits(docs: DataFrame, each: int = 4) -> DataFrame:
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """Counts of all documents under the edits that ``derived_edits`` gives them."""
+    """Counts of all documents under the edits that ``derived_edits`` gives them. Odd rows are treated as ``recounted`` says."""
     return recounted(docs.select("doc_id", "text"), derived_edits(docs.select("doc_id", "text")), path)

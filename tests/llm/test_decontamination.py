@@ -80,3 +80,55 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], BENCHMARK)
     assert result(de.report(docs(spark, rows), nothing)) == expected(rows, [])
     assert de.report(docs(spark, []), spark.createDataFrame(items, BENCHMARK)).count() == 0
+
+
+def covered_by_force(words, item, least, share):
+    """Word numbers of the document inside matches of ``least`` words with the item, if these cover enough of it."""
+    seen, here = set(), set()
+    for i in range(len(words) - least + 1):
+        for j in range(len(item) - least + 1):
+            if words[i : i + least] == item[j : j + least]:
+                seen |= set(range(j, j + least))
+                here |= set(range(i, i + least))
+    return here if item and len(seen) >= share * len(item) else set()
+
+
+def test_coverage_finds_items_with_words_changed():
+    rng = random.Random(5)
+    items = [(f"i{n}", [f"v{rng.randrange(60)}".encode() for _ in range(rng.choice([14, 25, 40]))]) for n in range(12)]
+    automaton = de.Automaton(items, 10, 0.8)
+    plain = de.Automaton(items, 10)
+    caught = 0
+    for trial in range(60):
+        text = [f"w{rng.randrange(500)}".encode() for _ in range(40)]
+        copy = list(rng.choice(items)[1])
+        for at in range(rng.randrange(3, 9), len(copy), 9):
+            copy[at] = b"changed"
+        text[20:20] = copy if trial % 3 else copy[: len(copy) // 2]
+        found, names = set(), set()
+        for a, b in automaton.matches(text, names):
+            found |= set(range(a, b))
+        expected, owners = set(), set()
+        for a, b in plain.matches(text, owners):
+            expected |= set(range(a, b))
+        for name, item in items:
+            if more := covered_by_force(text, item, de.LEAST, 0.8):
+                expected |= more
+                owners.add(name)
+        assert (found, names) == (expected, owners)
+        caught += bool(found) and not plain.matches(text, set())
+    assert caught > 20
+
+
+def test_changed_items_are_cut_and_clean_texts_stay(spark):
+    item = [f"q{n}" for n in range(30)]
+    changed = [w if n % 9 != 4 else "other" for n, w in enumerate(item)]
+    df = docs(spark, [(1, "before " + " ".join(changed) + " after"), (2, "a clean text " + " ".join(item[3:9])), (3, None)])
+    bench = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    texts = {r["doc_id"]: r["text"] for r in de.decontaminated(df, bench).collect()}
+    assert texts[2] == "a clean text " + " ".join(item[3:9]) and texts[3] is None
+    assert "q7" not in texts[1] and texts[1].startswith("before ") and texts[1].endswith(" after")
+    whole = {r["doc_id"]: r["text"] for r in de.decontaminated(df, bench, coverage=None).collect()}
+    assert whole[1] == "before " + " ".join(changed) + " after"
+    named = de.contamination(df.withColumn("items", F.lit("own")), bench)
+    assert named.columns[-3:] == ["n_words", "spans", "_items"] and named.first()["items"] == "own"

@@ -82,3 +82,19 @@ def test_decoding_is_exact():
 def test_empty_and_unlabelled(spark):
     assert scan.report(docs(spark, [])).count() == 0
     assert [r["spans"] for r in scan.report(docs(spark, [(1, "nothing here"), (2, "")])).collect()] == ["", ""]
+
+
+def test_new_names_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    from panelweave.llm import bpe, simhash
+    from panelweave.llm.queries import vocabulary_path
+
+    own = docs(spark, [(1, "password=hunter22 x")]).withColumns({c: F.lit("own") for c in ("secrets", "fp", "token_ids", "decoded")})
+    found = scan.scanned(own, scan.train(own))
+    assert found.columns == [*own.columns, "_secrets"] and found.first()["secrets"] == "own"
+    assert simhash.fingerprints(own).columns == [*own.columns, "_fp"]
+    both = bpe.round_trip(own, vocabulary_path())
+    assert both.columns == [*own.columns, "_token_ids", "_decoded"] and both.first()["_decoded"] == "password=hunter22 x"
+    again = bpe.decoded(bpe.encoded(own, vocabulary_path()), vocabulary_path(), "_token_ids")
+    assert again.columns == [*own.columns, "_token_ids", "_decoded"] and again.first()["decoded"] == "own"
