@@ -8,7 +8,7 @@ import corpus_pipeline
 from panelweave.llm import language
 from panelweave.llm.bpe import BytePairs
 from panelweave.llm.queries import ORACLE_SQL, QUERIES, vocabulary_path
-from tests.llm.helpers import docs
+from tests.llm.helpers import docs, with_clashes
 from tests.llm.test_decontamination import cut, expected as contaminated
 from tests.llm.test_lines import expected as lines_left
 from tests.llm.test_simhash import expected as fingerprints
@@ -68,6 +68,19 @@ def test_all_but_the_last_stage_return_the_columns(spark, corpus_dir):
         assert [f.dataType for f in made.schema] == [f.dataType for f in frame.schema], name
 
 
+def test_empty_tables_and_clashing_columns(spark, corpus_dir):
+    folder, _, _ = corpus_dir
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), folder).count() == 0, name
+    plain, clashing = frame.limit(30), with_clashes(frame.limit(30))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, clashing, folder)
+        assert made.columns == clashing.columns, name
+        assert made.where("fp <> 'own fp' OR items <> 'own items' OR score <> 'own score'").count() == 0
+        assert sorted(map(tuple, made.select(plain.columns).collect()), key=repr) == sorted(map(tuple, stage(spark, plain, folder).collect()), key=repr), name
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE_SQL])
 def test_sql_gives_the_same(spark, small, name):
     duckdb = pytest.importorskip("duckdb")
