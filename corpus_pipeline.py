@@ -2,6 +2,9 @@
 
 Rejected languages go, later repeats of runs of lines and of passages are cut, one document of each near-duplicate group
 stays, benchmark passages are cut out, and the rest is encoded and decoded.
+
+Every stage takes null, empty and very long texts, ties, repeated rows, empty tables and extra columns as the function that it calls says;
+columns beyond those of ``documents`` are kept by all stages but the last.
 """
 
 from __future__ import annotations
