@@ -130,7 +130,7 @@ def test_states_and_guards(spark, fitted):
     with pytest.raises(ValueError, match="fit the forecaster"):
         PooledForecaster(model.config).predict(df)
     assert {r["name"]: r["setting"] for r in model.forecaster.info(spark).collect()}["is_fitted"] == "True"
-    for wrong in ({"distribution": "poisson"}, {"causal_method": "ml"}):
+    for wrong in ({"distribution": "poisson"}, {"causal_method": "lasso"}):
         with pytest.raises(ValueError):
             ModelConfig(2, 5, **wrong)
     with pytest.raises(ValueError):
