@@ -17,6 +17,11 @@ from panelweave.session import stage
 #: Bytes of text that a Python worker unpacks at a time.
 PIECE_BYTES = 1 << 20
 
+#: Rows that Spark hands to a Python worker at a time, unless the session says otherwise: texts are long, and ten thousand of them, Spark's
+#: own default, are held several times over outside the heap.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
+
 #: Spark removes the shuffle files of a finished write when this is set; staged tables do not need them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,6 +66,12 @@ def staged(df: DataFrame) -> DataFrame:
         return stage(df)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per batch for texts where nobody has set them; the setting stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing will read again."""
     spark = df.sparkSession
@@ -106,6 +117,7 @@ def map_texts(
                 )
 
     schema = StructType([*(df.schema[c] for c in keep), *fields])
+    small_batches(df.sparkSession)
     return df.select(*(col(c) for c in dict.fromkeys([text, *keep]))).mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from panelweave.llm.common import col, fresh, pieces, staged, with_length
+from panelweave.llm.common import col, fresh, pieces, small_batches, staged, with_length
 
 WINDOW = 10
 #: Words of test items in one automaton: some 300 MB in a worker, 20 MB broadcast; a third more with a coverage limit.
@@ -222,6 +222,7 @@ def contamination(
 
 
 def _pass(df: DataFrame, automaton: Automaton, text: str, names: tuple[str, str, str], again: bool) -> DataFrame:
+    small_batches(df.sparkSession)
     part = df.sparkSession.sparkContext.broadcast(automaton)
     fields = [StructField(names[0], LongType()), StructField(names[1], SPANS), StructField(names[2], ArrayType(StringType()))]
     plain = [c for c in df.columns if c not in names]

@@ -21,7 +21,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.common import col, fresh, pieces, staged, with_length
+from panelweave.llm.common import col, fresh, pieces, small_batches, staged, with_length
 
 RUN = 3
 GRAM = 2
@@ -150,6 +150,7 @@ def deduplicated(
     """
     (gone,) = fresh(docs, "gone")
     columns = docs.columns
+    small_batches(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
