@@ -33,7 +33,7 @@ CRAMER = 1.086435
 def error_bound(terms: int, offset: float, dims: int) -> float:
     """Most that one pair's weight can be wrong by: ``offset`` is the half width of a cell in bandwidths."""
     one = CRAMER * offset**terms / math.sqrt(math.factorial(terms)) / (1 - offset / math.sqrt(terms + 1))
-    return (1 + one) ** dims - 1
+    return math.expm1(dims * math.log1p(one))
 
 
 def _terms(tolerance: float, offset: float, dims: int) -> int:
