@@ -16,12 +16,9 @@ and windows that follow each other make a run of any length.
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.llm.common import col, fresh, pieces, small_batches, staged, with_length
+from panelweave.llm.common import col, fresh, staged, with_length
 
 RUN = 3
 GRAM = 2
@@ -146,40 +143,35 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with the later repeated runs and passages cut from the text, same columns; what is left is joined by line breaks.
 
-    A document of which no line is left keeps an empty text. ``n_chars`` follows the text.
+    A document of which no line is left keeps an empty text. ``n_chars`` follows the text. Null texts and rows with a null key stay
+    as they are; rows with equal key and text lose the same lines; an empty table gives an empty table.
     """
     (gone,) = fresh(docs, "gone")
-    columns = docs.columns
-    small_batches(docs.sparkSession)
+    found = marked(docs, text, key, run, gram, gone, words)
+    return with_length(found.withColumn(text, _without(col(text), col(gone))), text).select(*(col(c) for c in docs.columns))
+
 
-    def cut(batches):
-        for batch in batches:
-            for part in pieces(batch, text):
-                texts = [
-                    t if out is None else without_lines(t, out) for t, out in zip(part.column(text).to_pylist(), part.column(gone).to_pylist())
-                ]
-                yield part.select(columns).set_column(columns.index(text), text, pa.array(texts, part.column(text).type))
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines ``gone``; the text itself where that is null."""
 
-    return with_length(marked(docs, text, key, run, gram, gone, words).mapInArrow(cut, docs.schema), text).select(*(col(c) for c in columns))
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.transform(kept, lambda p: F.element_at(lines, p + 1))
 
+    # the lambda's variable holds the lines of a text; the split itself would be made anew for every line
+    cut = F.flatten(F.transform(F.array(F.split(text, "\n", -1)), left))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(cut, "\n"))
 
-def without_lines(text: str, gone: list[int]) -> str:
-    out = set(gone)
-    return "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out)
 
+def report(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of the text that ``deduplicated`` leaves.
 
-def report(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the text that is left; null for a null text), by runs of lines only."""
+    A null text has no lines and a null digest; an empty one has one line. Odd rows are treated as ``deduplicated`` treats them.
+    """
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")
-    found = marked(docs.select("doc_id", "text"), run=run, gram=gram)
-
-    def cut(batches):
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                texts = [t if out is None else without_lines(t, out) for t, out in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
-                digests = [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                yield part.select(["doc_id", "n_lines", "n_removed"]).append_column("kept_sha256", pa.array(digests, pa.string()))
-
-    counted = found.select("doc_id", "text", "gone", lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return counted.mapInArrow(cut, f"doc_id {kind}, n_lines bigint, n_removed bigint, kept_sha256 string")
+    return marked(docs.select("doc_id", "text"), run=run, gram=gram, words=words).select(
+        "doc_id",
+        lines.alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.sha2(_without(F.col("text"), F.col("gone")), 256).alias("kept_sha256"),
+    )

@@ -129,11 +129,14 @@ left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*)
   FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN left_over USING (doc_id)""",
-    "op6_line_dedup": """
-WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-windows AS (SELECT doc_id, i, array_to_string(ls[i:i + 2], chr(10)) AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM docs)),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+    "op6_line_dedup": rf"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls,
+  list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS ns FROM documents),
+windows AS (SELECT doc_id, i, k, array_to_string(ls[i:i + k - 1], chr(10)) AS w
+  FROM (SELECT doc_id, ls, ns, k, unnest(range(1, len(ls) - k + 2)) AS i FROM docs, range(1, {lines.RUN + 1}) AS sizes(k))
+  WHERE k = {lines.RUN} OR list_sum(ns[i:i + k - 1]) >= {lines.PASSAGE_WORDS}),
+later AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, k, row_number() OVER (PARTITION BY k, w ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM later),
 left_over AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS kept, count(*) AS n
   FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, coalesce(CAST(len(ls) AS BIGINT), 0) AS n_lines, coalesce(CAST(len(ls) AS BIGINT), 0) - coalesce(n, 0) AS n_removed,

@@ -46,7 +46,7 @@ def fixture(seed=1):
 def test_equals_brute_force(spark, run, gram):
     rows = fixture()
     want = sorted(((d, n, g, None if k is None else hashlib.sha256(k.encode()).hexdigest()) for d, _, n, g, k in expected(rows, run)), key=repr)
-    found = sorted((tuple(r) for r in lines.report(docs(spark, rows), run, gram).collect()), key=repr)
+    found = sorted((tuple(r) for r in lines.report(docs(spark, rows), run, gram, None).collect()), key=repr)
     assert found == want
     assert any(w[2] for w in want)
 
@@ -105,9 +105,16 @@ def test_passages_of_few_lines(spark):
 
     found = sorted(((r["doc_id"], r["text"]) for r in lines.deduplicated(docs(spark, rows)).collect()), key=repr)
     assert found == left(50)
+    digests = sorted(((r["doc_id"], r["kept_sha256"]) for r in lines.report(docs(spark, rows)).collect()), key=repr)
+    assert digests == sorted(((d, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for d, t in left(50)), key=repr)
     assert {(2, "own"), (5, "a\nb"), (7, f"{passages[4]}\nd"), (8, passages[1]), (10, "e"), (12, "short\nline"), (13, "short")} <= set(found)
     for words, run, gram in ((3, 3, 2), (40, 5, 2), (50, 1, 1)):
         found = sorted(((r["doc_id"], r["text"]) for r in lines.deduplicated(docs(spark, rows), run=run, gram=gram, words=words).collect()), key=repr)
         assert found == left(words, run)
     with pytest.raises(ValueError):
         lines.repeated_lines(docs(spark, []), words=0)
+
+
+def test_no_python_worker(spark):
+    plan = lines.report(docs(spark, fixture()))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
