@@ -12,7 +12,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.functions.heads import HEADS, head
-from panelweave.operators import did, forecast, metrics, missing, panel as panels, sandwich, scaling, spatial_models, weights, windows
+from panelweave.operators import did, forecast, gap_runs, metrics, missing, panel as panels, sandwich, scaling, spatial_models, weights, windows
 from panelweave.operators.far_field import kernel_lag
 from panelweave.operators.lag import spatial_lag
 from panelweave.operators.neighbours import all_pairs
@@ -177,6 +177,20 @@ def interpolate_hourly(spark, d):
     return shown(missing.interpolate_linear(dense, ["y"], "h", block_steps=168), ["y"])
 
 
+@query
+def interpolate_gap_runs(spark, d):
+    """The same from one row per gap; cells appear at the end only."""
+    sparse = stage(fx.type_panel(spark, d))
+    runs = gap_runs.coded(sparse, ["y"], "h", block_steps=168)
+    return shown(gap_runs.unfold(runs, gap_runs.numbered_calendar(sparse, "h", 168), block_steps=168), ["y"])
+
+
+@query
+def filled_means_gap_runs(spark, d):
+    """Means of interpolated daily series over the whole calendar, without a row per cell."""
+    return shown(gap_runs.filled_means(gap_runs.coded(stage(fx.user_panel(spark, d)), ["y", "c1"])), ["y_mean", "c1_mean"], keys=("region", "y_n", "c1_n"))
+
+
 @query
 def ffill(spark, d):
     return shown(missing.forward_fill(fx.dense(fx.user_panel(spark, d)), ["y", "c1"]), ["y", "c1"])
@@ -263,6 +277,14 @@ def window_mean_scale_hourly(spark, d):
     return shown(scaling.window_mean_scale(dense, 24, freq="h", block_steps=168), ["scale"])
 
 
+@query
+def window_scale_gap_runs(spark, d):
+    """Scales of hourly windows in runs of equal scale, unfolded for the comparison."""
+    sparse = stage(fx.type_panel(spark, d))
+    cells = gap_runs.positions(gap_runs.window_scales(sparse, 24, freq="h", block_steps=168), 168)
+    return shown(cells.join(gap_runs.numbered_calendar(sparse, "h", 168), "pos"), ["scale"])
+
+
 @query
 def temporal_split(spark, d):
     train, test = panels.temporal_split(_user_filled(spark, d), 0.2)

@@ -575,6 +575,13 @@ def oracle_sql() -> dict[str, str]:
         "synthetic_panel": synthetic(),
         "interpolate_linear": steps(*USER_DENSE, interpolate_daily, daily_out),
         "interpolate_hourly": steps(*TYPE_DENSE, interpolate_hours, hourly_out),
+        "interpolate_gap_runs": steps(*TYPE_DENSE, interpolate_hours, hourly_out),
+        "filled_means_gap_runs": steps(
+            *USER_DENSE,
+            interpolate_daily,
+            f"iu AS ({interpolation('ud', 'y c1', 13)[1]})",
+            f"SELECT region, count(y) AS y_n, count(c1) AS c1_n, {r('avg(y)', 6, 'y_mean')}, {r('avg(c1)', 6, 'c1_mean')} FROM iu GROUP BY region",
+        ),
         "ffill": steps(
             *USER_DENSE,
             f"""{UP}, {r('last_value(y IGNORE NULLS) OVER o', 6, 'y')}, {r('last_value(c1 IGNORE NULLS) OVER o', 6, 'c1')} FROM ud
@@ -605,6 +612,11 @@ def oracle_sql() -> dict[str, str]:
             f"""{UP}, {r('CASE WHEN avg(abs(y)) OVER o > 0 THEN avg(abs(y)) OVER o ELSE 1 END', 6, 'scale')} FROM td
             WINDOW o AS (PARTITION BY region ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
         ),
+        "window_scale_gap_runs": steps(
+            *TYPE_DENSE,
+            f"""{UP}, {r('CASE WHEN avg(abs(y)) OVER o > 0 THEN avg(abs(y)) OVER o ELSE 1 END', 6, 'scale')} FROM td
+            WINDOW o AS (PARTITION BY region ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
+        ),
         "temporal_split": steps(
             *USER_FILLED,
             "ds AS (SELECT t, row_number() OVER (ORDER BY t) AS n, count(*) OVER () AS all_n FROM (SELECT DISTINCT t FROM uf))",
