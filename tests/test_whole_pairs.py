@@ -21,7 +21,7 @@ def places(spark, tables):
     return {r["region"]: (r["x"], r["y"]) for r in fx.supplier_points(spark, tables).collect()}
 
 
-@pytest.mark.parametrize("name", ["dist_pairs", "w_distance_full", "w_gaussian", "w_exponential"])
+@pytest.mark.parametrize("name", ["dist_pairs", "w_distance_full", "w_gaussian", "w_exponential", "w_linear"])
 def test_every_pair_of_suppliers(spark, tables, name):
     at = places(spark, tables)
     apart = {(i, j): math.dist(at[i], at[j]) for i in at for j in at if i != j}
