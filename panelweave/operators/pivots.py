@@ -26,6 +26,8 @@ MOST_PIVOTS = 1_024
 RADIUS_BINS = 4_096
 #: Queries that one group of members meets at a time; more are spread over further tasks.
 QUERY_ROWS = 8_192
+#: Vectors that a Python worker compares with all pivots, or hands back, at a time: its memory does not grow with their number.
+BATCH_ROWS = 1_024
 # absorbs rounding of distances; it only adds candidates
 SLACK = 1e-9
 
@@ -70,15 +72,16 @@ def build(named: DataFrame, rows: int, cell_rows: int = CELL_ROWS) -> PivotIndex
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres = shared.value
         for frame in frames:
-            if len(frame):
-                x = _matrix(frame["v"])
+            for at in range(0, len(frame), BATCH_ROWS):
+                part = frame.iloc[at : at + BATCH_ROWS]
+                x = _matrix(part["v"])
                 squares, margin = _squares(x, centres)
                 # exact distances settle which of the pivots that may be nearest is
                 row, cell = np.nonzero(squares <= (squares.min(axis=1) + 2 * margin)[:, None])
                 radius = np.sqrt(((x[row] - centres[cell]) ** 2).sum(axis=1))
                 order = np.lexsort((cell, radius, row))
                 first = order[np.searchsorted(row[order], np.arange(len(x)))]
-                yield frame.assign(cell=cell[first].astype(np.int32), radius=radius[first])
+                yield part.assign(cell=cell[first].astype(np.int32), radius=radius[first])
 
     located = stage(named.mapInPandas(assign, f"i {key}, v array<double>, cell int, radius double"))
     cells = located.groupBy("cell").agg(F.max("radius").alias("reach"))
@@ -151,27 +154,34 @@ def _bounded(index: PivotIndex, k: int) -> DataFrame:
     return stage(index.members.groupBy("cell", "ring", "piece").applyInPandas(bound, schema))
 
 
+def _reached(frame: pd.DataFrame, centres: np.ndarray, reach: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Queries (i, v, radius, bound) with the cells and radii that they may reach, at most ``BATCH_ROWS`` rows at a time: a query that
+    reaches every cell comes back once for each."""
+    for at in range(0, len(frame), BATCH_ROWS):
+        part = frame.iloc[at : at + BATCH_ROWS]
+        x, b = _matrix(part["v"]), part["bound"].to_numpy()[:, None]
+        squares, margin = _squares(x, centres)
+        far = np.sqrt(np.maximum(squares - margin[:, None], 0)), np.sqrt(np.maximum(squares, 0) + margin[:, None])
+        own = part["radius"].to_numpy()[:, None]
+        slack = SLACK * (far[1] + own)
+        keep = (reach >= 0) & (far[0] - b <= reach + slack) & (far[0] - own <= 2 * b + slack)
+        rows, cells = np.nonzero(keep)
+        for start in range(0, len(rows), BATCH_ROWS):
+            row, cell = rows[start : start + BATCH_ROWS], cells[start : start + BATCH_ROWS]
+            yield pd.DataFrame({
+                "i": part["i"].to_numpy()[row], "v": part["v"].to_numpy()[row], "bound": b[row, 0], "cell": cell.astype(np.int32),
+                "low": far[0][row, cell] - b[row, 0] - slack[row, cell], "high": far[1][row, cell] + b[row, 0] + slack[row, cell],
+            })
+
+
 def visits(index: PivotIndex, bounded: DataFrame) -> DataFrame:
     """(i, v, bound, cell, ring, piece): groups that may hold what a query within its bound seeks."""
     shared = bounded.sparkSession.sparkContext.broadcast((index.pivots, index.reach))
     key = bounded.schema["i"].dataType.simpleString()
 
     def reachable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, reach = shared.value
         for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                x, b = _matrix(part["v"]), part["bound"].to_numpy()[:, None]
-                squares, margin = _squares(x, centres)
-                far = np.sqrt(np.maximum(squares - margin[:, None], 0)), np.sqrt(np.maximum(squares, 0) + margin[:, None])
-                own = part["radius"].to_numpy()[:, None]
-                slack = SLACK * (far[1] + own)
-                keep = (reach >= 0) & (far[0] - b <= reach + slack) & (far[0] - own <= 2 * b + slack)
-                row, cell = np.nonzero(keep)
-                yield pd.DataFrame({
-                    "i": part["i"].to_numpy()[row], "v": part["v"].to_numpy()[row], "bound": b[row, 0], "cell": cell.astype(np.int32),
-                    "low": far[0][row, cell] - b[row, 0] - slack[row, cell], "high": far[1][row, cell] + b[row, 0] + slack[row, cell],
-                })
+            yield from _reached(frame, *shared.value)
 
     seen = bounded.mapInPandas(reachable, f"i {key}, v array<double>, bound double, cell int, low double, high double")
     met = seen.join(index.rings, "cell").where((F.col("far") >= F.col("low")) & (F.col("near") <= F.col("high")))

@@ -1,6 +1,7 @@
 """Spatial weights and lags against dense arithmetic."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import brute_nearest, brute_within, by_key, day, panel, plan_of, points, same_rows
 from hypothesis import given, settings, strategies as st
@@ -351,3 +352,14 @@ def test_hubs_are_split_by_their_degree(spark):
     turned = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
     assert same_rows(weights.row_normalise(turned, piece_edges=20), weights.row_normalise(turned))
     assert same_rows(spatial_lag(df, edges), spatial_lag(df, edges, piece_edges=20))
+
+
+def test_visits_of_vectors_come_back_in_batches():
+    """Vectors that reach every cell do not fill a worker with one copy per cell at once."""
+    x, centres = RNG.normal(size=(1_500, 8)), RNG.normal(size=(40, 8))
+    radius = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2)).min(axis=1)
+    frame = pd.DataFrame({"i": np.arange(len(x)), "v": list(x), "radius": radius, "bound": 100.0})
+    found = list(pivots._reached(frame, centres, np.full(40, 10.0)))
+    assert max(map(len, found)) <= pivots.BATCH_ROWS < 40 * 1_024
+    whole = pd.concat(found)
+    assert len(whole) == 1_500 * 40 == len(whole[["i", "cell"]].drop_duplicates())
