@@ -21,6 +21,8 @@ from panelweave.session import stage
 CELL_POINTS = 2_048
 ONE_CELL_POINTS = 512
 MAX_LEVEL = 50
+#: Points that one task of the nearest-neighbour search takes. Their rows shrink so well that tasks dealt by bytes would hold millions.
+TASK_POINTS = 8_192
 # absorbs rounding at the borders of boxes; it only adds candidates
 SLACK = 1.000001
 
@@ -131,9 +133,10 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     extent = max(box[f"high{n}"] - box[f"low{n}"] for n in axes) or 1.0
     full = max(2 * (k + 1), 8)
     small = box["n"] <= max(ONE_CELL_POINTS, full)
+    tasks = math.ceil(box["n"] / TASK_POINTS)
 
     copy = F.row_number().over(Window.partitionBy(*place).orderBy("i"))
-    located = named.withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
+    located = named.repartition(tasks, *place).withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
     point = ["i", *place]
     held = [F.col("i").alias("j"), *(F.col(f"p{n}").alias(f"q{n}") for n in axes)]
     if small:
@@ -141,20 +144,21 @@ def _nearest_by_cells(points: DataFrame, coords: Sequence[str], k: int) -> DataF
     else:
         depth = _depth(located, low, extent, math.ceil(math.log2(box["n"] / full) / dims) + 6, full, dims)
         # read by four branches below: written once
-        leaved = stage(_with_bound(_assign_leaves(located, low, extent, depth, full, dims), k, extent, dims))
-        leaves = leaved.groupBy("leaf").agg(F.max("bound").alias("reach"))
-        hops = _reachable_leaves(leaves, extent, dims)
+        leaved = stage(_with_bound(_assign_leaves(located, low, extent, depth, full, dims), k, extent, dims, tasks))
+        leaves = leaved.repartition(tasks, "leaf").groupBy("leaf").agg(F.max("bound").alias("reach"))
+        hops = _reachable_leaves(leaves, extent, dims, tasks)
         gaps = []
         for n in axes:
             start = low[n] + F.col("to_leaf")[f"c{n}"] * _side(F.col("to_leaf"), extent)
             gaps.append(F.greatest(F.lit(0.0), start - F.col(f"p{n}"), F.col(f"p{n}") - start - _side(F.col("to_leaf"), extent)))
         visits = (
             leaved.select(*point, "bound", F.col("leaf").alias("from_leaf"))
-            .join(hops, "from_leaf")
+            .repartition(tasks, "from_leaf")
+            .join(hops.repartition(tasks, "from_leaf"), "from_leaf")
             .where(F.sqrt(total([g * g for g in gaps])) <= F.col("bound") * SLACK)
         )
-        candidates = visits.select(*point, "bound", "to_leaf").join(
-            leaved.select(*held, F.col("leaf").alias("to_leaf")), "to_leaf"
+        candidates = visits.select(*point, "bound", "to_leaf").repartition(tasks, "to_leaf").join(
+            leaved.select(*held, F.col("leaf").alias("to_leaf")).repartition(tasks, "to_leaf"), "to_leaf"
         ).where(F.sqrt(_squared(dims)) <= F.col("bound") * SLACK)
     searched = _closest(
         candidates.where("i <> j").select("i", "j", _squared(dims).alias("_d2")).withColumn("d", F.sqrt("_d2")), k
@@ -242,7 +246,7 @@ def _side(leaf: Column, extent: float) -> Column:
     return F.lit(extent) / F.pow(F.lit(2.0), leaf["level"])
 
 
-def _with_bound(leaved: DataFrame, k: int, extent: float, dims: int) -> DataFrame:
+def _with_bound(leaved: DataFrame, k: int, extent: float, dims: int, tasks: int) -> DataFrame:
     """``bound`` of each point: no smaller than the distance to its k-th neighbour.
 
     Leaves under one parent hold at most 2^dims·full points together; among these the k-th
@@ -253,7 +257,7 @@ def _with_bound(leaved: DataFrame, k: int, extent: float, dims: int) -> DataFram
         (level - 1).alias("level"), *(_ancestor(F.col("leaf")[f"c{n}"], level, level - 1).alias(f"c{n}") for n in axes)
     )
     place = [f"p{n}" for n in axes]
-    families = leaved.groupBy(parent.alias("_parent")).agg(
+    families = leaved.withColumn("_parent", parent).repartition(tasks, "_parent").groupBy("_parent").agg(
         F.collect_list(F.struct("i", *place, "leaf")).alias("_family")
     )
 
@@ -267,7 +271,7 @@ def _with_bound(leaved: DataFrame, k: int, extent: float, dims: int) -> DataFram
     return members.select("i", *place, "leaf", F.coalesce(F.least(near, diagonal), diagonal).alias("bound"))
 
 
-def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
+def _reachable_leaves(leaves: DataFrame, extent: float, dims: int, tasks: int) -> DataFrame:
     """Pairs (from_leaf, to_leaf) whose boxes are at most ``reach`` of ``from_leaf`` apart, which is
     no more than its parent's diagonal.
 
@@ -309,7 +313,10 @@ def _reachable_leaves(leaves: DataFrame, extent: float, dims: int) -> DataFrame:
     own = leaves.select(
         F.col("leaf").alias("to_leaf"), level.alias("key_level"), *(F.col("leaf")[f"c{n}"].alias(f"k{n}") for n in axes)
     )
-    met = finer_side.join(with_ancestors, key).unionByName(coarser_side.join(own, key))
+    finer, coarser = (
+        a.repartition(tasks, *key).join(b.repartition(tasks, *key), key) for a, b in ((finer_side, with_ancestors), (coarser_side, own))
+    )
+    met = finer.unionByName(coarser)
     a, b = F.col("from_leaf"), F.col("to_leaf")
     gaps = []
     for n in axes:

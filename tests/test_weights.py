@@ -1,5 +1,7 @@
 """Spatial weights and lags against dense arithmetic."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -363,3 +365,14 @@ def test_visits_of_vectors_come_back_in_batches():
     assert max(map(len, found)) <= pivots.BATCH_ROWS < 40 * 1_024
     whole = pd.concat(found)
     assert len(whole) == 1_500 * 40 == len(whole[["i", "cell"]].drop_duplicates())
+
+
+def test_nearest_is_dealt_by_points(spark, monkeypatch):
+    """The rows of the search shrink so well that adaptive execution, which goes by bytes, would put millions into one task."""
+    monkeypatch.setattr(neighbours, "TASK_POINTS", 100)
+    df, coords = points(spark, CLOUDS["uniform"])
+    found = neighbours.nearest(df, coords, 4)
+    plan = plan_of(found)
+    for key in ("from_leaf", "to_leaf", "key_level"):
+        assert re.search(rf"hashpartitioning\({key}#\d+[^()]*, 7\), REPARTITION_BY_NUM", plan)
+    assert edge_set(found) == brute_nearest(CLOUDS["uniform"], 4)
