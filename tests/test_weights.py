@@ -1,6 +1,7 @@
 """Spatial weights and lags against dense arithmetic."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -376,3 +377,18 @@ def test_nearest_is_dealt_by_points(spark, monkeypatch):
     for key in ("from_leaf", "to_leaf", "key_level"):
         assert re.search(rf"hashpartitioning\({key}#\d+[^()]*, 7\), REPARTITION_BY_NUM", plan)
     assert edge_set(found) == brute_nearest(CLOUDS["uniform"], 4)
+
+
+def test_distances_are_counted_together(spark, monkeypatch):
+    """Lists of places reach Python as one array of numbers each; many lists go into one table of bins, in any number of turns."""
+    xy = CLOUDS["dense cluster"]
+    row = SimpleNamespace(a_v=xy[:5].ravel(), a_m=np.ones(5, int), b_v=xy[5:9].ravel(), b_m=np.full(4, 2), half=False)
+    d, w = pair_ranks._distances(row)
+    np.testing.assert_allclose(d.reshape(5, 4), np.sqrt(((xy[:5, None] - xy[None, 5:9]) ** 2).sum(axis=2)))
+    assert w.tolist() == [2] * 20
+    monkeypatch.setattr(pair_ranks, "COUNTED_TOGETHER", 256)
+    monkeypatch.setattr(pair_ranks, "FEW_ROWS", 50)
+    df, coords = points(spark, xy)
+    every = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))[np.triu_indices(len(xy), 1)])
+    ranks = [0, 1_000, len(every) // 2, len(every) - 1]
+    assert [pair_ranks.distances_at(df, coords, [r])[0] for r in ranks] == pytest.approx(every[ranks])
