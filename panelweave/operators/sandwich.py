@@ -61,12 +61,19 @@ def clustered_errors(rows: DataFrame, fit: Fit, by: Sequence[str] = ("region",),
     return _errors(fit, names, means, inverse, factor * _products(sums, scores, scores))
 
 
+def _one_way(edges: DataFrame) -> DataFrame:
+    """One edge per pair of regions, with the weights of both ways: ``_errors`` adds a product matrix to its transpose, so a pair's
+    products count the same from either end, and half the values travel."""
+    ends = edges.where("i IS NOT NULL AND j IS NOT NULL").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "w")
+    return ends.groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
 def near_errors(rows: DataFrame, fit: Fit, edges: DataFrame, y: str = "y", residual: Column | None = None) -> dict[str, float | None]:
     """Errors with residuals of near regions on one date: an edge's weight says how much of a pair's product counts, a region with
     itself counts whole. ``edges`` are kernel weights up to a cutoff; a row that is missing counts for nothing."""
     scored, names, means, inverse, _ = _scored(rows, fit, y, residual)
     scores = [f"_s{j}" for j in range(len(names) + 1)]
     cells = scored.select("region", "t", *scores)
-    around = spatial_lags(cells, edges, {f"_l{j}": s for j, s in enumerate(scores)})
+    around = spatial_lags(cells, _one_way(edges), {f"_l{j}": s for j, s in enumerate(scores)})
     both = around.select(*scores, *((F.col(s) + F.col(f"_l{j}")).alias(f"_b{j}") for j, s in enumerate(scores)))
     return _errors(fit, names, means, inverse, _products(both, scores, [f"_b{j}" for j in range(len(scores))]))

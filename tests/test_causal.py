@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelweave import SpatialDiD
 from panelweave.operators import did, panel as panels, regression, sandwich, spatial_models
+from panelweave.operators.lag import spatial_lags
 from panelweave.plans.catalogue import QUERIES
 
 RHO, DELTA, GAMMA = 0.4, -1.5, 0.8
@@ -215,6 +216,32 @@ def dense_sandwich(x, e, together):
     return np.sqrt(np.diag(a @ scores.T @ together @ scores @ a))
 
 
+def test_near_errors_take_a_pair_of_regions_once(spark, monkeypatch):
+    """Both ways of an edge give the same products: one of them travels, with both weights, whether they are equal or not."""
+    df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.5)
+    fit, rows = did.fit_ols(rows_of(df, dimension), edges, ["c1"])
+    x = dense_design(treated, post, c, s @ y)
+    e = y.reshape(-1) - x @ np.linalg.lstsq(x, y.reshape(-1), rcond=None)[0]
+    n, steps = c.shape
+    own, date = np.repeat(np.arange(n), steps), np.tile(np.arange(steps), n)
+    near = [(i, j, 0.2 if i < j else 0.4) for i in range(n) for j in range(n) if abs(i - j) == 1] + [(0, 0, 0.5), (None, 1, 9.0)]
+    taken = []
+
+    def lags(cells, edges, columns):
+        taken.extend((r["i"], r["j"], r["w"]) for r in edges.collect())
+        return spatial_lags(cells, edges, columns)
+
+    monkeypatch.setattr(sandwich, "spatial_lags", lags)
+    got = sandwich.near_errors(rows, fit, spark.createDataFrame(near, "i bigint, j bigint, w double"))
+    assert sorted((i, j, round(w, 9)) for i, j, w in taken) == [(0, 0, 0.5), *((i, i + 1, 0.6) for i in range(n - 1))]
+    kernel = np.eye(n)
+    for i, j, w in near[:-1]:
+        kernel[i, j] += w
+    kernel = (kernel + kernel.T) / 2
+    expected = dense_sandwich(x, e, kernel[own][:, own] * (date[:, None] == date))
+    np.testing.assert_allclose([got[k] for k in ("(intercept)", "treated", "post", "treated_post", "c1", "lag")], expected, rtol=1e-7)
+
+
 def test_clustered_and_near_errors_match_dense_sandwiches(spark):
     df, edges, dimension, (s, treated, post, c, y) = world(spark, noise=0.5)
     fit, rows = did.fit_ols(rows_of(df, dimension), edges, ["c1"])
