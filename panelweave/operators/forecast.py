@@ -145,6 +145,11 @@ def advance(t: Column, steps: Column, freq: str) -> Column:
     return F.timestamp_add(unit, steps, t)
 
 
+def reach(model: Autoregression, context_length: int) -> int:
+    """How many of a region's last rows its paths are drawn from."""
+    return max(*model.lags, context_length)
+
+
 def _part_samples(num_samples: int) -> Column:
     first = F.col("_part") * PART_SAMPLES + 1
     return F.sequence(first, F.least(first + PART_SAMPLES - 1, F.lit(num_samples)))
@@ -196,7 +201,7 @@ def sample_paths(
     if model.covariates and future is None:
         raise ValueError(f"the model reads {', '.join(model.covariates)}: pass their future rows")
     depth = max(model.lags)
-    recent = tail(df, ["region"], max(depth, context_length))
+    recent = tail(df, ["region"], reach(model, context_length))
     cells = F.col("_cells")
     newest = F.reverse(cells)
     window = F.slice(newest, 1, context_length)

@@ -26,6 +26,7 @@ def spatial_lags(
     Regions without neighbours get 0; one NULL neighbour value makes the lag NULL. The panel must
     be dense (see ``densify``). Each region's dates are spread over ``slices`` join keys, so a long series is shared by
     several tasks. A hub's edges are cut into as many pieces as their number asks for, and only its values are repeated per piece.
+    Edges are merged, not broadcast: the size of a stored edge table does not tell that each edge is there once per slice.
     """
     values = panel.select(
         F.col("region").alias("j"), "t", *(F.col(c).alias(f"_x{n}") for n, c in enumerate(columns.values())), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("_s")
@@ -34,7 +35,7 @@ def spatial_lags(
     spread = in_pieces(edges, hubs, ["j"], ["i"]).select("i", "j", "w", "_piece", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
     sums = (
         repeated(values, hubs, ["j"])
-        .join(spread, ["j", "_s", "_piece"])
+        .join(spread.hint("merge"), ["j", "_s", "_piece"])
         .groupBy(F.col("i").alias("region"), "t")
         .agg(
             *(F.when(F.count(f"_x{n}") == F.count(F.lit(1)), F.sum(F.col("w") * F.col(f"_x{n}"))).alias(f"_sum{n}") for n in range(len(columns))),

@@ -154,3 +154,9 @@ def tail(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     """The last ``n`` rows of each group; Spark limits the groups before it shuffles them."""
     latest = Window.partitionBy(*by).orderBy(F.col("t").desc())
     return df.withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= n).drop("_back")
+
+
+def since_tail(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The rows of all groups from the earliest date on that the last ``n`` rows of any group reach; rows without a date stay."""
+    first = tail(df.select(*by, "t"), by, n).agg(F.min("t")).scalar()
+    return df.where((F.col("t") >= first) | F.col("t").isNull())

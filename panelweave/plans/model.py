@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelweave.functions.heads import head
 from panelweave.operators import did, forecast, metrics, panel as panels, scaling
 from panelweave.operators.missing import repair
+from panelweave.operators.ordered import since_tail
 from panelweave.operators.regression import Fit, r_squared
 from panelweave.operators.weights import require_endpoints
 from panelweave.session import stage
@@ -252,13 +253,15 @@ class SpatialCausalForecaster:
         return self.forecaster.model is not None
 
     def fit(self, panel: DataFrame, fit_causal: bool = True) -> SpatialCausalForecaster:
-        """The panel and the adjusted series are written once each; guards and passes read those
+        """The panel, the edges and the adjusted series are written once each; guards and passes read those
         tables instead of repeating the joins."""
         panel = stage(panel)
         panels.require_unique(panel)
+        if fit_causal or self.regions is not None:
+            self.causal.edges = stage(self.edges)
         if self.regions is not None:
             panels.require_regions(panel, self.regions)
-            require_endpoints(self.edges, self.regions)
+            require_endpoints(self.causal.edges, self.regions)
         if fit_causal:
             self.causal.fit(panel)
             self.causal_fitted = True
@@ -271,10 +274,12 @@ class SpatialCausalForecaster:
     def predict(
         self, panel: DataFrame, num_samples: int | None = None, adjust: bool = True, future: DataFrame | None = None
     ) -> DataFrame:
+        """Only the dates that paths start from are adjusted: a lag needs no other date than its own."""
         if not self.is_fitted:
             raise ValueError("fit the model before predicting")
         if adjust and self.causal_fitted:
-            return self.forecaster.predict(self.causal.adjust(panel), "z", num_samples, future)
+            recent = since_tail(panel, ["region"], forecast.reach(self.forecaster.model, self.config.context_length))
+            return self.forecaster.predict(self.causal.adjust(recent), "z", num_samples, future)
         return self.forecaster.predict(panel, "y", num_samples, future)
 
     def evaluate(self, forecasts: DataFrame, truth: DataFrame, history: DataFrame, quantiles=metrics.QUANTILES):

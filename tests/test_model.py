@@ -1,8 +1,10 @@
 """The combined model, its storage, and the registered queries against SQL."""
 
+import datetime as dt
 import os
 
 import duckdb
+import helpers
 import numpy as np
 import pytest
 from helpers import panel, plan_of, same_rows
@@ -12,6 +14,8 @@ import __spark_entry__ as driver
 from panelweave import ForecastEvaluator, ModelConfig, PooledForecaster, SpatialCausalForecaster
 from panelweave import session
 from panelweave.operators import forecast, panel as panels
+from panelweave.operators.lag import spatial_lag
+from panelweave.operators.ordered import since_tail
 from panelweave.plans.catalogue import QUERIES
 from panelweave.sources.store import save_tables
 
@@ -113,6 +117,38 @@ def test_calendar_storage(spark, fitted, folder):
     assert same_rows(SpatialCausalForecaster.load(spark, f"{folder}/model").predict(df), model.predict(df))
 
 
+def test_prediction_adjusts_only_the_dates_it_starts_from(spark, fitted, monkeypatch):
+    model, df = fitted
+    adjust, seen = model.causal.adjust, []
+    monkeypatch.setattr(model.causal, "adjust", lambda rows: seen.append(rows) or adjust(rows))
+    paths = model.predict(df)
+    last = df.agg(F.max("t")).first()[0]
+    assert seen[0].agg(F.min("t")).first()[0] == last - dt.timedelta(days=19) and seen[0].count() == 6 * 20
+    assert same_rows(paths, model.forecaster.predict(adjust(df), "z"))
+
+
+def test_edges_are_made_once_by_a_fit(fitted):
+    model, _ = fitted
+    assert model.causal.edges.inputFiles() and same_rows(model.causal.edges, model.edges)
+
+
+def test_since_tail_reaches_back_to_the_most_delayed_group(spark):
+    rows = [("a", n, float(n)) for n in range(10)] + [("b", n, float(n)) for n in (2, 3, 3, 8)] + [("c", None, 0.0), (None, 9, 1.0)]
+    df = spark.createDataFrame(rows, "region string, n int, y double").select("region", F.date_add(F.lit(helpers.DAY), "n").alias("t"), "y")
+    for n, first in ((1, 8), (3, 3), (4, 2), (100, 0)):
+        expected = df.where((F.col("t") >= F.lit(helpers.day(first))) | F.col("t").isNull())
+        assert same_rows(since_tail(df, ["region"], n), expected)
+
+
+def test_stored_edges_are_not_broadcast_once_per_slice(spark):
+    df = panel(spark, {i: [i, i + 1.0, i * i] for i in range(6)})
+    edges = session.stage(spark.createDataFrame([(i, (i + 1) % 6, 1.0) for i in range(6)], "i bigint, j bigint, w double"))
+    lagged = spatial_lag(df, edges)
+    meeting = [line for line in plan_of(lagged).splitlines() if "Join" in line and "_s#" in line]
+    assert meeting and all("SortMergeJoin" in line for line in meeting)
+    assert sorted(r["lag"] for r in lagged.where("region = 5").collect()) == [0.0, 0.0, 1.0]
+
+
 def test_states_and_guards(spark, fitted):
     model, df = fitted
     fresh = SpatialCausalForecaster(model.config, model.edges, model.regions, "2020-02-01")
