@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelweave.functions.scalars import total
 from panelweave.operators import pivots
-from panelweave.operators.tiling import product, tile_sides, tiles_for
+from panelweave.operators.tiling import TILE_ROWS, chunk_product, product, tile_sides, tiles_for
 from panelweave.session import stage
 
 CELL_POINTS = 2_048
 ONE_CELL_POINTS = 512
 MAX_LEVEL = 50
+#: Of all pairs: chunks of points, and the most points of one. A point's pairs with a chunk are buffered, more points in chunks than these slow them.
+CHUNKS, MOST_CHUNK = 64, 1_024
 #: Points that one task of the nearest-neighbour search takes. Their rows shrink so well that tasks dealt by bytes would hold millions.
 TASK_POINTS = 8_192
 # absorbs rounding at the borders of boxes; it only adds candidates
@@ -40,14 +42,21 @@ def _squared(dims: int) -> Column:
 
 
 def all_pairs(points: DataFrame, coords: Coords, tiles: int | None = None) -> DataFrame:
-    """Distance of every ordered pair: the result itself has N·(N−1) rows."""
-    tiles = tiles or tiles_for(points.count())
+    """Distance of every ordered pair: the result itself has N·(N−1) rows.
+
+    Of scalar coordinates one side travels in ``tiles`` chunks, one row each, so the other is repeated once per chunk, not once per few
+    points. Where a point meets a chunk, the chunk is unfolded.
+    """
     if isinstance(coords, str):
-        return _tile_pairs(points, coords, tiles)
-    pairs = product(
-        _named(points, "i", coords, "p"), _named(points, "j", coords, "q"), ["i"], ["j"], tiles, tiles
-    ).where("i <> j")
-    return pairs.select("i", "j", F.sqrt(_squared(len(coords))).alias("d"))
+        return _tile_pairs(points, coords, tiles or tiles_for(points.count()))
+    tiles = tiles or _chunk_count(points.count())
+    left_tiles = min(tiles, max(1, CHUNKS * CHUNKS // tiles))
+    met = chunk_product(_named(points, "i", coords, "p"), _named(points, "j", coords, "q"), ["i"], left_tiles, tiles).where("i <> j")
+    return met.select("i", "j", F.sqrt(_squared(len(coords))).alias("d"))
+
+
+def _chunk_count(rows: int) -> int:
+    return tiles_for(rows, min(MOST_CHUNK, max(TILE_ROWS, rows // CHUNKS)))
 
 
 def pairs_within(points: DataFrame, coords: Coords, threshold: float, cell_points: int = CELL_POINTS) -> DataFrame:

@@ -41,3 +41,21 @@ def product(
 ) -> DataFrame:
     a, b = tile_sides(left, right, left_key, right_key, left_tiles, right_tiles)
     return a.join(b, ["_a", "_b"])
+
+
+def chunk_sides(left: DataFrame, right: DataFrame, left_key: Sequence[str], left_tiles: int, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """The left side, repeated once per chunk, and the right side as ``chunks`` rows of equal size, repeated once per tile of the left."""
+    a = left.withColumn("_a", F.pmod(F.xxhash64(*left_key), F.lit(left_tiles)).cast("int")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    )
+    dealt = right.repartition(chunks).select(F.struct(*right.columns).alias("_row"), F.spark_partition_id().alias("_b"))
+    b = dealt.groupBy("_b").agg(F.collect_list("_row").alias("_rows")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(left_tiles - 1))))
+    n = wide_partitions(left.sparkSession)
+    return a.repartition(n, "_a", "_b"), b.repartition(n, "_a", "_b")
+
+
+def chunk_product(left: DataFrame, right: DataFrame, left_key: Sequence[str], left_tiles: int, chunks: int) -> DataFrame:
+    """The product of both; a chunk is unfolded where a row of the left meets it."""
+    a, b = chunk_sides(left, right, left_key, left_tiles, chunks)
+    # the hint keeps repeated chunks out of a broadcast, as Spark's estimate of their size leaves out the repeats, and the left side unsorted
+    return a.join(b.hint("shuffle_hash"), ["_a", "_b"]).select(*left.columns, F.inline("_rows"))

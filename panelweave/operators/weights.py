@@ -68,17 +68,22 @@ def kernel_weights(
 
     The default bandwidth is the median distance over i < j (the maximum for the linear kernel), found without a row per
     pair; a bandwidth of zero gives weight 1 to points in the same place. Only the linear kernel is zero far away, so it visits pairs
-    within its bandwidth; the other two give all N·(N−1) rows unless a ``cutoff`` is given: pairs
+    within a bandwidth that is given; the other two give all N·(N−1) rows unless a ``cutoff`` is given: pairs
     farther apart have no weight and are not visited. Many points need one.
     """
     if kernel not in ("gaussian", "exponential", "linear"):
         raise ValueError(f"unsupported kernel {kernel!r}")
-    if bandwidth is None:
+    found = bandwidth is None
+    if found:
         bandwidth = default_bandwidth(points, coords, kernel)
         if bandwidth is None:
             return all_pairs(points, coords, 1).select("i", "j", F.lit(0.0).alias("w")).limit(0)
     reach = [x for x in (cutoff, bandwidth if kernel == "linear" else None) if x is not None]
-    pairs = pairs_within(points, coords, min(reach)) if reach else all_pairs(points, coords)
+    if kernel == "linear" and found and cutoff is None:
+        # all pairs are within the largest distance: cells would leave out none
+        pairs = all_pairs(points, coords).where(F.col("d") <= bandwidth)
+    else:
+        pairs = pairs_within(points, coords, min(reach)) if reach else all_pairs(points, coords)
     d, h = F.col("d"), F.lit(float(bandwidth))
     if not bandwidth:
         # a point's own place is all that a kernel without width reaches

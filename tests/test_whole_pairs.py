@@ -2,9 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
+from helpers import plan_of, points
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from panelweave.functions.scalars import rounded
+from panelweave.operators import neighbours, tiling, weights
 from panelweave.plans import fixtures as fx
 
 
@@ -29,3 +34,20 @@ def test_every_pair_of_suppliers(spark, tables, name):
     # an inverse distance of zero has no weight, a kernel that ends at the largest distance none there
     kept = {"w_distance_full": lambda d: d > 0, "w_linear": lambda d: d < max(apart.values())}.get(name, lambda d: True)
     assert len(got) == len(set(got)) and set(got) == {p for p, d in apart.items() if kept(d)}
+
+
+def test_default_linear_kernel_is_spread_over_tasks(spark):
+    """The cells of the largest distance put all pairs into one task."""
+    df, coords = points(spark, np.random.default_rng(5).random((700, 2)))
+    edges = weights.kernel_weights(df, coords, "linear")
+    assert edges.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_pairs_are_rounded_like_spark(spark):
+    rng = np.random.default_rng(6)
+    values = [*rng.normal(0, 1, 3_000), *rng.normal(0, 1e4, 3_000), *(rng.integers(-10**7, 10**7, 3_000) / 2e6 + 5e-7), *(10.0 ** rng.uniform(-12, 18, 1_000))]
+    values += [0.0, -0.0, -4e-7, 5e-7, -5e-7, 1.0000005, 2.5e-6, 1e300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    for digits in (6, 3):
+        got = df.select(F.col("v"), rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
+        assert got.where("NOT a <=> b").count() == 0
