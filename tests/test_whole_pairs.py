@@ -51,3 +51,23 @@ def test_pairs_are_rounded_like_spark(spark):
     for digits in (6, 3):
         got = df.select(F.col("v"), rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b"))
         assert got.where("NOT a <=> b").count() == 0
+
+
+def test_chunks_repeat_few_rows(spark):
+    """Tiles of 256 points sent each of 360 000 points 2 800 times."""
+    chunks = neighbours._chunk_count(360_000)
+    assert chunks < 400 and max(neighbours._chunk_count(n) for n in (10, 255)) == 1
+    df = spark.range(2_000).select("id")
+    a, b = tiling.chunk_sides(df, df.withColumnRenamed("id", "other"), ["id"], 3, 8)
+    assert a.count() == 2_000 * 8 and b.count() == 3 * 8
+    assert b.agg(F.max(F.size("_rows"))).first()[0] <= 2_000 / 8 + 8
+
+
+def test_all_pairs_keep_copies_and_drop_unknown_keys(spark):
+    rows = [(1, 0.0), (1, 3.0), (2, 4.0), (2, 4.0), (3, None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "region bigint, x double")
+    expected = sorted(((i, j, None if x is None or y is None else abs(x - y)) for i, x in rows for j, y in rows if None not in (i, j) and i != j), key=repr)
+    for tiles in (None, 3):
+        pairs = neighbours.all_pairs(df, ["x"], tiles)
+        assert sorted((tuple(r) for r in pairs.select("i", "j", "d").collect()), key=repr) == expected
+    assert "Broadcast" not in plan_of(pairs) and "SortMergeJoin" not in plan_of(pairs)
