@@ -244,6 +244,24 @@ def test_crowded_groups_are_spread(spark, monkeypatch):
     assert index.members.groupBy("cell", "ring", "piece").count().agg(F.max("count")).first()[0] <= 160
 
 
+def test_queries_are_sent_once_per_block(spark):
+    """Unstructured vectors reach every group: a row per group would be a query's vector for each of them."""
+    xy = RNG.normal(size=(900, 24))
+    df = vectors(spark, xy / np.linalg.norm(xy, axis=1)[:, None])
+    single = df.select("region", F.col("v").cast("array<float>").alias("v"))
+    index = pivots.build(single.withColumnRenamed("region", "i"), 900, 30)
+    bounded = pivots._bounded(index, 3)
+    groups = pivots._grouped(index, 300)
+    sent = pivots._block_visits(index, bounded, groups)
+    assert groups["block"].nunique() <= 4 and sent.count() <= 2 * 900 * groups["block"].nunique() < pivots.visits(index, bounded).count() / 3
+    assert sent.select(F.explode("groups")).count() == pivots.visits(index, bounded).count()
+    # single numbers are sent as such, and compared as doubles
+    assert sent.schema["v"].dataType.simpleString() == "array<float>"
+    found = pivots.search(single, "v", 3, cell_rows=30)
+    exact = np.stack([r["v"] for r in single.orderBy("region").collect()])
+    assert edge_set(neighbours._closest(found.withColumn("_d2", F.col("d")), 3)) == brute_nearest(exact, 3)
+
+
 @pytest.mark.parametrize("cloud", ["uniform", "dense cluster", "space", "line", "far outliers", "few", "array", "two copies", "one"])
 def test_ranks_of_all_distances(spark, cloud):
     xy = {"array": VECTORS["clusters"][:500], "two copies": np.ones((2, 2)), "one": np.ones((1, 2))}.get(cloud)
